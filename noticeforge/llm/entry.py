@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import bpe, chat, counts, ogg
+from noticeforge.llm import bpe, chat, counts, jaccard, ogg, toxicity
 from noticeforge.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lexicon = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(documents, lexicon)
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
@@ -34,8 +41,12 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_records(own.unionByName(added)))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_token_counts, op6_media_columns, op7_chat_formatting)}
+    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_token_counts, op6_media_columns, op7_chat_formatting, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
