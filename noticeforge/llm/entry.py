@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import bpe, chat, counts, jaccard, ogg, toxicity
+from noticeforge.llm import annforest, bpe, chat, counts, jaccard, linededup, mixing, ogg, toxicity, urlfilter
 from noticeforge.llm.common import table
 
 
@@ -26,6 +26,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).taken()
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.remove_lines(table(spark, sf_dir, "documents"), details=True)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.describe(ogg.attach(table(spark, sf_dir, "documents"))).drop("error")
 
@@ -41,13 +50,25 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_records(own.unionByName(added)))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.train(urlfilter.labelled(spark)))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = (op1_toxicity, op2_byte_bpe, op3_token_counts, op4_source_mixing, op5_line_dedup, op6_media_columns, op7_chat_formatting, op8_url_filter, op9_ngram_jaccard_join, op10_nearest_neighbours)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_token_counts, op6_media_columns, op7_chat_formatting, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": linededup.sql()}
