@@ -10,10 +10,12 @@ allowed edits of a lexicon word, or starts with a lexicon stem; its states are
 sets of trie nodes with edits so far, made when first needed. A word of 5 to 8
 letters may differ by one edit, a longer one by two, a shorter one by none.
 
-A hit's weight is its precision in training. A hit inside quotation marks counts
-less, still less near a word of reporting; one near an address to the reader
-counts more. Unquoted hits add up as independent evidence; of quoted ones only
-the strongest counts, so quoting alone doesn't make a text abusive.
+A hit's weight is a log-likelihood ratio from training: of the word itself where
+training had it often enough, else of its stem, or of misspellings of its entry.
+A hit inside quotation marks counts less, still less near a word of reporting;
+one near an address to the reader counts more. A text's distinct unquoted words
+add up as independent evidence on top of the label's prior odds; of quoted ones
+only the strongest counts, so quoting alone doesn't make a text abusive.
 
 Cases: null and empty texts have no hits and the base score; repeated rows give
 repeated rows; without labels the stated list alone is used; whole texts are read.
@@ -36,19 +38,22 @@ from noticeforge.llm import common
 MAX_TOXIC_ROWS, MAX_CLEAN_ROWS = 3000, 6000
 #: Most terms that come to the driver when learning.
 MAX_TERMS = 50_000
-#: Words known whatever the labels say, with their weight.
+#: Words known whatever the labels say, with the weight (log-likelihood ratio) they have without training.
 STATED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-STATED_WEIGHT = 0.9
-BASE_SCORE = 0.02
+STATED_WEIGHT = 4.3
+#: Prior odds (logarithm) without labels, and what a text without hits has less than the prior.
+PRIOR, NO_HITS = -2.2, 2.0
 #: Least precision of a lexicon entry, and the chance allowed for any wrong one.
-PRECISION, ALPHA = 0.85, 0.01
-#: Prior weight of a misspelling whose kind training didn't show, and how many cases it counts as.
+PRECISION, ALPHA = 0.6, 0.01
+#: Probability that a misspelling whose kind training didn't show is toxic, and how many cases that counts as.
 FUZZY_PRIOR, FUZZY_CASES = 0.6, 2.0
+#: Times that training must have had a word for its own weight to count, beside its stem's.
+OWN_CASES = 3
 #: Words around a hit that its context is made of.
 WINDOW = 8
-QUOTED, QUOTED_AND_REPORTED = 0.6, 0.4
+QUOTED, QUOTED_AND_REPORTED, ADDRESSED = 0.5, 0.25, 1.2
 REPORTING = frozenset("said says saying called calls wrote writes quoted quote quotes word words term terms dit écrit sagte schrieb wort dijo escribió palabra".split())
-ADDRESS = frozenset("you your you're u du dich dein tu te toi vous votre usted tú".split())
+ADDRESS = frozenset("you your yours yourself dich dein toi vous votre usted".split())
 _WORD = re.compile(r"[^\W_]+")
 _LEET = str.maketrans("013457", "oieast")
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
@@ -58,20 +63,23 @@ _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
 class Entry:
     term: str
     stem: bool
+    #: Log-likelihood ratio of the entry, or of a word of the stem that training didn't have.
     weight: float
-    #: Weight of a misspelling.
-    fuzzy: float = 0.0
+    #: The same of a misspelling; None where misspellings don't count.
+    fuzzy: float | None = None
 
     @property
     def edits(self) -> int:
-        return 0 if self.stem or len(self.term) < 5 or self.fuzzy <= 0 else 1 if len(self.term) < 9 else 2
+        return 0 if self.fuzzy is None or len(self.term) < 5 else 1 if len(self.term) < 9 else 2
 
 
 @dataclass(frozen=True)
 class Lexicon:
     entries: tuple[Entry, ...]
-    #: Misspelling-like words that training shows to be innocent.
-    innocent: frozenset[str] = frozenset()
+    #: Logarithm of the prior odds.
+    prior: float = PRIOR
+    #: Weights of words that training had; for misspelling-like words that it shows to be innocent, 0.
+    known: tuple[tuple[str, float], ...] = ()
 
 
 class Automaton:
@@ -175,7 +183,7 @@ class Scorer:
     TABLE = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 
     def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon, self.automaton = lexicon, Automaton(lexicon)
+        self.lexicon, self.automaton, self.known = lexicon, Automaton(lexicon), dict(lexicon.known)
         self.clean: set[bytes] = set()
         self.bad: set[bytes] = set()
 
@@ -185,19 +193,18 @@ class Scorer:
         if found is None and not word.isalpha() and not word.isdigit():
             found = self.automaton.match(word.translate(_LEET))
             found = found and (max(1, found[0]), found[1])
-            if found and self.lexicon.entries[found[1]].fuzzy <= 0:
-                return None
-        if found is None or found[0] and word in self.lexicon.innocent:
+        if found is None:
             return None
         entry = self.lexicon.entries[found[1]]
-        return (entry.fuzzy if found[0] else entry.weight), found[0], found[1]
+        weight = self.known.get(word, entry.fuzzy if found[0] else entry.weight)
+        return (weight, *found) if weight and weight > 0 else None
 
     def _suspect(self, raw: bytes) -> bool:
         word = raw.decode("utf-8", "replace").lower()
         return any(self.weight(w) for w in ([word] if word.isalnum() else _WORD.findall(word)))
 
     def hits(self, text: str) -> list[tuple[int, int, int, int, float, bool]]:
-        """Of each hit: start and stop in the lower-case text, entry, edits, weight after its context, whether it is quoted."""
+        """Of each hit: start and stop in the lower-case text, entry, edits, weight in its context, whether it is quoted, the word."""
         words = text.encode("utf-8", "replace").translate(self.TABLE).split()
         distinct = set(words)
         new = distinct - self.clean - self.bad
@@ -219,12 +226,12 @@ class Scorer:
             left, right = max(0, i - WINDOW), min(len(tokens), i + WINDOW + 1)
             around = {w for w, _, _ in tokens[left:right]}
             quoted = self._quoted(low, tokens[left][1] - 1, a, b, tokens[right - 1][2] + 1)
-            p = found[0]
+            weight = found[0]
             if quoted:
-                p *= QUOTED_AND_REPORTED if around & REPORTING else QUOTED
+                weight *= QUOTED_AND_REPORTED if around & REPORTING else QUOTED
             elif around & ADDRESS:
-                p = 1 - (1 - p) * 0.7
-            out.append((a, b, found[2], found[1], p, quoted))
+                weight *= ADDRESSED
+            out.append((a, b, found[2], found[1], weight, quoted, word))
         return out
 
     @staticmethod
@@ -241,13 +248,14 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[float, list]:
         hits = self.hits(text) if text else []
-        rest, quoted = 1.0 - BASE_SCORE, 0.0
-        for *_, p, q in hits:
-            if q:
-                quoted = max(quoted, p)
-            else:
-                rest *= 1 - p
-        return min(1.0, max(0.0, 1 - rest * (1 - quoted))), hits
+        if not hits:
+            return 1 / (1 + math.exp(NO_HITS - self.lexicon.prior)), hits
+        own: dict[str, float] = {}
+        for *_, weight, quoted, word in hits:
+            if not quoted:
+                own[word] = max(weight, own.get(word, 0.0))
+        total = self.lexicon.prior + sum(own.values()) + max((h[4] for h in hits if h[5]), default=0.0)
+        return 1 / (1 + math.exp(-min(30.0, total))), hits
 
 
 @lru_cache(2)
@@ -283,68 +291,83 @@ def fit(documents: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
     clean = terms(pairs.where("_toxic = 0")).join(F.broadcast(toxic.select("term")), "term").distinct().groupBy("term").agg(F.count("*").alias("n_clean"))
     found = {r.term: (r.n_toxic, r.n_clean or 0) for r in toxic.join(F.broadcast(clean), "term", "left").collect()}
     total = {r["_toxic"]: r["n"] for r in pairs.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    labels_of = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    prior = math.log((labels_of.get(1, 0) + 1) / (labels_of.get(0, 0) + 9))
     entries = choose(found, total.get(1, 0), total.get(0, 0))
-    lexicon = with_fuzzy(pairs, entries, total.get(1, 0), total.get(0, 0))
+    taken = min(MAX_TOXIC_ROWS, labels_of.get(1, 0)), min(MAX_CLEAN_ROWS, labels_of.get(0, 0))
+    lexicon = weighted(pairs, entries, *taken, prior)
     common.drop_scratch(pairs, toxic)
     return lexicon
 
 
-def choose(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[Entry]:
-    """Entries whose neighbours speak for the label beyond chance; a stem in place of what it covers, unless one longer entry covers it all."""
-    if not n_toxic or not n_clean:
-        return [Entry(w, False, STATED_WEIGHT, FUZZY_PRIOR) for w in STATED]
-    base = n_toxic / (n_toxic + n_clean)
-    need = math.log(max(1, len(found)) / ALPHA)
-
-    def speaks(t: int, c: int) -> bool:
-        p = t / (t + c)
-        bits = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)
-        return p >= PRECISION and p > base and (t + c) * bits >= need
-
-    good = {term: (t, c) for term, (t, c) in found.items() if speaks(t, c)}
-    stems, kept = [], []
-    for term in sorted(good, key=lambda x: (len(x.rstrip("*")), not x.endswith("*"), x)):
-        body, is_stem = term.rstrip("*"), term.endswith("*")
-        if any(body.startswith(s) for s in stems):
-            continue
-        t, c = good[term]
-        if is_stem:
-            longer = [good[x][0] for x in good if x != term and x.startswith(body)]
-            if max(longer, default=0) >= 0.95 * t:
-                continue
-            stems.append(body)
-        kept.append(Entry(body, is_stem, min(0.97, (t + 1) / (t + c + 2)), 0.0 if is_stem else FUZZY_PRIOR))
-    have = {e.term for e in kept if not e.stem}
-    for w in STATED:
-        if w not in have and not any(w.startswith(s) for s in stems):
-            t, c = found.get(w, (0, 0))
-            kept.append(Entry(w, False, min(0.97, (t + 9) / (t + c + 10)), FUZZY_PRIOR))
-    return kept
+def choose(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool]]:
+    """Terms, and whether they are stems, whose neighbours speak for the label beyond chance.
 
-
-def with_fuzzy(pairs: DataFrame, entries: list[Entry], n_toxic: int, n_clean: int) -> Lexicon:
-    """Weights of misspellings, from how often words within reach of an entry occur in clean training texts."""
-    plain = Lexicon(tuple(entries))
+    A stem stands for what it covers, unless one longer entry covers nearly all of that. The stated words join in.
+    """
+    stems: list[str] = []
+    kept: list[tuple[str, bool]] = []
+    if n_toxic and n_clean:
+        base = n_toxic / (n_toxic + n_clean)
+        need = math.log(max(1, len(found)) / ALPHA)
+
+        def speaks(t: int, c: int) -> bool:
+            p = t / (t + c)
+            bits = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)
+            return p >= PRECISION and p > base and (t + c) * bits >= need
+
+        good = {term: t for term, (t, c) in found.items() if speaks(t, c)}
+        for term in sorted(good, key=lambda x: (len(x.rstrip("*")), not x.endswith("*"), x)):
+            body = term.rstrip("*")
+            if any(body.startswith(s) for s in stems):
+                continue
+            if term.endswith("*"):
+                if max((good[x] for x in good if x != term and x.startswith(body)), default=0) >= 0.95 * good[term]:
+                    continue
+                stems.append(body)
+            kept.append((body, term.endswith("*")))
+    have = {term for term, stem in kept if not stem}
+    return kept + [(w, False) for w in STATED if w not in have and not any(w.startswith(s) for s in stems)]
+
+
+def weighted(pairs: DataFrame, terms: list[tuple[str, bool]], n_toxic: int, n_clean: int, prior: float) -> Lexicon:
+    """Weights of the entries, of their misspellings, and of the words of training that they match. n_toxic, n_clean: texts."""
+    plain = Lexicon(tuple(Entry(t, stem, STATED_WEIGHT, None if stem else 1.0) for t, stem in terms), prior)
+    fuzzy = math.log(FUZZY_PRIOR / (1 - FUZZY_PRIOR)) - prior
+    if not n_toxic or not n_clean:
+        return Lexicon(tuple(Entry(e.term, e.stem, e.weight, fuzzy) for e in plain.entries), prior)
 
     def run(batches):
         automaton = Automaton(plain)
         for batch in batches:
             found = [automaton.match(w) for w in batch.column(0).to_pylist()]
-            keep = [i for i, x in enumerate(found) if x and x[0]]
+            keep = [i for i, x in enumerate(found) if x]
             picked = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array([found[i][1] for i in keep], pa.int64())], names=["w", "n_toxic", "n_clean", "entry"])
+            yield pa.RecordBatch.from_arrays([*picked.columns, *(pa.array([found[i][k] for i in keep], pa.int64()) for k in (0, 1))], names=["w", "n_toxic", "n_clean", "edits", "entry"])
 
-    if not n_toxic or not n_clean:
-        return plain
     counts = pairs.groupBy("w").agg(F.count_if(F.col("_toxic") == 1).alias("n_toxic"), F.count_if(F.col("_toxic") == 0).alias("n_clean"))
-    near = common.map_arrow(counts, run, "w string, n_toxic long, n_clean long, entry long").collect()
-    out = []
-    for k, e in enumerate(entries):
-        t = sum(r.n_toxic for r in near if r.entry == k)
-        c = sum(r.n_clean for r in near if r.entry == k)
-        more = max(0.0, t - c * n_toxic / n_clean)
-        out.append(Entry(e.term, e.stem, e.weight, 0.0 if e.stem else (FUZZY_PRIOR * FUZZY_CASES + more) / (FUZZY_CASES + more + c)))
-    return Lexicon(tuple(out), frozenset(r.w for r in near if r.n_clean))
+    near = common.map_arrow(counts, run, "w string, n_toxic long, n_clean long, edits long, entry long").collect()
+
+    def ratio(t: float, c: float) -> float:
+        return math.log((t + 0.5) / (c + 1.0)) + math.log(n_clean / n_toxic)
+
+    entries, known = [], {}
+    for k, e in enumerate(plain.entries):
+        exact = [r for r in near if r.entry == k and not r.edits]
+        others = [r for r in near if r.entry == k and r.edits]
+        t, c = sum(r.n_toxic for r in exact), sum(r.n_clean for r in exact)
+        if e.stem:
+            # The stem alone is often a common word; words that training hadn't get half of what the others have.
+            rest = [r for r in exact if r.w != e.term]
+            weight = 0.5 * ratio(sum(r.n_toxic for r in rest), sum(r.n_clean for r in rest))
+        else:
+            weight = ratio(t, c) if t + c else STATED_WEIGHT
+        known |= {r.w: max(0.0, ratio(r.n_toxic, r.n_clean)) for r in exact if r.n_toxic + r.n_clean >= OWN_CASES}
+        known |= {r.w: 0.0 for r in others if r.n_clean}
+        more = max(0.0, sum(r.n_toxic for r in others) - sum(r.n_clean for r in others) * n_toxic / n_clean)
+        p = (FUZZY_PRIOR * FUZZY_CASES + more) / (FUZZY_CASES + more + sum(r.n_clean for r in others))
+        entries.append(Entry(e.term, e.stem, weight, None if e.stem else min(weight, math.log(p / (1 - p)) - prior)))
+    return Lexicon(tuple(entries), prior, tuple(sorted(known.items())))
 
 
 def score_documents(df: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -355,7 +378,7 @@ def score_documents(df: DataFrame, lexicon: Lexicon, text_col: str = "text", kee
         own = scorer(lexicon)
         for part in common.rows(batches):
             found = [own.score(t) for t in part.column(0).to_pylist()]
-            hits = [[{"start": a, "stop": b, "term": lexicon.entries[k].term, "edits": e, "quoted": q} for a, b, k, e, _, q in h] for _, h in found]
+            hits = [[{"start": a, "stop": b, "term": lexicon.entries[k].term, "edits": e, "quoted": q} for a, b, k, e, _, q, _ in h] for _, h in found]
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[1:], pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array(hits, kind)],
                 names=[*keep, "score", "predicted", "hits"],

@@ -18,7 +18,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 32_768
 GRAM = 4
 #: Most labelled rows that training takes; more are an error, as the table is meant to be small.
 MAX_LABELLED = 500
@@ -29,8 +29,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 MAX_RULES = 1000
 
 #: The labelled table: parts of hosts, joined to urls below. Spam is 1.
-SPAM_WORDS = "cheap-pills spam-farm casino-bonus free-money viagra-shop poker-win payday-loans replica-watches hot-dates adult-cams lottery-prize bet-jackpot click-farm link-farm seo-spam miracle-diet buy-followers crypto-profit free-iphone cheap-meds pills-online xxx-video porn-tube sex-chat fake-bags forex-rich win-cash slots-vegas diet-pills spam-mail".split()
-GOOD_WORDS = "therin ththan library weather museum university recipes garden history science cityhall school travel music forum docs news shop-local farmers-market bank hospital sports railway books chess theatre airport newspaper research kitchen".split()
+SPAM_WORDS = "cheap-pills spam-farm casino-bonus free-money viagra-shop poker-win payday-loans replica-watches hot-dates adult-cams lottery-prize bet-jackpot click-farm link-farm seo-spam miracle-diet buy-followers crypto-profit free-iphone cheap-meds pills-online xxx-video porn-tube sex-chat fake-bags forex-rich win-cash slots-vegas diet-pills spam-mail ads-track ad-tracker banner-ads click-ads popup-ads track-ads free-bets".split()
+GOOD_WORDS = "therin ththan library weather museum university recipes garden history science cityhall school travel music forum docs news shop-local farmers-market bank hospital sports railway books chess theatre airport newspaper research kitchen archive gallery poetry physics village harbour orchard gazette cinema theory thesis athens northern weather-station students parents teachers nations mountains".split()
 GOOD_PATHS = "/en/1 /de/22.html /fr/333?page=2 /es/44/ /about /en/articles/2020 /news/item-7".split()
 
 
