@@ -65,7 +65,7 @@ def windows(start: Column, stop: Column, days: int) -> Column:
 
 def coverage(covered: Column, warning: Column, failed: Column, today: Column) -> Column:
     """Struct (covered_through, status): days after the first failure stay uncovered; warnings without evidence cover nothing."""
-    own = F.when(covered.isNull() & (warning == ""), today).otherwise(F.least(covered, today))
+    own = F.when(covered.isNotNull(), F.least(covered, today)).when(warning == "", today)
     own = F.when(failed.isNotNull(), F.least(F.coalesce(own, today), F.date_sub(failed, 1))).otherwise(own)
     partial = (warning != "") | F.coalesce(own < today, F.lit(True))
     return F.struct(own.alias("covered_through"), F.when(partial, "PARTIAL").otherwise("OK").alias("status"))
