@@ -75,7 +75,7 @@ def draw(slots: list[int], seed: int = SEED) -> np.ndarray:
         out.append(got)
         left = left - got
         total -= want
-    return np.array(out, dtype=np.int64).reshape(-1, len(slots))
+    return np.array(out, dtype=np.int64).reshape(len(out), len(slots))
 
 
 def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
