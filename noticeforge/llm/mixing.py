@@ -130,7 +130,8 @@ class Mix:
         sums = sums.select("ix", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
         within = Window.partitionBy("ix", "bucket").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
         rows = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        return rows.join(sums, ["ix", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("bucket", "before", "within")
+        # Neither table's size has a bound, so neither may be broadcast.
+        return rows.join(sums.hint("merge"), ["ix", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("bucket", "before", "within")
 
     def slots(self) -> DataFrame:
         """shard, slot, ix and block of every output slot."""
@@ -162,7 +163,7 @@ class Mix:
         some = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))))
         some = some.withColumn("from", F.greatest(F.col("block") * b, F.col("start")) - F.col("start"))
         some = some.withColumn("to", F.least(F.col("block") * b + b, F.col("start") + F.col("size")) - F.col("start"))
-        met = some.join(times, ["ix", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+        met = some.join(times.hint("merge"), ["ix", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
         keys = ["ix", "start", "doc_id", "size", "source_size", "target", "k1", "k2"]
         sums = [F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken")]
         if detail:
