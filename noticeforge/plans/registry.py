@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeforge.functions import classify, extract, identity, rules, text
-from noticeforge.operators import merge, outbox, resolve, upsert, views
+from noticeforge.operators import collect, merge, outbox, resolve, upsert, views
 from noticeforge.plans.observations import SELECT, observations
 from noticeforge.sources import html, splitter
 
@@ -473,3 +473,44 @@ def split_documents(spark, sf_dir):
     heads = lines.where(F.length("line") < 40)
     out = views.body_end(heads, ["doc_id"], "pos", F.col("last") + 1)
     return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("stop").cast("long").alias("stop"), F.md5(F.col("line").cast("binary")).alias("heading"))
+
+
+# --- collection and dispatch -----------------------------------------------------
+
+
+@query(f"""WITH {OBS}, {NORM}, {QUALIFIED}, x AS (SELECT base.seq, source, {RELEVANT_SQL} AS relevant, {AREA_SQL} AS area, {ACCESS_SQL} AS access, compatibility AS evidence FROM base JOIN judged USING (seq)),
+y AS (SELECT *, relevant AND area AND access <> 'PROMOCION_INTERNA' AND evidence <> 'NO_COMPATIBLE' AS ok, CASE WHEN access = 'PROMOCION_INTERNA' THEN 'NO_COMPATIBLE' ELSE evidence END AS compatibility, seq % 5 = 0 AS tracked FROM x),
+z AS (SELECT *, ok OR (relevant AND area) AS included FROM y)
+SELECT source, count(*) AS fetched, count(*) FILTER (included) AS included, count(*) FILTER (tracked) AS tracked_kept, count(*) FILTER (NOT (included OR tracked)) AS filtered,
+  count(*) FILTER (compatibility = 'COMPATIBLE') AS compatible, count(*) FILTER (compatibility = 'REVISAR') AS review FROM z GROUP BY source""")
+def collect_counters(spark, sf_dir):
+    e = classify.evaluate(_observed(spark, sf_dir), PROFILE)
+    k = F.col("seq")
+    e = e.withColumns({"reviewable": F.col("decision.relevant") & F.col("decision.in_area"), "tracked": k % 5 == 0, "enrollable": k % 3 == 0, "may_be_open": k % 3 == 1, "first_notify": F.lit(True)})
+    return collect.counters(collect.decide(e, only_enrollable_new=False, show_review=True, first_run=False), "source")
+
+
+@query("SELECT o_orderkey, CASE WHEN NOT (a OR b) OR (kind IN ('UPDATE', 'REMINDER') AND NOT f) OR (kind IN ('NEW', 'REVIEW', 'REMINDER') AND NOT o AND NOT (kind = 'REVIEW' AND m)) THEN 'SUPPRESS' WHEN kind = 'NEW' AND NOT a AND b THEN 'SEND_AS_REVIEW' ELSE 'SEND' END AS action FROM (SELECT o_orderkey, ['NEW', 'REVIEW', 'UPDATE', 'REMINDER'][o_orderkey % 4 + 1] AS kind, o_orderkey % 3 = 0 AS a, o_custkey % 2 = 0 AS b, o_custkey % 5 = 0 AS f, o_orderkey % 7 < 5 AS o, o_custkey % 3 = 0 AS m FROM orders)")
+def dispatch_decision(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.get(F.array(*map(F.lit, ("NEW", "REVIEW", "UPDATE", "REMINDER"))), (k % 4).cast("int"))
+    action = outbox.dispatch_decision(kind, k % 3 == 0, c % 2 == 0, c % 5 == 0, k % 7 < 5, c % 3 == 0)
+    return read(spark, sf_dir, "orders").select("o_orderkey", action.alias("action"))
+
+
+@query("SELECT o_orderkey, CASE WHEN ch AND p IN ('NEW', 'REVIEW') AND i THEN 'REWRITE' WHEN ch AND p IN ('NEW', 'REVIEW') THEN 'SUPPRESS' WHEN ch AND p = 'UPDATE' THEN 'EXTEND' WHEN ch AND n AND (i OR s) THEN 'INSERT_UPDATE' WHEN NOT ch AND w AND m AND n AND p IS NOT NULL THEN 'EXTEND' WHEN NOT ch AND w AND m AND n THEN 'INSERT_UPDATE' ELSE 'TOUCH' END AS action FROM (SELECT o_orderkey, ['NEW', 'REVIEW', 'UPDATE', NULL][o_orderkey % 4 + 1] AS p, o_orderkey % 3 = 0 AS i, o_custkey % 2 = 0 AS ch, o_custkey % 5 <> 0 AS n, o_orderkey % 7 < 2 AS s, o_custkey % 3 = 0 AS w, o_orderkey % 5 < 3 AS m FROM orders)")
+def event_compaction(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pending = F.get(F.array(F.lit("NEW"), F.lit("REVIEW"), F.lit("UPDATE"), F.lit(None).cast("string")), (k % 4).cast("int"))
+    action = merge.event_action(pending, k % 3 == 0, c % 2 == 0, c % 5 != 0, k % 7 < 2, c % 3 == 0, k % 5 < 3)
+    return read(spark, sf_dir, "orders").select("o_orderkey", action.alias("action"))
+
+
+@query("SELECT 'repeated_keys' AS check, (SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)) AS n UNION ALL SELECT 'orphans_l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def integrity_check(spark, sf_dir):
+    return upsert.integrity(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], {"l_orderkey": (read(spark, sf_dir, "orders"), "o_orderkey")})
+
+
+@query("SELECT c_custkey, CASE WHEN length(e) <= 12 THEN e ELSE left(e, 11) || '…' END AS short FROM (SELECT c_custkey, c_name || ' nnnn' AS e FROM customer)")
+def budgeted_text(spark, sf_dir):
+    return read(spark, sf_dir, "customer").select("c_custkey", text.escape_limited(F.concat("c_name", F.lit(" nnnn")), 12).alias("short"))
