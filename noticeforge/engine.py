@@ -205,6 +205,17 @@ class Engine:
     def suppress(self, event_id: str) -> int:
         return self._move(lambda b: outbox.suppress(b, F.col("event_id") == event_id))
 
+    def remind(self, today: date, days_before: list[int], now: datetime) -> int:
+        """Events for confirmed deadlines that are so many days off, each made once."""
+        base = self.state.version()
+        processes, made, box = (self.state.read(t, base) for t in ("processes", "reminders", "notification_outbox"))
+        due = outbox.reminders(processes, made, F.lit(today), days_before)
+        stamp = F.lit(now).cast("timestamp")
+        payload = processes.select(F.col("id").alias("process_id"), self._payload().alias("payload"))
+        new = due.join(payload, "process_id").select(merge.event_id(F.col("event_key")).alias("event_id"), "event_key", "process_id", F.lit("REMINDER").alias("kind"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), "payload", stamp.alias("created_at"), *(F.lit(None).cast(t).alias(c) for c, t in (("claimed_at", "timestamp"), ("sent_at", "timestamp"), ("message_id", "string"))))
+        rows = due.select("process_id", "deadline", "days_before", stamp.alias("created_at"))
+        return self.state.commit({"notification_outbox": upsert.insert_ignore(box, new, ["event_key"], ["event_id"]), "reminders": made.unionByName(rows)}, base)
+
     # --- following and views ---
 
     def follow(self, prefix: str, now: datetime, on: bool = True) -> str:

@@ -63,6 +63,14 @@ def test_collect_deliver_follow(spark, tmp_path):
         e.follow("zz", NOW)
 
 
+def test_reminders_are_made_once(spark, tmp_path):
+    e = Engine(spark, tmp_path.as_uri())
+    e.run(observed(spark, [{}]), TODAY, NOW)
+    for _ in range(2):
+        e.remind(dt.date(2026, 10, 27), [7, 3], NOW)
+    assert e.state.read("reminders").count() == 1 and e.state.read("notification_outbox").where("kind = 'REMINDER'").count() == 1
+
+
 def test_delivery_outcomes(spark, tmp_path):
     e = Engine(spark, tmp_path.as_uri())
     e.run(observed(spark, [{"external_id": f"k{i}", "title": f"Programador informático {w}. Convocatoria", "organisation": o} for i, (w, o) in enumerate([("alfa", "Ayuntamiento de Martos"), ("beta", "Universidad de Jaén"), ("gamma", "Diputación de Jaén")])]), TODAY, NOW)
