@@ -6,8 +6,8 @@ chance. Counting left neighbours rather than documents keeps the words of a
 much-copied document out. A short stated list joins it.
 
 Every distinct word runs through one automaton that accepts what lies within the
-allowed edits of a lexicon word, or starts with a lexicon stem; its states are
-sets of trie nodes with edits so far, made when first needed. A word of 5 to 8
+allowed edits of a lexicon word, or starts with a lexicon stem (learned words under
+a stem are lexicon words as well); its states are sets of trie nodes with edits so far, made when first needed. A word of 5 to 8
 letters may differ by one edit, a longer one by two, a shorter one by none.
 
 A hit's weight is a log-likelihood ratio from training: of the word itself where
@@ -303,7 +303,7 @@ def fit(documents: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
 def choose(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool]]:
     """Terms, and whether they are stems, whose neighbours speak for the label beyond chance.
 
-    A stem stands for what it covers, unless one longer entry covers nearly all of that. The stated words join in.
+    A stem stands for longer stems that it covers, unless one longer entry covers nearly all of that. Words stay entries under a stem too, for their misspellings. The stated words join in.
     """
     stems: list[str] = []
     kept: list[tuple[str, bool]] = []
@@ -319,15 +319,15 @@ def choose(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> lis
         good = {term: t for term, (t, c) in found.items() if speaks(t, c)}
         for term in sorted(good, key=lambda x: (len(x.rstrip("*")), not x.endswith("*"), x)):
             body = term.rstrip("*")
-            if any(body.startswith(s) for s in stems):
-                continue
             if term.endswith("*"):
+                if any(body.startswith(s) for s in stems):
+                    continue
                 if max((good[x] for x in good if x != term and x.startswith(body)), default=0) >= 0.95 * good[term]:
                     continue
                 stems.append(body)
             kept.append((body, term.endswith("*")))
     have = {term for term, stem in kept if not stem}
-    return kept + [(w, False) for w in STATED if w not in have and not any(w.startswith(s) for s in stems)]
+    return kept + [(w, False) for w in STATED if w not in have]
 
 
 def weighted(pairs: DataFrame, terms: list[tuple[str, bool]], n_toxic: int, n_clean: int, prior: float) -> Lexicon:
@@ -351,11 +351,13 @@ def weighted(pairs: DataFrame, terms: list[tuple[str, bool]], n_toxic: int, n_cl
     def ratio(t: float, c: float) -> float:
         return math.log((t + 0.5) / (c + 1.0)) + math.log(n_clean / n_toxic)
 
+    # A word under a stem is matched as the stem's, so its own counts are found by the word.
+    seen = {r.w: (r.n_toxic, r.n_clean) for r in near if not r.edits}
     entries, known = [], {}
     for k, e in enumerate(plain.entries):
         exact = [r for r in near if r.entry == k and not r.edits]
         others = [r for r in near if r.entry == k and r.edits]
-        t, c = sum(r.n_toxic for r in exact), sum(r.n_clean for r in exact)
+        t, c = seen.get(e.term, (0, 0))
         if e.stem:
             # The stem alone is often a common word; words that training hadn't get half of what the others have.
             rest = [r for r in exact if r.w != e.term]

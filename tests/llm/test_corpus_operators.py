@@ -68,6 +68,28 @@ def test_fit_without_labels(spark):
     assert {e.term for e in lex.entries} == set(toxicity.STATED)
 
 
+def test_misspelled_words_under_a_stem(spark):
+    r, docs, labels = random.Random(3), [], []
+    fill = lambda n: ["p" + "".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    terms = ["zorbanikel", "zorbelutan", "zorbitamos"]
+    for i in range(240):
+        toxic = i % 3 == 0
+        words = fill(12)
+        for t in terms if toxic else []:
+            words.insert(r.randrange(1, len(words)), t)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    lex = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    by = {(e.term, e.stem): e for e in lex.entries}
+    assert ("zorb", True) in by and all(by[t, False].edits == 2 for t in terms)
+    own = toxicity.Scorer(lex)
+    score = lambda t: own.score(f"some {t} text")[0]
+    assert all(score(w) > 0.5 for w in ("zorbanikel", "zxrbanikel", "zobelutan", "sorvitamos"))
+    assert all(score(w) < 0.5 for w in ("zxrvenikel", "plain"))
+    assert toxicity.choose({"idio*": (90, 1), "idiot": (40, 0), "idioma": (50, 1)}, 100, 900)[:1] == [("idio", True)]
+    assert ("idiot", False) in toxicity.choose({"idio*": (90, 1), "idioma": (50, 1)}, 100, 900)
+
+
 def test_targets():
     assert mixing.targets([10, 10, 10]) == [5.0, 10.0, 15.0]
     got = mixing.targets([100, 1, 1])
