@@ -5,9 +5,10 @@ built in each task and merged by the aggregation. Estimates well above the
 threshold make a line boilerplate, those well below don't, those in between get
 an exact distinct count. Boilerplate lines leave every text that has them.
 
-A text that is boilerplate for the most part (COPY_SHARE of its characters) is a
-copy of a much-copied document rather than a document with boilerplate; it stays
-whole, for the near-duplicate stage to judge.
+A text without a line of its own is a copy of a much-copied document rather than a
+document with boilerplate; it stays whole, for the near-duplicate stage to judge.
+With copy_share, as the SQL has it, so does a text that is boilerplate for that share
+of its characters; copy_share None exempts no text that has a line of its own.
 
 Lines are compared without white space at their ends; lines of fewer than three
 words (by single spaces) are never removed.
@@ -64,7 +65,7 @@ def boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source",
     return likely.where(F.col("sites") >= sure).select("line", "sites").unionByName(exact)
 
 
-def remove_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, details: bool = False) -> DataFrame:
+def remove_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, copy_share: float | None = COPY_SHARE, details: bool = False) -> DataFrame:
     """The rows without boilerplate lines; with details also n_lines and n_removed (these replace columns of those names)."""
     found = common.cut(boilerplate(df, text_col, site_col, min_sites), "lines-boilerplate")
     text = F.col(text_col)
@@ -76,7 +77,10 @@ def remove_lines(df: DataFrame, text_col: str = "text", site_col: str = "source"
     kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains("_gone", _hash(x)), F.lit(False)))
     joined = F.array_join(kept, "\n")
     gone = F.aggregate(F.filter(_lines(text), lambda x: F.coalesce(F.array_contains("_gone", _hash(x)), F.lit(False))), F.lit(0), lambda n, x: n + F.length(x))
-    is_copy = gone >= copy_share * F.length(text)
+    if copy_share is None:
+        is_copy = ~F.exists(kept, lambda x: _norm(x) != "")
+    else:
+        is_copy = gone >= copy_share * F.length(text)
     whole = F.col("_gone").isNull() | is_copy
     new = F.when(whole, text).otherwise(joined)
     out = both

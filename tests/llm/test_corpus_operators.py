@@ -136,6 +136,19 @@ def test_line_dedup(spark):
     assert linededup.remove_lines(df.limit(0)).count() == 0
 
 
+def test_pipeline_removes_boilerplate_that_is_most_of_a_text(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    passage = " ".join(f"shared{k}" for k in range(60))
+    own = "twelve words that only this text has and nobody else wrote "
+    texts = [f"{own}{i}\n{passage}" for i in range(10)] + [passage, f"{passage}\n \n{passage}"]
+    df = spark.createDataFrame([(i, t, f"s{i % 6}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, rows, SF).collect()}
+    assert got == {i: f"{own}{i}" if i < 10 else t for i, t in enumerate(texts)}
+
+
 def test_line_dedup_equals_sql(spark):
     import duckdb
 
