@@ -23,7 +23,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without boilerplate lines, however much of a text they are; n_chars follows the text."""
-    cleaned = linededup.remove_lines(docs, copy_share=None)
+    cleaned = linededup.remove_lines(docs, copy_share=None, long_chars=linededup.LONG_CHARS)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

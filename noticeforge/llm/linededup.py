@@ -11,7 +11,8 @@ With copy_share, as the SQL has it, so does a text that is boilerplate for that
 of its characters; copy_share None exempts no text that has a line of its own.
 
 Lines are compared without white space at their ends; lines of fewer than three
-words (by single spaces) are never removed.
+words (by single spaces) are never removed, as the SQL has it, but with long_chars
+where they have so many characters: words may be parted otherwise, or not at all.
 
 Cases: a null text stays null, an empty one empty; a null source is a site of its
 own; repeated rows change no spread, as sites are distinct; rows keep all their
@@ -31,6 +32,8 @@ MIN_SITES = 5
 COPY_SHARE = 0.8
 #: Binary logarithm of the sketches' registers; their relative error is about 1.04 / sqrt(2 ^ LG_K).
 LG_K = 8
+#: Characters from which on a line can be boilerplate whatever its words are parted by.
+LONG_CHARS = 20
 #: Estimates within this part of the threshold get exact counts: three times that error.
 NEAR = 0.2
 BLANKS = " \t\r"
@@ -44,19 +47,20 @@ def _norm(line):
     return F.btrim(line, F.lit(BLANKS))
 
 
-def _hash(line):
+def _hash(line, long_chars: int | None = None):
     """Hash of a line that can be boilerplate; null for short ones."""
     own = _norm(line)
-    return F.when(F.size(F.split(own, " ", 3)) >= 3, F.xxhash64(own))
+    long = F.size(F.split(own, " ", 3)) >= 3
+    return F.when(long if long_chars is None else long | (F.length(own) >= long_chars), F.xxhash64(own))
 
 
-def _hashes(text):
-    return F.array_compact(F.array_distinct(F.transform(_lines(text), _hash)))
+def _hashes(text, long_chars: int | None = None):
+    return F.array_compact(F.array_distinct(F.transform(_lines(text), lambda x: _hash(x, long_chars))))
 
 
-def boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, long_chars: int | None = None) -> DataFrame:
     """line (hash) and sites (estimated or, near the threshold, exact) of boilerplate lines."""
-    lines = df.select(F.xxhash64(site_col).alias("site"), F.explode(_hashes(F.col(text_col))).alias("line"))
+    lines = df.select(F.xxhash64(site_col).alias("site"), F.explode(_hashes(F.col(text_col), long_chars)).alias("line"))
     spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"))
     likely = common.cut(spread.where(F.col("sites") >= F.floor(F.lit(min_sites * (1 - NEAR)))), "lines-spread")
     sure = min_sites * (1 + NEAR) + 1
@@ -65,18 +69,18 @@ def boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source",
     return likely.where(F.col("sites") >= sure).select("line", "sites").unionByName(exact)
 
 
-def remove_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, copy_share: float | None = COPY_SHARE, details: bool = False) -> DataFrame:
+def remove_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, copy_share: float | None = COPY_SHARE, details: bool = False, long_chars: int | None = None) -> DataFrame:
     """The rows without boilerplate lines; with details also n_lines and n_removed (these replace columns of those names)."""
-    found = common.cut(boilerplate(df, text_col, site_col, min_sites), "lines-boilerplate")
+    found = common.cut(boilerplate(df, text_col, site_col, min_sites, long_chars), "lines-boilerplate")
     text = F.col(text_col)
     # Rows are told apart by a hash of all their columns: equal rows lose equal lines.
     key = [F.xxhash64(*df.columns).alias("_key"), F.xxhash64(F.lit("again"), *df.columns).alias("_key2")]
-    own = df.select(*key, F.explode(_hashes(text)).alias("line")).distinct()
+    own = df.select(*key, F.explode(_hashes(text, long_chars)).alias("line")).distinct()
     hit = own.join(found.select("line"), "line").groupBy("_key", "_key2").agg(F.collect_set("line").alias("_gone"))
     both = df.select("*", *key).join(hit, ["_key", "_key2"], "left")
-    kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains("_gone", _hash(x)), F.lit(False)))
+    kept = F.filter(_lines(text), lambda x: ~F.coalesce(F.array_contains("_gone", _hash(x, long_chars)), F.lit(False)))
     joined = F.array_join(kept, "\n")
-    gone = F.aggregate(F.filter(_lines(text), lambda x: F.coalesce(F.array_contains("_gone", _hash(x)), F.lit(False))), F.lit(0), lambda n, x: n + F.length(x))
+    gone = F.aggregate(F.filter(_lines(text), lambda x: F.coalesce(F.array_contains("_gone", _hash(x, long_chars)), F.lit(False))), F.lit(0), lambda n, x: n + F.length(x))
     if copy_share is None:
         is_copy = ~F.exists(kept, lambda x: _norm(x) != "")
     else:

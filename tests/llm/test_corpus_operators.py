@@ -149,6 +149,19 @@ def test_pipeline_removes_boilerplate_that_is_most_of_a_text(spark):
     assert got == {i: f"{own}{i}" if i < 10 else t for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("gap", ["\t", "\u00a0", "", " "])
+def test_pipeline_removes_long_lines_however_words_are_parted(spark, gap):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    passage = gap.join(f"shared{k}" for k in range(60))
+    own = "words that only this text has and nobody else wrote "
+    df = spark.createDataFrame([(i, f"{own}{i}\n{passage}\nIbid.", f"s{i}") for i in range(8)], "doc_id long, text string, source string")
+    rows = df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, rows, SF).collect()}
+    assert got == {i: f"{own}{i}\nIbid." for i in range(8)}
+
+
 def test_line_dedup_equals_sql(spark):
     import duckdb
 
