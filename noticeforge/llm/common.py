@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,19 +22,29 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: Most bytes of text that a Python operator turns into arrays at once.
 BATCH_BYTES = 1 << 20
+#: Most bytes of an Arrow batch on its way to or from Python, for sessions that leave Spark's default.
+ARROW_BYTES, ARROW_CONF, ARROW_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, and so share folders and Python's path."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't see its folder."""
+    """Make this package importable in Python workers, and bound the Arrow batches that they get."""
+    if spark.conf.get(ARROW_CONF, ARROW_DEFAULT) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_CONF, ARROW_BYTES)
     app = spark.sparkContext.applicationId
-    if app in _shipped or str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or Path.cwd() == ROOT:
+    seen = str(ROOT) in os.environ.get("PYTHONPATH", "").split(":") or Path.cwd() == ROOT
+    if app in _shipped or (seen and is_local(spark)):
         return
     to = Path(tempfile.mkdtemp()) / "noticeforge.zip"
     with zipfile.ZipFile(to, "w") as z:
@@ -43,19 +54,34 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def give_back() -> None:
+    """Return memory that this worker holds but doesn't use, as it will run other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 _base: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this session under spark.checkpoint.dir; a folder of our own where that is unset."""
+    """A folder of this session under spark.checkpoint.dir; in local mode a folder of our own where that is unset."""
     app = spark.sparkContext.applicationId
     if app not in _base:
         top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not top and not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = top or Path(tempfile.mkdtemp(prefix="noticeforge-")).as_uri()
         _base[app] = f"{top.rstrip('/')}/noticeforge-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_delete, spark, _base[app])
