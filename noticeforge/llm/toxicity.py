@@ -1,9 +1,9 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, then context windows.
 
-The lexicon is learned from labelled documents: words, and stems (prefixes of 4
-to 7 letters), whose distinct left neighbours speak for the label far beyond
-chance. Counting left neighbours rather than documents keeps the words of a
-much-copied document out. A short stated list joins it.
+The lexicon is learned from labelled documents, and from nothing else: words, and
+stems (prefixes of 4 to 7 letters), whose distinct left neighbours speak for the
+label far beyond chance. Counting left neighbours rather than documents keeps the
+words of a much-copied document out.
 
 Every distinct word runs through one automaton that accepts what lies within the
 allowed edits of a lexicon word, or starts with a lexicon stem (learned words under
@@ -18,7 +18,8 @@ add up as independent evidence on top of the label's prior odds; of quoted ones
 only the strongest counts, so quoting alone doesn't make a text abusive.
 
 Cases: null and empty texts have no hits and the base score; repeated rows give
-repeated rows; without labels the stated list alone is used; whole texts are read.
+repeated rows; without labels of both kinds the lexicon is empty, and all texts have
+the base score; whole texts are read.
 """
 
 from __future__ import annotations
@@ -36,11 +37,10 @@ from noticeforge.llm import common
 
 #: Bounds of the sample that the lexicon is learned from, by hash order of doc_id.
 MAX_TOXIC_ROWS, MAX_CLEAN_ROWS = 3000, 6000
-#: Most terms that come to the driver when learning.
-MAX_TERMS = 50_000
-#: Words known whatever the labels say, with the weight (log-likelihood ratio) they have without training.
-STATED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-STATED_WEIGHT = 4.3
+#: Least number of distinct left neighbours in toxic texts that a lexicon term has.
+LEAST_NEIGHBOURS = 5
+#: Weight (log-likelihood ratio) of an entry that training saw in misspellings only.
+UNSEEN_WEIGHT = 4.3
 #: Prior odds (logarithm) without labels, and what a text without hits has less than the prior.
 PRIOR, NO_HITS = -2.2, 2.0
 #: Least precision of a lexicon entry, and the chance allowed for any wrong one.
@@ -209,8 +209,10 @@ class Scorer:
         distinct = set(words)
         new = distinct - self.clean - self.bad
         if new:
-            if len(self.clean) > self.MOST_WORDS:
+            if len(self.clean) + len(self.bad) > self.MOST_WORDS:
                 self.clean.clear()
+                self.bad.clear()
+                new = distinct
             found = {w for w in new if self._suspect(w)}
             self.bad |= found
             self.clean |= new - found
@@ -286,53 +288,51 @@ def fit(documents: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
         each = [F.col("w")] + [F.when(F.length("w") > k, F.concat(F.substring("w", 1, k), F.lit("*"))) for k in range(4, 8)]
         return df.select("left", F.explode(F.array_compact(F.array(*each))).alias("term"))
 
-    toxic = terms(pairs.where("_toxic = 1")).distinct().groupBy("term").agg(F.count("*").alias("n_toxic")).where("n_toxic >= 5")
-    toxic = common.cut(toxic.orderBy(F.desc("n_toxic"), "term").limit(MAX_TERMS), "toxicity-terms")
-    clean = terms(pairs.where("_toxic = 0")).join(F.broadcast(toxic.select("term")), "term").distinct().groupBy("term").agg(F.count("*").alias("n_clean"))
-    found = {r.term: (r.n_toxic, r.n_clean or 0) for r in toxic.join(F.broadcast(clean), "term", "left").collect()}
-    total = {r["_toxic"]: r["n"] for r in pairs.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    labels_of = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    count = lambda df: {r["_toxic"]: r["n"] for r in df.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    total, labels_of, read = count(pairs), count(known), count(texts.select("_toxic"))
     prior = math.log((labels_of.get(1, 0) + 1) / (labels_of.get(0, 0) + 9))
-    entries = choose(found, total.get(1, 0), total.get(0, 0))
-    taken = min(MAX_TOXIC_ROWS, labels_of.get(1, 0)), min(MAX_CLEAN_ROWS, labels_of.get(0, 0))
-    lexicon = weighted(pairs, entries, *taken, prior)
-    common.drop_scratch(pairs, toxic)
+    good: dict[str, int] = {}
+    if total.get(1) and total.get(0):
+        toxic = terms(pairs.where("_toxic = 1")).distinct().groupBy("term").agg(F.count("*").alias("t")).where(F.col("t") >= LEAST_NEIGHBOURS)
+        toxic = common.cut(toxic, "toxicity-terms")
+        clean = terms(pairs.where("_toxic = 0")).join(toxic.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("c"))
+        spoken = toxic.join(clean, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+        good = {r["term"]: r["t"] for r in spoken.where(speaks(F.col("t"), F.col("c"), total[1] / (total[1] + total[0]), max(1, toxic.count()))).collect()}
+        common.drop_scratch(toxic)
+    lexicon = weighted(pairs, choose(good), read.get(1, 0), read.get(0, 0), prior)
+    common.drop_scratch(pairs)
     return lexicon
 
 
-def choose(found: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) -> list[tuple[str, bool]]:
-    """Terms, and whether they are stems, whose neighbours speak for the label beyond chance.
+def speaks(t, c, base: float, terms: int) -> F.Column:
+    """Whether t distinct neighbours in toxic texts and c in clean ones speak for the label beyond the chance that one of so many terms does."""
+    p = t / (t + c)
+    bits = p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(0.0)
+    return (p >= PRECISION) & (p > base) & ((t + c) * bits >= math.log(terms / ALPHA))
 
-    A stem stands for longer stems that it covers, unless one longer entry covers nearly all of that. Words stay entries under a stem too, for their misspellings. The stated words join in.
+
+def choose(good: dict[str, int]) -> list[tuple[str, bool]]:
+    """Of terms that speak for the label, with their numbers of neighbours: entries, and whether they are stems.
+
+    A stem stands for longer stems that it covers, unless one longer term covers nearly all of that. Words stay entries under a stem too, for their misspellings.
     """
     stems: list[str] = []
     kept: list[tuple[str, bool]] = []
-    if n_toxic and n_clean:
-        base = n_toxic / (n_toxic + n_clean)
-        need = math.log(max(1, len(found)) / ALPHA)
-
-        def speaks(t: int, c: int) -> bool:
-            p = t / (t + c)
-            bits = p * math.log(p / base) + ((1 - p) * math.log((1 - p) / (1 - base)) if p < 1 else 0)
-            return p >= PRECISION and p > base and (t + c) * bits >= need
-
-        good = {term: t for term, (t, c) in found.items() if speaks(t, c)}
-        for term in sorted(good, key=lambda x: (len(x.rstrip("*")), not x.endswith("*"), x)):
-            body = term.rstrip("*")
-            if term.endswith("*"):
-                if any(body.startswith(s) for s in stems):
-                    continue
-                if max((good[x] for x in good if x != term and x.startswith(body)), default=0) >= 0.95 * good[term]:
-                    continue
-                stems.append(body)
-            kept.append((body, term.endswith("*")))
-    have = {term for term, stem in kept if not stem}
-    return kept + [(w, False) for w in STATED if w not in have]
+    for term in sorted(good, key=lambda x: (len(x.rstrip("*")), not x.endswith("*"), x)):
+        body = term.rstrip("*")
+        if term.endswith("*"):
+            if any(body.startswith(s) for s in stems):
+                continue
+            if max((good[x] for x in good if x != term and x.startswith(body)), default=0) >= 0.95 * good[term]:
+                continue
+            stems.append(body)
+        kept.append((body, term.endswith("*")))
+    return kept
 
 
 def weighted(pairs: DataFrame, terms: list[tuple[str, bool]], n_toxic: int, n_clean: int, prior: float) -> Lexicon:
     """Weights of the entries, of their misspellings, and of the words of training that they match. n_toxic, n_clean: texts."""
-    plain = Lexicon(tuple(Entry(t, stem, STATED_WEIGHT, None if stem else 1.0) for t, stem in terms), prior)
+    plain = Lexicon(tuple(Entry(t, stem, UNSEEN_WEIGHT, None if stem else 1.0) for t, stem in terms), prior)
     fuzzy = math.log(FUZZY_PRIOR / (1 - FUZZY_PRIOR)) - prior
     if not n_toxic or not n_clean:
         return Lexicon(tuple(Entry(e.term, e.stem, e.weight, fuzzy) for e in plain.entries), prior)
@@ -363,7 +363,7 @@ def weighted(pairs: DataFrame, terms: list[tuple[str, bool]], n_toxic: int, n_cl
             rest = [r for r in exact if r.w != e.term]
             weight = 0.5 * ratio(sum(r.n_toxic for r in rest), sum(r.n_clean for r in rest))
         else:
-            weight = ratio(t, c) if t + c else STATED_WEIGHT
+            weight = ratio(t, c) if t + c else UNSEEN_WEIGHT
         known |= {r.w: max(0.0, ratio(r.n_toxic, r.n_clean)) for r in exact if r.n_toxic + r.n_clean >= OWN_CASES}
         known |= {r.w: 0.0 for r in others if r.n_clean}
         more = max(0.0, sum(r.n_toxic for r in others) - sum(r.n_clean for r in others) * n_toxic / n_clean)

@@ -40,7 +40,7 @@ def test_automaton_equals_edit_distance():
 
 
 def test_scores_context_and_odd_texts(spark):
-    lex = toxicity.Lexicon(tuple(toxicity.Entry(t, False, 5.0, 2.5) for t in toxicity.STATED))
+    lex = toxicity.Lexicon(tuple(toxicity.Entry(t, False, 5.0, 2.5) for t in ("idiot", "moron", "worthless")))
     own = toxicity.Scorer(lex)
     score = lambda t: own.score(t)[0]
     assert score("You are an IDIOT.") > 0.5 > score('He said "idiot" once, the word was quoted.')
@@ -59,13 +59,24 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     out = [r for r in got if r.held_out]
     pairs = [(a.score, b.score) for a in out if a.toxic for b in out if not b.toxic]
-    assert sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs) > 0.75
+    assert sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs) > 0.9
 
 
 def test_fit_without_labels(spark):
-    docs = spark.createDataFrame([(1, "idiot")], "doc_id long, text string")
-    lex = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert {e.term for e in lex.entries} == set(toxicity.STATED)
+    docs = spark.createDataFrame([(1, "idiot"), (None, None)], "doc_id long, text string")
+    for labels in ([], [(None, 1), (1, None)], [(2, 1), (2, 1), (3, 0)]):
+        lex = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert lex.entries == ()
+    assert [r.predicted for r in toxicity.score_documents(docs, lex).collect()] == [0, 0]
+
+
+def test_unlabelled_words_are_unknown(spark):
+    """What the lexicon knows comes from training rows alone: the most common words of held-out toxic texts aren't in it if no other row has them."""
+    rows = [(i, " ".join(f"f{(i * 7 + k) % 50} zorbanikel" for k in range(9)) if i % 3 == 0 else " ".join(f"g{(i * 5 + k) % 50}" for k in range(9))) for i in range(300)]
+    out = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    rows = [(i, t.replace("zorbanikel", "vexulamin") if i in out else t) for i, t in rows]
+    lex = toxicity.fit(spark.createDataFrame(rows + rows[:9], "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert "zorbanikel" in {e.term for e in lex.entries} and not any(e.term.startswith("vexu") for e in lex.entries)
 
 
 def test_misspelled_words_under_a_stem(spark):
@@ -86,8 +97,8 @@ def test_misspelled_words_under_a_stem(spark):
     score = lambda t: own.score(f"some {t} text")[0]
     assert all(score(w) > 0.5 for w in ("zorbanikel", "zxrbanikel", "zobelutan", "sorvitamos"))
     assert all(score(w) < 0.5 for w in ("zxrvenikel", "plain"))
-    assert toxicity.choose({"idio*": (90, 1), "idiot": (40, 0), "idioma": (50, 1)}, 100, 900)[:1] == [("idio", True)]
-    assert ("idiot", False) in toxicity.choose({"idio*": (90, 1), "idioma": (50, 1)}, 100, 900)
+    assert toxicity.choose({"idio*": 90, "idiot": 40, "idioma": 50}) == [("idio", True), ("idiot", False), ("idioma", False)]
+    assert toxicity.choose({"idio*": 90, "idiot": 89}) == [("idiot", False)]
 
 
 def test_targets():
