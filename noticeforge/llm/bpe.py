@@ -23,14 +23,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeforge.llm import common
 
-#: Pieces that a worker's cache holds at most; then it starts anew.
-CACHE_PIECES = 250_000
+#: Pieces that a worker's cache holds at most (then it starts anew), and bytes of one.
+CACHE_PIECES, CACHE_BYTES = 250_000, 64
 
 # States after a code point.
 FRESH, IN_LETTERS, IN_DIGITS, IN_OTHER, IN_SPACE, PENDING, ONE_MORE, TWO_MORE = range(8)
@@ -174,14 +173,9 @@ class Vocabulary:
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
         self.cache: dict[bytes, bytes] = {}
-        # The library's compiled pair merge; it gets single pieces, so its own pattern is never used.
-        self.library = tiktoken.Encoding("pieces", pat_str=r".", mergeable_ranks=self.ranks, special_tokens={})
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece: the pair of the lowest rank, leftmost first, is joined until none is left.
-
-        The plain form of what the library's merge does; tests hold one against the other.
-        """
+        """Ids of a piece: the pair of the lowest rank, leftmost first, is joined until none is left."""
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
@@ -227,16 +221,16 @@ class Vocabulary:
 
     def packed(self, pieces: list[bytes]) -> list[bytes]:
         """Each piece's ids as little-endian unsigned 32-bit integers."""
-        got, join = list(map(self.cache.get, pieces)), self.library._core_bpe.encode_single_piece
+        got = list(map(self.cache.get, pieces))
         if None in got:
             for i, x in enumerate(got):
                 if x is None:
                     piece = pieces[i]
                     if (x := self.cache.get(piece)) is None:
-                        x = array("I", join(piece) if len(piece) <= 256 else self._merge_long(piece)).tobytes()
-                        if len(self.cache) >= CACHE_PIECES:
-                            self.cache.clear()
-                        if len(piece) <= 64:
+                        x = array("I", self.merge(piece)).tobytes()
+                        if len(piece) <= CACHE_BYTES:
+                            if len(self.cache) >= CACHE_PIECES:
+                                self.cache.clear()
                             self.cache[piece] = x
                     got[i] = x
         return got
