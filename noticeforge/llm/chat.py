@@ -1,17 +1,19 @@
 """Chat formatting: layouts are told apart by a fingerprint of their field paths.
 
 A record is a JSON object. Its nested field paths (array steps as []) are hashed;
-the hash selects a declarative mapping that says where roles and texts lie. The
-canonical turns are then formatted with turn marks, and the text of assistants is
-the loss mask.
+the hash selects a declarative mapping that says where roles and texts lie. A record
+with further fields has another hash: then the paths that a mapping reads are hashed
+without the others, and the mapping that reads most decides. The canonical turns are
+then formatted with turn marks, and the text of assistants is the loss mask.
 
 Inside texts and roles a backslash goes between the parts of anything that looks
 like the start of a mark ("<|", "<\\|", ...); reading removes it again, so any
 text survives.
 
-Cases: a null text or role is an empty one; a null record has no turns; a record
-whose layout no mapping knows keeps no turns and says so in layout ("unknown").
-Repeated records give repeated rows. Ties in a conversation's turn numbers are
+Cases: a null text or role is an empty one, one that isn't a string stands as JSON; a
+null record has no turns; a record whose layout no mapping knows says so in layout
+("unknown") and is one turn of that role with the whole record as its text, so that
+nothing is lost. Repeated records give repeated rows. Ties in a conversation's turn numbers are
 ordered by role and text, null turns come first.
 """
 
@@ -56,25 +58,47 @@ def fingerprint(found: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
-def _layout(mapping: dict) -> list[set[str]]:
+def _layouts(mapping: dict) -> list[set[str]]:
     """The path sets that a mapping knows."""
     if "turns" in mapping:
         top, role, text = f".{mapping['turns']}", mapping["role"], mapping["text"]
-        return [{top}, {top, f"{top}[].{role}", f"{top}[].{text}"}]
+        return [{top, f"{top}[].{role}", f"{top}[].{text}"}, {top}]
     return [{f".{f}" for _, *fields in mapping["fields"] for f in fields}]
 
 
 def registry(mappings: dict = MAPPINGS) -> dict[str, str]:
     """Name of the mapping for each known fingerprint."""
-    return {fingerprint(p): name for name, m in mappings.items() for p in _layout(m)}
+    return {fingerprint(p): name for name, m in mappings.items() for p in _layouts(m)}
+
+
+def layout_of(record, known: dict[str, str], mappings: dict = MAPPINGS) -> str | None:
+    """Name of the mapping that reads a record, None if there is none."""
+    if not isinstance(record, dict):
+        return None
+    found = paths(record)
+    candidates = [(len(found), known.get(fingerprint(found)))]
+    for name, mapping in mappings.items():
+        own = found & _layouts(mapping)[0]
+        candidates.append((len(own), name if known.get(fingerprint(own)) == name else None))
+    for _, name in sorted((c for c in candidates if c[1]), key=lambda c: -c[0]):
+        mapping = mappings[name]
+        turns = record.get(mapping["turns"]) if "turns" in mapping else None
+        # A list has turns that can be read, or none at all.
+        if "turns" not in mapping or turns is None or (isinstance(turns, list) and all(isinstance(t, dict) and {mapping["role"], mapping["text"]} <= set(t) for t in turns)):
+            return name
+    return None
+
+
+def _string(value) -> str:
+    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
 def canonical(record: dict, mapping: dict) -> list[tuple[str, str]]:
     if "turns" in mapping:
         names = mapping.get("names", {})
-        found = ((x.get(mapping["role"]) or "", x.get(mapping["text"]) or "") for x in record.get(mapping["turns"]) or [])
+        found = ((_string(x.get(mapping["role"])), _string(x.get(mapping["text"]))) for x in record.get(mapping["turns"]) or [])
         return [(names.get(role, role), text) for role, text in found]
-    return [(role, "\n".join(x for f in fields if (x := record.get(f) or "")) if len(fields) > 1 else record.get(fields[0]) or "") for role, *fields in mapping["fields"]]
+    return [(role, "\n".join(x for f in fields if (x := _string(record.get(f)))) if len(fields) > 1 else _string(record.get(fields[0]))) for role, *fields in mapping["fields"]]
 
 
 def escape(text: str) -> str:
@@ -129,13 +153,15 @@ def format_records(df: DataFrame, record_col: str = "record", keep: tuple[str, .
             layouts, texts, masks = [], [], []
             for raw in part.column(0).to_pylist():
                 try:
-                    record = json.loads(raw) if raw is not None else {}
+                    record = json.loads(raw) if raw is not None else None
                 except ValueError:
                     record = None
-                name = known.get(fingerprint(paths(record)), "unknown") if isinstance(record, dict) else "unknown"
-                turns = canonical(record, mappings[name]) if name != "unknown" else []
+                if name := layout_of(record, known, mappings):
+                    turns = canonical(record, mappings[name])
+                else:
+                    turns = [] if raw is None else [("unknown", raw)]
                 text, spans = render(turns)
-                layouts.append(name)
+                layouts.append(name or "unknown")
                 texts.append(text)
                 masks.append([{"start": a, "stop": b} for a, b in spans])
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(layouts, pa.string()), pa.array(texts, pa.string()), pa.array(masks, spans_type)], names=[*keep, "layout", "formatted", "loss_spans"])

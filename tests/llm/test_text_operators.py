@@ -81,6 +81,8 @@ def test_ogg_round_trip_and_damage(spark):
         raw = (r.text or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.error) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), None)
+        assert r.packet_ms[-1] == len(payload) * 1000 // ogg.SAMPLE_RATE and r.packet_ms == sorted(r.packet_ms)
+    assert ogg.describe(ogg.attach(frame(spark, values).limit(0))).count() == 0
     media = ogg.write(ogg.pad(b"abc" * 5000), 15000)
     assert len(ogg.read(media)) == 2
     for at in (4, 30, 200, len(media) - 1):
@@ -94,6 +96,37 @@ def test_ogg_round_trip_and_damage(spark):
     assert all(r.payload_sha256 is None and r.error for r in bad)
 
 
+def pages(media):
+    """(serial, flags, granule, lacing values) of each page, read plainly."""
+    at, out = 0, []
+    while at < len(media):
+        n = media[at + 26]
+        values = list(media[at + 27 : at + 27 + n])
+        out.append((*struct.unpack_from("<I", media, at + 14), media[at + 5], *struct.unpack_from("<q", media, at + 6), values))
+        at += 27 + n + sum(values)
+    return out
+
+
+def test_ogg_pages_share_and_span():
+    payload = bytes(range(256)) * 1000
+    found = pages(ogg.write(payload, len(payload)))
+    ended = [sum(v < 255 for v in values) for _, _, _, values in found]
+    assert max(ended) > 2 and any(f & ogg.CONTINUED for _, f, _, _ in found)
+    assert any(not n and g == -1 and len(v) == 255 for n, (_, _, g, v) in zip(ended, found))
+    serials = [s for s, *_ in found]
+    assert any(a == b for a, b in zip(serials, serials[1:])) and serials != sorted(serials)
+    own, _, feature, times = ogg.features(ogg.write(payload, len(payload)))
+    assert own == payload and f"ms={len(payload) // 8};" in feature
+    sizes, at, want = [800, 1600, 2400, 80_000], 0, []
+    while at < len(payload):
+        at = min(len(payload), at + sizes[len(want) % 4])
+        want.append(at // 8)
+    assert times == want
+    assert ogg.ends([None, 5, None, 12], [2, 3, 3, 4]) == [2, 5, 8, 12]
+    with pytest.raises(ogg.Damaged):
+        ogg.ends([None, 6], [2, 3])
+
+
 def test_ogg_checksum_is_the_formats():
     def plain(data):
         c = 0
@@ -123,15 +156,35 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.format_records(chat.records(df.limit(0)))).count() == 0
 
 
+def test_counts_of_odd_tables(spark):
+    """An empty table, and texts without a space to split at."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=counts.default_path())
+    values = ["x" * 50_000, "漢" * 9000, "▁" * 300, None]
+    got = {r.doc_id: r.n_tokens for r in counts.count_tokens(frame(spark, values)).collect()}
+    assert got == {i: len(model.encode(t or "")) for i, t in enumerate(values)}
+    assert counts.count_tokens(frame(spark, values).limit(0)).count() == 0
+
+
 def test_chat_layouts(spark):
     records = [
         ('{"prompt": "q", "response": "a"}', "prompt", [("user", "q"), ("assistant", "a")]),
         ('{"instruction": "i", "input": "x", "output": "o"}', "instruction_input", [("user", "i\nx"), ("assistant", "o")]),
         ('{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', "share", [("user", "q"), ("assistant", "a")]),
         ('{"messages": []}', "messages", []),
-        ('{"other": 1}', "unknown", []),
-        ("[1]", "unknown", []),
-        ("{bad", "unknown", []),
+        ('{"messages": [], "id": 3}', "messages", []),
+        ('{"id": 3, "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": null, "weight": 0}]}', "messages", [("user", "q"), ("assistant", "")]),
+        ('{"turns": [{"role": "user", "text": ["a", 1]}], "meta": {"k": 1}}', "turns", [("user", '["a", 1]')]),
+        ('{"prompt": "q", "response": "a", "system": "s", "score": 1}', "system_prompt", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ('{"question": "q", "answer": 7}', "question", [("user", "q"), ("assistant", "7")]),
+        ('{"prompt": "q", "completion": "c", "n": 1}', "completion", [("user", "q"), ("assistant", "c")]),
+        ('{"instruction": "i", "output": "o"}', "instruction", [("user", "i"), ("assistant", "o")]),
+        ('{"messages": [{"speaker": "x"}]}', "unknown", [("unknown", '{"messages": [{"speaker": "x"}]}')]),
+        ('{"messages": ["x"]}', "unknown", [("unknown", '{"messages": ["x"]}')]),
+        ('{"other": 1}', "unknown", [("unknown", '{"other": 1}')]),
+        ("[1]", "unknown", [("unknown", "[1]")]),
+        ("{bad<|im_end|>", "unknown", [("unknown", "{bad<|im_end|>")]),
         (None, "unknown", []),
     ]
     df = spark.createDataFrame([(i, r) for i, (r, _, _) in enumerate(records)], "conv_id long, record string")
