@@ -1,22 +1,22 @@
 """Mixing sources to target weights, by blocks.
 
 The words of each source stand in one stream, its documents in a pseudorandom
-order that reruns repeat; the stream is packed into blocks of BLOCK_WORDS. Output
-shards of equal numbers of slots draw how many slots each source gets from a
-multinomial over what the sources still have to give, so that over all shards a
-source gives just its target. A source's slots map to its blocks through
-pseudorandom permutations, one for each pass over the source; slots and documents'
-spans then meet by block number.
+order that reruns repeat; the stream is packed into blocks of BLOCK_WORDS. How many
+slots a source gets in each output shard is drawn from a multinomial, given the
+source's slots in all, so that over all shards a source gives just its target. A
+source's slots map to its blocks through pseudorandom permutations, one for each
+pass over the source; slots and documents' spans then meet by block number.
 
 Targets: weights cycle over the sources by code point, null last, and share all
 words; a target above MOST_PASSES times its source's words stops there, and the
 excess is shared by weight among the others, until none is above. No block is
-taken more often than that, so no document is either.
+taken more often than that, so no document is either. Sources are rows of a table,
+numbered in parts by range, and each round of resharing is one aggregation: there is
+no bound on their number, and the driver sees sums only.
 
 Cases: null and empty texts have size 0 and are taken 0 times; a null source is a
 source; repeated rows stand in the stream as often as they come; an empty table
-gives an empty result. Sources come to the driver, as they are the mix's
-configuration: more than MAX_SOURCES of them are an error.
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,49 +33,46 @@ from noticeforge.llm import common
 BLOCK_WORDS = 128
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
-MAX_SOURCES = 10_000
-#: Output shards at most, and the least number of slots of one.
-MAX_SHARDS, SHARD_SLOTS = 1024, 4096
-#: Rows of one source that a task numbers.
-BUCKET_ROWS = 50_000
+#: Slots that a shard should have, and shards at most; beyond that, shards are larger.
+SHARD_SLOTS, MAX_SHARDS = 4096, 65_536
+#: Slots that one task makes, about.
+TASK_SLOTS = 1 << 20
 SEED = 20_240_229
 
 
-def targets(sizes: list[int], weights=WEIGHTS, most: float = MOST_PASSES) -> list[float]:
-    """Target of each source, in order, given their words."""
-    total, n = float(sum(sizes)), len(sizes)
-    w = [float(weights[i % len(weights)]) for i in range(n)]
-    out, free = [0.0] * n, list(range(n))
-    while free:
-        left, share = total - sum(out[i] for i in range(n) if i not in set(free)), sum(w[i] for i in free)
-        for i in free:
-            out[i] = left * w[i] / share
-        above = [i for i in free if out[i] > most * sizes[i]]
-        if not above:
+def numbered(sources: DataFrame) -> DataFrame:
+    """The table of sources (source, size) with ix: its place by code point, null last. Parts by range are numbered apart, then moved by what comes before."""
+    spark = sources.sparkSession
+    key = [F.col("source").isNull().alias("none"), F.col("source")]
+    parts = common.cut(sources.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *key).withColumn("part", F.spark_partition_id()), "mix-parts")
+    # One row for each part, at most as many as there are shuffle partitions.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*key))
+    return parts.withColumn("within", within).join(moved, "part").select("source", "size", (F.col("before") + F.col("within") - 1).alias("ix"))
+
+
+def with_targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST_PASSES) -> DataFrame:
+    """Numbered sources with target. Each round finds the share of a unit of weight among those that aren't at their most; it only grows."""
+    cycle = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("ix") % len(weights) + 1).cast("int"))
+    rows = sources.withColumn("weight", cycle)
+    total, share = float(rows.agg(F.sum("size")).first()[0] or 0), 0.0
+    while True:
+        # Those at their most for the share so far stay there, as it never falls.
+        full = F.col("weight") * share > most * F.col("size")
+        r = rows.agg(F.sum(F.when(full, F.col("size") * float(most)).otherwise(0.0)).alias("given"), F.sum(F.when(~full, F.col("weight"))).alias("weights")).first()
+        if not r["weights"]:
             break
-        for i in above:
-            out[i] = float(most * sizes[i])
-        free = [i for i in free if i not in set(above)]
-    return out
-
-
-def draw(slots: list[int], seed: int = SEED) -> np.ndarray:
-    """Slots of each source (columns) in each output shard (rows); columns add up to slots, rows are full but for the last."""
-    left = np.array(slots, dtype=np.int64)
-    total = int(left.sum())
-    size = max(SHARD_SLOTS, -(-total // MAX_SHARDS))
-    random = np.random.Generator(np.random.Philox(seed))
-    out = []
-    while total > 0:
-        want = min(size, total)
-        got = np.zeros_like(left)
-        while (need := want - int(got.sum())) > 0:
-            rest = left - got
-            got = np.minimum(got + random.multinomial(need, rest / rest.sum()), left)
-        out.append(got)
-        left = left - got
-        total -= want
-    return np.array(out, dtype=np.int64).reshape(len(out), len(slots))
+        new = (total - (r["given"] or 0.0)) / r["weights"]
+        if new <= share:
+            break
+        share = new
+    return rows.withColumn("target", F.least(F.col("weight") * share, F.col("size") * float(most))).drop("weight")
+
+
+def draw(slots: int, shards: int, key: int) -> np.ndarray:
+    """A source's slots in each output shard: multinomial counts that add up to slots."""
+    return np.random.Generator(np.random.Philox(key)).multinomial(slots, np.full(shards, 1 / shards))
 
 
 def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -99,7 +96,7 @@ def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 class Mix:
-    """The tables of a mix: sources (driver), documents' spans and slots."""
+    """The tables of a mix: sources, documents' spans and slots."""
 
     def __init__(self, df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", block_words: int = BLOCK_WORDS) -> None:
         self.spark, self.block_words = df.sparkSession, block_words
@@ -108,22 +105,22 @@ class Mix:
         key = [F.xxhash64(*df.columns).alias("k1"), F.xxhash64(F.lit("again"), *df.columns).alias("k2")]
         rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), common.word_count(F.col(text_col)).alias("size"), *key)
         self.rows = common.cut(rows, "mix-rows")
-        found = self.rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-        if len(found) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
-        found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-        self.sources = [r["source"] for r in found]
-        self.sizes = [r["size"] for r in found]
-        self.targets = targets(self.sizes)
-        self.blocks = [-(-s // block_words) for s in self.sizes]
-        self.slots_of = [min(MOST_PASSES * b, round(t * b / s)) if s else 0 for t, b, s in zip(self.targets, self.blocks, self.sizes)]
-        self.n_rows = sum(r["n"] for r in found)
+        sums = common.cut(self.rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "mix-sums")
+        self.n_rows = sums.agg(F.sum("n")).first()[0] or 0
+        found = with_targets(common.cut(numbered(sums.select("source", "size")), "mix-numbered"))
+        blocks = F.ceil(F.col("size") / block_words)
+        slots = F.when(F.col("size") > 0, F.least(MOST_PASSES * F.col("blocks"), F.round(F.col("target") * F.col("blocks") / F.col("size")).cast("long"))).otherwise(F.lit(0).cast("long"))
+        #: ix, source, size, target, blocks and slots of each source.
+        self.sources = common.cut(found.withColumn("blocks", blocks).withColumn("slots", slots), "mix-sources")
 
     def spans(self) -> DataFrame:
-        """Rows with ix (of the source), source_size, target and start: the place of their first word in the source's stream."""
-        known = self.spark.createDataFrame(list(zip(range(len(self.sources)), self.sources, self.sizes, self.targets)), "ix int, source string, source_size long, target double")
-        n = max(1, -(-self.n_rows // BUCKET_ROWS))
-        rows = self.rows.withColumn("name", F.col("source")).drop("source").join(F.broadcast(known), F.col("name").eqNullSafe(F.col("source"))).drop("name", "source")
+        """Rows with ix (of the source), source_size, target and start: the place of their first word in the source's stream.
+
+        A source's rows are dealt to buckets; there are as many buckets as a bucket of the largest source can have rows, so that neither becomes large.
+        """
+        known = self.sources.select("ix", F.col("source").alias("name"), F.col("size").alias("source_size"), "target")
+        n = max(1, int(self.n_rows**0.5))
+        rows = self.rows.join(known, F.col("name").eqNullSafe(F.col("source"))).drop("name", "source")
         rows = rows.withColumn("bucket", F.pmod("k1", F.lit(n)))
         sums = rows.groupBy("ix", "bucket").agg(F.sum("size").alias("sum"))
         before = Window.partitionBy("ix").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,13 +130,29 @@ class Mix:
         # Neither table's size has a bound, so neither may be broadcast.
         return rows.join(sums.hint("merge"), ["ix", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("bucket", "before", "within")
 
+    def drawn(self) -> DataFrame:
+        """shard, at (the slot where the source's ones begin), ix, first (of the source's slots), n and blocks, where a source has slots in a shard."""
+        total = self.sources.agg(F.sum("slots")).first()[0] or 0
+        shards = min(MAX_SHARDS, max(1, -(-total // SHARD_SLOTS)))
+        names = ["shard", "ix", "first", "n", "blocks"]
+
+        def run(batches):
+            for batch in batches:
+                for ix, slots, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+                    n = draw(slots, shards, SEED + ix)
+                    at = np.flatnonzero(n)
+                    first = (np.cumsum(n) - n)[at]
+                    full = lambda x: np.full(len(at), x)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (at, full(ix), first, n[at], full(blocks))], names=names)
+
+        plan = common.map_arrow(self.sources.where("slots > 0").select("ix", "slots", "blocks"), run, ", ".join(f"{c} long" for c in names))
+        before = Window.partitionBy("shard").orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
+        return plan.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("tasks", F.lit(max(1, -(-total // TASK_SLOTS))))
+
     def slots(self) -> DataFrame:
         """shard, slot, ix and block of every output slot."""
-        drawn = draw(self.slots_of)
-        first = np.cumsum(drawn, axis=0) - drawn
-        offset = np.cumsum(drawn, axis=1) - drawn
-        table = [(h, int(offset[h, s]), s, int(first[h, s]), int(drawn[h, s]), int(self.blocks[s])) for h, s in zip(*np.nonzero(drawn))]
-        plan = self.spark.createDataFrame([tuple(map(int, t)) for t in table], "shard int, at long, ix int, first long, n long, blocks long")
+        plan = common.cut(self.drawn(), "mix-drawn")
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), plan.agg(F.max("tasks")).first()[0] or 1)
 
         def run(batches):
             for batch in batches:
@@ -150,10 +163,11 @@ class Mix:
                         for turn in np.unique(q // blocks):
                             own = q // blocks == turn
                             out[own] = permuted(q[own] % blocks, blocks, SEED + ix * 8 + int(turn))
-                        full = lambda x, t: pa.array(np.full(len(q), x, dtype=t))
-                        yield pa.RecordBatch.from_arrays([full(shard, np.int32), pa.array(at + a + np.arange(len(q))), full(ix, np.int32), pa.array(out)], names=["shard", "slot", "ix", "block"])
+                        full = lambda x: pa.array(np.full(len(q), x, dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays([full(shard), pa.array(at + a + np.arange(len(q))), full(ix), pa.array(out)], names=["shard", "slot", "ix", "block"])
 
-        return common.map_arrow(plan.repartition(max(1, min(len(table), 256)), "shard", "ix"), run, "shard int, slot long, ix int, block long")
+        dealt = plan.select("shard", "at", "ix", "first", "n", "blocks").repartition(tasks, "shard", "ix")
+        return common.map_arrow(dealt, run, "shard long, slot long, ix long, block long")
 
     def taken(self, detail: bool = False) -> DataFrame:
         """doc_id, size, source_size, target, taken (and, for detail, k1, k2 and parts: from, to and times of runs of words)."""

@@ -28,10 +28,10 @@ STEPS, RATE, DECAY = 80, 0.5, 0.002
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MAX_RULES = 1000
 
-#: The labelled table: parts of hosts, joined to urls below. Spam is 1.
-SPAM_WORDS = "cheap-pills spam-farm casino-bonus free-money viagra-shop poker-win payday-loans replica-watches hot-dates adult-cams lottery-prize bet-jackpot click-farm link-farm seo-spam miracle-diet buy-followers crypto-profit free-iphone cheap-meds pills-online xxx-video porn-tube sex-chat fake-bags forex-rich win-cash slots-vegas diet-pills spam-mail ads-track ad-tracker banner-ads click-ads popup-ads track-ads free-bets".split()
-GOOD_WORDS = "therin ththan library weather museum university recipes garden history science cityhall school travel music forum docs news shop-local farmers-market bank hospital sports railway books chess theatre airport newspaper research kitchen archive gallery poetry physics village harbour orchard gazette cinema theory thesis athens northern weather-station students parents teachers nations mountains".split()
-GOOD_PATHS = "/en/1 /de/22.html /fr/333?page=2 /es/44/ /about /en/articles/2020 /news/item-7".split()
+#: The labelled table: first labels of hosts, joined to urls below, written down from general knowledge of the web. Spam is 1.
+SPAM_WORDS = "casino-bonus free-money viagra-shop poker-win payday-loans replica-watches hot-dates adult-cams lottery-prize bet-jackpot click-bait link-exchange seo-boost miracle-diet buy-followers crypto-profit free-iphone cheap-meds xxx-video porn-tube sex-chat fake-bags forex-rich win-cash slots-vegas weight-loss bulk-mailer ad-server banner-ads popup-ads tracking-pixel easy-credit debt-relief discount-pharmacy instant-riches spam-blast".split()
+GOOD_WORDS = "library weather museum university recipes garden history science cityhall school travel music forum docs news bookshop farmers-market bank hospital sports railway chess theatre airport newspaper research kitchen archive gallery poetry physics village harbour orchard gazette cinema students parents teachers nations mountains dictionary parliament astronomy".split()
+PATHS = "/ /about /index.html /contact?ref=1 /a/b/c /2021/05/post /item.php?id=9".split()
 
 
 def labelled(spark: SparkSession) -> DataFrame:
@@ -41,7 +41,7 @@ def labelled(spark: SparkSession) -> DataFrame:
         for i, w in enumerate(words):
             for k, top in enumerate(("com", "org")):
                 sub = ("", "www.", "blog.", "m.")[(i + k) % 4]
-                rows.append(f"('http://{sub}{w}.example.{top}{GOOD_PATHS[(i + 3 * k) % len(GOOD_PATHS)]}', {label})")
+                rows.append(f"('http://{sub}{w}.example.{top}{PATHS[(i + 3 * k) % len(PATHS)]}', {label})")
     return spark.sql(f"SELECT url, label FROM VALUES {', '.join(rows)} AS t(url, label)")
 
 

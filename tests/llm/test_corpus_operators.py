@@ -101,18 +101,53 @@ def test_misspelled_words_under_a_stem(spark):
     assert toxicity.choose({"idio*": 90, "idiot": 89}) == [("idiot", False)]
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10]) == [5.0, 10.0, 15.0]
-    got = mixing.targets([100, 1, 1])
-    assert got[1:] == [3.0, 3.0] and got[0] == 96.0
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
+def targets(sizes, weights=(1, 2, 3), most=3):
+    """Round by round, as the contract words it."""
+    w, out, free = [weights[i % 3] for i in range(len(sizes))], [0.0] * len(sizes), set(range(len(sizes)))
+    while free:
+        left = sum(sizes) - sum(out[i] for i in range(len(sizes)) if i not in free)
+        for i in free:
+            out[i] = left * w[i] / sum(w[j] for j in free)
+        above = {i for i in free if out[i] > most * sizes[i]}
+        if not above:
+            break
+        for i in above:
+            out[i] = float(most * sizes[i])
+        free -= above
+    return out
+
+
+def test_targets(spark):
+    assert targets([10, 10, 10]) == [5.0, 10.0, 15.0] and targets([100, 1, 1]) == [96.0, 3.0, 3.0]
+    r = random.Random(3)
+    for sizes in ([], [0, 0], [10, 10, 10], [100, 1, 1], [r.choice([0, 1, 5, 90, 4000]) for _ in range(300)]):
+        names = [None if i == len(sizes) - 1 else chr(0xE000 + i) if i % 2 else f"{chr(0x1F300 + i)}" for i in range(len(sizes))]
+        order = sorted(range(len(sizes)), key=lambda i: (names[i] is None, names[i] or ""))
+        df = spark.createDataFrame(list(zip(names, sizes)), "source string, size long").repartition(3)
+        got = {x.source: (x.ix, x.target) for x in mixing.with_targets(mixing.numbered(df)).collect()}
+        want = targets([sizes[i] for i in order])
+        assert all(got[names[i]][0] == k and abs(got[names[i]][1] - want[k]) < 1e-6 for k, i in enumerate(order)) and len(got) == len(sizes)
 
 
 def test_permutations_and_draws():
     for n in (1, 2, 5, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
-    d = mixing.draw([5000, 0, 7001])
-    assert d.sum(axis=0).tolist() == [5000, 0, 7001] and d[:-1].sum(axis=1).tolist() == [mixing.SHARD_SLOTS] * (len(d) - 1)
+    d = mixing.draw(70_010, 17, 3)
+    assert d.sum() == 70_010 and len(d) == 17 and abs(d - 70_010 / 17).max() < 400
+
+
+def taken_by_hand(rows, slots, sources):
+    """Words that slots take of each row: blocks of each source's stream, rows in the order of their keys' buckets."""
+    times = {}
+    for s in slots:
+        times[s.ix, s.block] = times.get((s.ix, s.block), 0) + 1
+    ix, n, out = {s.source: s.ix for s in sources}, max(1, int(len(rows) ** 0.5)), []
+    for name in ix:
+        at = 0
+        for r in sorted((r for r in rows if r.source == name), key=lambda r: (r.k1 % n, r.k1, r.k2)):
+            out.append((r.doc_id, r.size, sum(times.get((ix[name], w // mixing.BLOCK_WORDS), 0) for w in range(at, at + r.size))))
+            at += r.size
+    return out
 
 
 def test_mix(spark):
@@ -127,6 +162,14 @@ def test_mix(spark):
     for t in {(r.source_size, r.target) for r in got}:
         taken = sum(r.taken for r in got if (r.source_size, r.target) == t)
         assert abs(taken - t[1]) <= mixing.BLOCK_WORDS
+    own = mixing.Mix(df)
+    slots, sources = own.slots().collect(), own.sources.collect()
+    assert sorted(map(str, taken_by_hand(own.rows.collect(), slots, sources))) == sorted(str((r.doc_id, r.size, r.taken)) for r in got)
+    for s in sources:
+        blocks = [x.block for x in slots if x.ix == s.ix]
+        assert len(blocks) == s.slots and all(0 <= b < s.blocks for b in blocks) and max((blocks.count(b) for b in set(blocks)), default=0) <= 3
+    for shard in {s.shard for s in slots}:
+        assert sorted(s.slot for s in slots if s.shard == shard) == list(range(sum(s.shard == shard for s in slots)))
     mixed = mixing.mix(df).collect()
     words = lambda t: len((t or "").split())
     assert sum(words(r.text) for r in mixed) == sum(r.taken for r in got) and all(r.n_chars == len(r.text) for r in mixed)
@@ -135,42 +178,27 @@ def test_mix(spark):
 
 def test_line_dedup(spark):
     common = "all rights reserved everywhere"
-    rows = [(i, f"own line number {i} is here and it is long enough\n {common} \nok", f"s{i % 7}", "x") for i in range(21)]
-    rows += [(50, None, "s1", "x"), (51, "", None, "x"), (52, common, "s2", "x"), (53, "two words\n" + common, None, "x"), rows[0]]
+    rows = [(i, f"own line number {i} is here and it is long enough\n {common} \nok {i}", f"s{i % 7}", "x") for i in range(21)]
+    rows += [(50, None, "s1", "x"), (51, "", None, "x"), (52, common, "s2", "x"), (53, "two words\n" + common, None, "x"), rows[0], (54, f"{common}\n \n{common}", "s3", "x")]
+    rows += [(60 + i, f"x{i}\nIbid.\n{common}", f"t{i % 9}", "x") for i in range(9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed string")
     got = linededup.remove_lines(df, min_sites=7, details=True).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(rows) and by[3].text == "own line number 3 is here and it is long enough\nok" and by[3].n_removed == 1
+    assert len(got) == len(rows) and by[3].text == "own line number 3 is here and it is long enough\nok 3" and by[3].n_removed == 1
     assert by[50].text is None and by[51].text == "" and by[52].text == common and by[52].n_removed == 0
-    kept = linededup.remove_lines(df, min_sites=9)
+    assert by[53].text == "two words" and by[54].text == f"{common}\n \n{common}" and (by[64].text, by[64].n_removed) == ("x4", 2)
+    kept = linededup.remove_lines(df, min_sites=18)
     assert kept.columns == df.columns and sorted(str(r.text) for r in kept.collect()) == sorted(str(r[1]) for r in rows)
     assert linededup.remove_lines(df.limit(0)).count() == 0
 
 
-def test_pipeline_removes_boilerplate_that_is_most_of_a_text(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    passage = " ".join(f"shared{k}" for k in range(60))
-    own = "twelve words that only this text has and nobody else wrote "
-    texts = [f"{own}{i}\n{passage}" for i in range(10)] + [passage, f"{passage}\n \n{passage}"]
-    df = spark.createDataFrame([(i, t, f"s{i % 6}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
-    rows = df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
-    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, rows, SF).collect()}
-    assert got == {i: f"{own}{i}" if i < 10 else t for i, t in enumerate(texts)}
-
-
 @pytest.mark.parametrize("gap", ["\t", "\u00a0", "", " "])
-def test_pipeline_removes_long_lines_however_words_are_parted(spark, gap):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+def test_line_dedup_removes_lines_whatever_their_words_and_share(spark, gap):
     passage = gap.join(f"shared{k}" for k in range(60))
     own = "words that only this text has and nobody else wrote "
-    df = spark.createDataFrame([(i, f"{own}{i}\n{passage}\nIbid.", f"s{i}") for i in range(8)], "doc_id long, text string, source string")
-    rows = df.select(*(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
-    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, rows, SF).collect()}
-    assert got == {i: f"{own}{i}\nIbid." for i in range(8)}
+    df = spark.createDataFrame([(i, f"{own}{i}\n{passage}\nIbid. {i}", f"s{i}") for i in range(8)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in linededup.remove_lines(df).collect()}
+    assert got == {i: f"{own}{i}\nIbid. {i}" for i in range(8)}
 
 
 def test_line_dedup_equals_sql(spark):
@@ -194,21 +222,44 @@ def test_url_parts_and_rules(spark):
     assert got[3].verdict == "allow" and got[5].verdict == "block" and got[0].verdict == "allow"
 
 
-def test_url_model(spark):
+def url_buckets(host, path):
     import xxhash
 
-    model = urlfilter.train(urlfilter.labelled(spark))
-    df = spark.createDataFrame([(1, "http://cheap-pills.shop.example/x"), (2, "http://museum.city.example/en/4"), (3, "http://casino-night.example/"), (4, "http://therly.example/")], "page_id long, url string")
+    grams = {(m, s[i : i + 4]) for m, s in (("h", f"^{host}$"), ("p", f"^{path}$")) for i in range(max(1, len(s) - 3))}
+    h = lambda m, g: xxhash.xxh64(g.encode(), seed=xxhash.xxh64(m.encode(), seed=42).intdigest()).intdigest()
+    return {(x - (1 << 64) if x >> 63 else x) % urlfilter.BUCKETS for x in (h(m, g) for m, g in grams)}
+
+
+def url_model(rows):
+    """Logistic regression over bucket weights by plain gradient steps: what training does in its dual form."""
+    urls = sorted({u for u, _ in rows})
+    y = np.array([np.mean([v for w, v in rows if w == u]) for u in urls])
+    x = np.zeros((len(urls), urlfilter.BUCKETS))
+    for i, u in enumerate(urls):
+        host, slash, path = u.partition("://")[2].partition("/")
+        own = url_buckets(host.lower(), (slash + path).partition("?")[0].partition("#")[0])
+        x[i, list(own)] = 1 / len(own) ** 0.5
+    w, c = np.zeros(urlfilter.BUCKETS), 0.0
+    for _ in range(urlfilter.STEPS):
+        error = y - 1 / (1 + np.exp(-(x @ w + c)))
+        w, c = w * (1 - urlfilter.DECAY) + urlfilter.RATE * (x.T @ error), c + urlfilter.RATE * error.sum() / len(urls)
+    return c, w
+
+
+def test_url_model(spark):
+    table = urlfilter.labelled(spark)
+    model = urlfilter.train(table)
+    want = url_model([(r.url, r.label) for r in table.collect()])
+    assert abs(model[0] - want[0]) < 1e-9 and all(abs(want[1][b] - model[1].get(b, 0.0)) < 1e-9 for b in range(urlfilter.BUCKETS))
+    df = spark.createDataFrame([(1, "http://poker-room.shop.example/x"), (2, "http://museum.city.example/en/4"), (3, "http://casino-night.example/"), (4, "http://observatory.example/"), (5, None)], "page_id long, url string")
     got = {r.page_id: r for r in urlfilter.judge(df, model, rules=()).collect()}
     assert [got[i].verdict for i in (1, 2, 3, 4)] == ["block", "allow", "block", "allow"]
     intercept, weights = model
     for r in got.values():
-        grams = {(m, s[i : i + 4]) for m, s in (("h", f"^{r.host}$"), ("p", f"^{r.path}$")) for i in range(max(1, len(s) - 3))}
-        h = lambda m, g: xxhash.xxh64(g.encode(), seed=xxhash.xxh64(m.encode(), seed=42).intdigest()).intdigest()
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        own = {signed(h(m, g)) % urlfilter.BUCKETS for m, g in grams}
+        own = url_buckets(r.host, r.path)
         z = intercept + sum(weights.get(b, 0.0) for b in own) / len(own) ** 0.5
         assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+    assert urlfilter.judge(df.limit(0), model).count() == 0
     assert urlfilter.train(spark.createDataFrame([], "url string, label int")) == (-1.0, {})
 
 
