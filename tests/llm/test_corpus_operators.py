@@ -282,9 +282,11 @@ def test_nearest(spark, monkeypatch):
     assert annforest.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_recall():
+@pytest.mark.parametrize("n", [1000, 6000])
+def test_recall(n):
+    """Vectors without any structure; far fewer rows are met than there are."""
     r = np.random.default_rng(6)
-    x = r.normal(size=(6000, 64)).astype(np.float32)
+    x = r.normal(size=(n, 64)).astype(np.float32)
     ids = np.arange(len(x))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     hit = 0
@@ -293,6 +295,13 @@ def test_recall():
         s[q] = -9
         hit += len(set(found) & set(np.argsort(-s)[:5]))
     assert hit / 500 >= 0.9
+    assert annforest.LEAST + annforest.SHARE * 6000 < 2400
+
+
+def test_nearest_of_integers(spark):
+    df = spark.createDataFrame([(0, [1, 0]), (1, [2, 0]), (2, [0, 1])], "vec_id long, embedding array<int>")
+    got = annforest.nearest(df, F.col("vec_id") == 0).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 1.0), (2, 2, 0.0)]
 
 
 @pytest.mark.parametrize("stage", range(5))
