@@ -85,7 +85,7 @@ class Lexicon:
 class Automaton:
     """Union of the entries' Levenshtein automata, determinised as words come by."""
 
-    MOST_STATES = 100_000
+    MOST_STATES = 20_000
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.entries = lexicon.entries
@@ -178,7 +178,7 @@ class Automaton:
 class Scorer:
     """Scores texts; keeps what it knows about words, within bounds."""
 
-    MOST_WORDS = 250_000
+    MOST_WORDS = 100_000
     #: ASCII letters to lower case, other ASCII but digits to spaces.
     TABLE = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 
@@ -260,7 +260,7 @@ class Scorer:
         return 1 / (1 + math.exp(-min(30.0, total))), hits
 
 
-@lru_cache(2)
+@lru_cache(1)
 def scorer(lexicon: Lexicon) -> Scorer:
     return Scorer(lexicon)
 
