@@ -7,12 +7,17 @@ import time
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeforge.functions import classify, extract, identity, render, text
 from noticeforge.operators import collect, merge, outbox, resolve, upsert, views
-from noticeforge.state import State
+from noticeforge.state import TABLES, State
+
+#: Fields of an entity that its events' payloads hold: what messages show, and what dispatch judges again.
+STORED = ("source", "title", "organisation", "locality", "province", "status", "positions", "publication_date", "deadline", "deadline_confirmed", "exam_date", "exam_time", "exam_place", "group", "access", "compatibility", "priority", "qualification", "summary", "special_process")
+DETAILS = "array<struct<field:string,label:string,old:string,new:string,source_url:string,source_reference:string,observed_at:string>>"
+RELATIVE = "struct<days:int,kind:string,starts_after:string>"
 
 #: What an observation has when it comes in.
 OBSERVATION = "seq long, source string, external_id string, title string, organisation string, summary string, full_text string, reference string, url string, locality string, province string, `group` string, publication_date date"
@@ -27,9 +32,9 @@ class Retry(Exception):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, profile: classify.Profile | None = None, only_enrollable_new: bool = False, show_review: bool = True) -> None:
+    def __init__(self, spark: SparkSession, root: str, profile: classify.Profile | None = None, only_enrollable_new: bool = False, show_review: bool = True, explicit_follow_only: bool = False) -> None:
         self.spark, self.state, self.profile = spark, State(spark, root), profile or classify.Profile()
-        self.only_enrollable_new, self.show_review = only_enrollable_new, show_review
+        self.only_enrollable_new, self.show_review, self.explicit_follow_only = only_enrollable_new, show_review, explicit_follow_only
 
     # --- collecting ---
 
@@ -56,51 +61,101 @@ class Engine:
             }
         )
 
-    def run(self, observed: DataFrame, today: date, now: datetime, dry_run: bool = False) -> dict:
-        """One collection: every observation is judged and resolved; what is kept is merged and published with its events.
+    def plan(self, today: date, sources: list[str], lookback: int = 10, overlap: int = 2, most: int = 45) -> DataFrame:
+        """source, days and gap: the window to ask each source for, back to its checkpoint and overlap days, and the days beyond the longest window. A source without a checkpoint starts from its last run that ended well."""
+        asked = self.spark.createDataFrame([(s,) for s in sources], "source string")
+        runs = self.state.read("source_runs").where("status = 'OK'").groupBy("source").agg(F.to_date(F.max("finished_at")).alias("ran"))
+        known = asked.join(self.state.read("source_checkpoints"), "source", "left").join(runs, "source", "left")
+        return known.select("source", views.lookback(F.coalesce("covered_through", "ran"), F.lit(today), overlap, lookback, most).alias("x")).select("source", "x.*")
+
+    def run(self, observed: DataFrame, today: date, now: datetime, dry_run: bool = False, reports: dict[str, dict] | None = None) -> dict:
+        """One collection: every observation is judged and resolved; what is kept is merged in order and published with its events.
 
-        Observations of the same canonical key within a run count as one new entity, the first of them.
+        reports has, by source, what its reader says: covered_through and failed (dates or None), warning and error
+        (texts). A source that has no observations but a report ran as well; one without a report ran without a
+        warning. Observations of the same canonical key within a run count as one new entity, the first of them.
+        Those of one entity take effect one after the other, in waves: the first ones of all entities, then the
+        second ones. Neighbouring ones that say the same count as one wave.
         """
         base = self.state.version()
         read = lambda t: self.state.read(t, base)
+        cut, stamp, day = self.state.cut, F.lit(now).cast("timestamp"), F.lit(today)
         processes, items, references = read("processes"), read("source_items"), read("official_references")
         first_run = processes.isEmpty()
-        judged = self.enrich(observed).persist()
+        judged = cut(self.enrich(observed).withColumn("organisation", text.normalize(F.col("organisation"))), "judged")
         old = processes.select("id", "canonical_key", "positions", "first_seen", "last_seen", F.col("title_signature").alias("signature"), F.col("normalised_organisation").alias("organisation"), "group", "access", text.extract_year(F.concat_ws(" ", F.col("publication_date").cast("string"), "title")).alias("year"))
-        found = resolve.resolve(judged.withColumn("organisation", text.normalize(F.col("organisation"))), old, items, references, read("process_aliases"))
-        t = F.lit(today)
+        found = judged if first_run else cut(resolve.resolve(judged, old, items, references, read("process_aliases")), "resolved")
+        if first_run:
+            found = found.withColumn("process_id", F.lit(None).cast("string"))
         rel = F.col("relative")
-        applicable = classify.can_apply(F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("deadline"), F.col("publication_date"), t)
-        may = classify.window_open(F.col("source"), F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("publication_date"), rel["days"], rel["kind"], rel["starts_after"], t)
-        first = classify.notify_at_first(F.col("deadline"), F.col("deadline_confirmed"), F.col("exam_date"), F.col("publication_date"), F.col("special_process"), t, 30)
-        found = found.withColumns({"tracked": F.col("process_id").isNotNull(), "enrollable": applicable, "may_be_open": may, "first_notify": first, "reviewable": F.col("decision.relevant") & F.col("decision.in_area")})
-        # Every table of the version follows from these rows, so they are computed once.
-        decided = collect.decide(found, self.only_enrollable_new, self.show_review, first_run).persist()
-        kept = decided.where("kept").withColumn("entity", F.coalesce("process_id", F.substring(F.sha2(F.concat_ws(":", F.lit(str(base + 1)), "canonical_key"), 256), 1, 32)))
-        last = kept.groupBy("entity").agg(F.max_by(F.struct(*kept.columns), "seq").alias("x")).select("x.*")
-        rows = self._entities(processes, last, now).persist()
-        events = self._events(rows, last, read("notification_outbox"), base + 1, now)
-        stamp = F.lit(now).cast("timestamp")
-        seen = kept.select("source", "external_id", F.col("entity").alias("process_id"), stamp.alias("first_seen"), stamp.alias("last_seen")).dropDuplicates(["source", "external_id"])
-        refs = kept.select(F.explode("references").alias("reference"), F.col("entity").alias("process_id"), stamp.alias("first_seen"))
-        urls = kept.where("url <> ''").select(F.col("entity").alias("process_id"), "source", "url", F.lit("").alias("label"), stamp.alias("first_seen"))
-        report = {r["source"]: r.asDict() for r in collect.counters(decided, "source").collect()}
-        if dry_run:
-            for df in (judged, decided, rows):
-                df.unpersist()
-            return {"version": base, "sources": report}
-        tables = {
-            "processes": rows.select(*processes.columns),
-            "notification_outbox": events,
-            "source_items": upsert.upsert(items, seen, ["source", "external_id"], ["process_id", "first_seen"]),
-            "official_references": upsert.insert_ignore(references, refs, ["reference"], ["process_id"]),
-            "process_urls": upsert.insert_ignore(read("process_urls"), urls, ["process_id", "source", "url"], ["label"]),
-            "source_checkpoints": upsert.checkpoint_max(read("source_checkpoints"), observed.select("source").distinct().select("source", F.lit("OK").alias("status"), t.alias("covered_through"))),
-        }
-        version = self.state.commit(tables, base)
-        for df in (judged, decided, rows):
-            df.unpersist()
-        return {"version": version, "sources": report}
+        applicable = classify.can_apply(F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("deadline"), F.col("publication_date"), day)
+        may = classify.window_open(F.col("source"), F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("publication_date"), rel["days"], rel["kind"], rel["starts_after"], day)
+        first = classify.notify_at_first(F.col("deadline"), F.col("deadline_confirmed"), F.col("exam_date"), F.col("publication_date"), F.col("special_process"), day, 30)
+        found = found.withColumns({"tracked": F.col("process_id").isNotNull(), "enrollable": applicable, "may_be_open": may, "first_notify": first})
+        decided = collect.decide(found, self.only_enrollable_new, self.show_review, first_run)
+        entity = F.coalesce("process_id", F.substring(F.sha2(F.concat_ws(":", F.lit(str(base + 1)), "canonical_key"), 256), 1, 32))
+        decided = cut(decided.withColumn("entity", F.when(F.col("kept"), entity)), "decided")
+        report = {r["source"]: r.asDict() | {"created": 0, "updated": 0} for r in collect.counters(decided, "source").collect()}
+        kept = cut(self._waves(decided.where("kept"), items), "kept")
+        rows, box, waves = processes, read("notification_outbox"), kept.agg(F.max("wave")).first()[0] or 0
+        for wave in range(1, waves + 1):
+            last = kept.where(F.col("wave") == wave)
+            after = cut(self._entities(rows, last, now), "entities")
+            asked = cut(self._asked(after, last, box, now), "asked")
+            box = cut(self._events(asked, box, f"{base + 1}-{wave}", now), "events")
+            rows = after.select(*processes.columns)
+            for r in asked.groupBy("source").agg(F.count_if("is_new").alias("created"), F.count_if(~F.col("is_new") & (F.col("is_changed") | F.col("action").isin("EXTEND", "INSERT_UPDATE"))).alias("updated")).collect():
+                report[r["source"]]["created"] += r["created"]
+                report[r["source"]]["updated"] += r["updated"]
+        for r in report.values():
+            r["unchanged"] = r["included"] - r["created"] - r["updated"]
+        ended = self._ended(report, reports or {}, today)
+        summary = {"version": base, "sources": report, "status": self._status(ended), "warnings": {e[0]: e[5] for e in ended if e[1] == "PARTIAL"}, "errors": {e[0]: e[5] for e in ended if e[1] == "ERROR"}}
+        if not dry_run:
+            seen = kept.select("source", "external_id", F.col("entity").alias("process_id"), stamp.alias("first_seen"), stamp.alias("last_seen")).dropDuplicates(["source", "external_id"])
+            refs = kept.select(F.explode("references").alias("reference"), F.col("entity").alias("process_id"), stamp.alias("first_seen"))
+            urls = kept.where("url <> ''").select(F.col("entity").alias("process_id"), "source", "url", F.lit("").alias("label"), stamp.alias("first_seen"))
+            runs = self.spark.createDataFrame([(base + 1, s, status, count, now, now, covered, message) for s, status, count, covered, _, message in ended], TABLES["source_runs"])
+            summary["version"] = self.state.commit(
+                {
+                    "processes": rows,
+                    "notification_outbox": box,
+                    "source_items": upsert.upsert(items, seen, ["source", "external_id"], ["process_id", "first_seen"]),
+                    "official_references": upsert.insert_ignore(references, refs, ["reference"], ["process_id"]),
+                    "process_urls": upsert.insert_ignore(read("process_urls"), urls, ["process_id", "source", "url"], ["label"]),
+                    "source_runs": read("source_runs").unionByName(runs),
+                    "source_checkpoints": upsert.checkpoint_max(read("source_checkpoints"), runs),
+                },
+                base,
+            )
+        self.state.forget()
+        return summary
+
+    @staticmethod
+    def _waves(kept: DataFrame, items: DataFrame) -> DataFrame:
+        """Rows to ingest with wave and new_item, without those that say what the one before them of the entity says."""
+        order = Window.partitionBy("entity").orderBy("seq")
+        known = items.select("source", "external_id", F.lit(True).alias("_known"))
+        first = F.row_number().over(Window.partitionBy("source", "external_id").orderBy("seq")) == 1
+        df = kept.join(known, ["source", "external_id"], "left").withColumn("new_item", F.col("_known").isNull() & first).drop("_known")
+        said = F.xxhash64(*(c for c in kept.columns if c not in ("seq", "process_id")))
+        df = df.withColumn("_said", said).withColumn("_before", F.lag("_said").over(order)).where(~F.col("_said").eqNullSafe(F.col("_before")))
+        return df.withColumn("wave", F.row_number().over(order)).drop("_said", "_before")
+
+    def _ended(self, counted: dict, reports: dict[str, dict], today: date) -> list[tuple]:
+        """source, status, found, covered_through, warning and message of each source that ran."""
+        names = sorted({*counted, *reports})
+        if not names:
+            return []
+        said = [reports.get(s, {}) for s in names]
+        df = self.spark.createDataFrame([(s, r.get("covered_through"), r.get("warning") or "", r.get("failed"), r.get("error") or "") for s, r in zip(names, said)], "source string, covered date, warning string, failed date, error string")
+        out = df.select("source", "warning", "error", views.coverage(F.col("covered"), F.col("warning"), F.col("failed"), F.lit(today)).alias("x")).collect()
+        return [(r["source"], "ERROR", counted.get(r["source"], {}).get("fetched", 0), None, r["warning"], str(text.redacted(r["error"]))) if r["error"] else (r["source"], r["x"]["status"], counted.get(r["source"], {}).get("fetched", 0), r["x"]["covered_through"], r["warning"], r["warning"] or ("" if r["x"]["status"] == "OK" else f"covered through {r['x']['covered_through']}")) for r in out]
+
+    @staticmethod
+    def _status(ended: list[tuple]) -> str:
+        errors, warnings = (sum(e[1] == s for e in ended) for s in ("ERROR", "PARTIAL"))
+        return "MISSING" if not ended else "NO_SOURCES" if errors >= len(ended) else "PARTIAL" if errors or warnings else "OK"
 
     def _entities(self, processes: DataFrame, last: DataFrame, now: datetime) -> DataFrame:
         """All entities after the run, with is_new, is_changed and what the event rules ask for."""
@@ -137,25 +192,41 @@ class Engine:
             }
         )
 
-    def _events(self, rows: DataFrame, last: DataFrame, box: DataFrame, run: int, now: datetime) -> DataFrame:
-        """The outbox after the run: pending events rewritten or suppressed, new ones inserted once."""
-        pending = box.where("status = 'PENDING'").groupBy("process_id").agg(F.min_by(F.struct("event_id", "kind"), F.struct("created_at", "event_id")).alias("p"))
+    def _asked(self, rows: DataFrame, last: DataFrame, box: DataFrame, now: datetime) -> DataFrame:
+        """Of each entity that an observation came for: the action on its events, and the payload, with what it changes."""
+        pending = box.where("status = 'PENDING'").groupBy("process_id").agg(F.min_by(F.struct("event_id", "kind", "payload"), F.struct(F.col("kind") == "UPDATE", F.col("created_at"), F.col("event_id"))).alias("p"))
         sent = box.where("status = 'SENT'").select("process_id").distinct().withColumn("ever_sent", F.lit(True))
-        asked = rows.where("_came").select("id", "is_new", "is_changed", self._payload().alias("payload")).join(last.select(F.col("entity").alias("id"), "included", "notify", "force_review", classify.material_notice(F.col("title"), F.col("summary")).alias("notice"), F.col("compatibility").alias("_compatibility")), "id")
-        asked = asked.join(pending, asked["id"] == pending["process_id"], "left").drop("process_id").join(sent.withColumnRenamed("process_id", "id"), "id", "left")
-        action = merge.event_action(F.col("p.kind"), F.col("included"), F.col("is_changed"), F.col("notify"), F.coalesce("ever_sent", F.lit(False)), F.lit(True), F.col("notice"))
+        notice = last.select(F.col("entity").alias("id"), F.col("source").alias("_source"), "included", "notify", "force_review", "new_item", "url", "external_id", "reference", "relative", classify.material_notice(F.col("title"), F.col("summary")).alias("notice"), F.col("compatibility").alias("_compatibility"))
+        asked = rows.where("_came").join(notice, "id").join(pending, F.col("id") == F.col("process_id"), "left").drop("process_id").join(sent.withColumnRenamed("process_id", "id"), "id", "left")
+        action = merge.event_action(F.col("p.kind"), F.col("included"), F.col("is_changed"), F.col("notify"), F.coalesce("ever_sent", F.lit(False)), F.col("new_item"), F.col("notice").isNotNull())
         asked = asked.withColumn("action", F.when(F.col("is_new"), F.when(F.col("notify"), "INSERT_NEW").otherwise("TOUCH")).otherwise(action))
+        was, now_is = ({k: F.get_json_object(F.col(c), f"$.{k}") for k in identity.SNAPSHOT} for c in ("_old_snapshot", "snapshot"))
+        reference = F.coalesce(F.nullif("reference", F.lit("")), F.col("external_id"))
+        own = F.when(F.col("is_new"), F.array().cast("array<string>")).when(F.col("is_changed"), identity.changed_fields(was, now_is)).otherwise(F.array_compact(F.array("notice")))
+        details = F.when(F.col("is_changed") & ~F.col("is_new"), identity.change_details(was, now_is, F.col("url"), reference, F.lit(now.isoformat()))).otherwise(F.array().cast(DETAILS))
+        before = F.from_json("p.payload", f"changes array<string>, change_details {DETAILS}")
+        asked = asked.withColumns({"_own": own, "_details": details, "_before": before})
+        again = F.col("action") == "EXTEND"
+        empty = F.array().cast(DETAILS)
+        changes = F.when(again, F.array_distinct(F.concat(F.coalesce("_before.changes", F.array().cast("array<string>")), "_own"))).otherwise(F.col("_own"))
+        merged = F.when(again & F.col("is_changed"), identity.merge_details(F.coalesce("_before.change_details", empty), F.col("_details"))).when(again, empty).otherwise(F.col("_details"))
+        asked = asked.withColumns({"changes": changes, "change_details": merged, "links": F.array(F.struct(F.col("url"), F.lit("").alias("label")))})
+        more = [F.col(c) for c in ("changes", "change_details", "links", "relative")]
+        return asked.select("id", F.col("_source").alias("source"), "is_new", "is_changed", "action", "_compatibility", "force_review", F.col("p.event_id").alias("pending_id"), self._payload(*more).alias("payload"))
+
+    def _events(self, asked: DataFrame, box: DataFrame, step: str, now: datetime) -> DataFrame:
+        """The outbox after the asked actions: pending events rewritten, extended or suppressed, new ones inserted once."""
         kind = F.when(F.col("action") == "INSERT_NEW", F.when((F.col("_compatibility") == "REVISAR") | F.col("force_review"), "REVIEW").otherwise("NEW")).otherwise("UPDATE")
-        key = merge.event_key(kind, F.col("id"), F.lit(str(run)))
+        key = merge.event_key(kind, F.col("id"), F.lit(step))
         fresh = asked.where(F.col("action").isin("INSERT_NEW", "INSERT_UPDATE")).select(merge.event_id(key).alias("event_id"), key.alias("event_key"), F.col("id").alias("process_id"), kind.alias("kind"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), "payload", F.lit(now).cast("timestamp").alias("created_at"), *(F.lit(None).cast(t).alias(c) for c, t in (("claimed_at", "timestamp"), ("sent_at", "timestamp"), ("message_id", "string"))))
-        change = asked.where(F.col("action").isin("REWRITE", "EXTEND", "SUPPRESS")).select(F.col("p.event_id").alias("event_id"), "action", F.col("payload").alias("_payload"))
+        change = asked.where(F.col("action").isin("REWRITE", "EXTEND", "SUPPRESS")).select(F.col("pending_id").alias("event_id"), "action", F.col("payload").alias("_payload"))
         kept = box.join(change, "event_id", "left")
         kept = kept.withColumns({"status": F.when(F.col("action") == "SUPPRESS", "SUPPRESSED").otherwise(F.col("status")), "payload": F.when(F.col("action").isin("REWRITE", "EXTEND"), F.col("_payload")).otherwise(F.col("payload"))})
         return upsert.insert_ignore(kept.select(*box.columns), fresh, ["event_key"], ["event_id"])
 
     @staticmethod
-    def _payload() -> Column:
-        return F.to_json(F.struct(F.col("id").alias("process_id"), "title", "organisation", "status", "positions", "deadline", "exam_date", "exam_place", "group", "access", "compatibility", "priority"))
+    def _payload(*more: Column) -> Column:
+        return F.to_json(F.struct(F.col("id").alias("process_id"), *STORED, *more))
 
     # --- delivery ---
 
@@ -173,15 +244,22 @@ class Engine:
         """Send claimed events, one at a time from the driver. send returns a message id; Retry is a certain failure, other errors leave the outcome uncertain."""
         base = self.state.version()
         box = self.state.read("notification_outbox", base)
-        rows = box.where(F.col("event_id").isin(ids) & (F.col("status") == "SENDING")).orderBy("created_at", "event_id").collect()
-        done, stop = [], False
+        claimed = box.where(F.col("event_id").isin(ids) & (F.col("status") == "SENDING"))
+        if self.only_enrollable_new:
+            claimed = self._judged_again(claimed, now.date())
+        else:
+            claimed = claimed.withColumn("decision_now", F.lit("SEND"))
+        rows = claimed.orderBy("created_at", "event_id").collect()
+        done = [(r["event_id"], "SUPPRESSED", None, None) for r in rows if r["decision_now"] == "SUPPRESS"]
+        rows, stop = [r for r in rows if r["decision_now"] != "SUPPRESS"], False
         for k, r in enumerate(rows):
             if stop:
                 break
             if k and pause:
                 time.sleep(pause)
             try:
-                done.append((r["event_id"], "SENT", now, str(send(render.message(r["kind"], r["payload"])))))
+                kind = "REVIEW" if r["decision_now"] == "SEND_AS_REVIEW" else r["kind"]
+                done.append((r["event_id"], "SENT", now, str(send(render.message(kind, r["payload"])))))
             except Retry as e:
                 done.append((r["event_id"], "RETRYABLE", None, None))
                 stop = e.after > 0
@@ -190,7 +268,23 @@ class Engine:
         results = self.spark.createDataFrame(done, "event_id string, new_status string, sent_at timestamp, message_id string")
         left = [i for i in ids if i not in {d[0] for d in done}]
         self.state.commit({"notification_outbox": outbox.release(outbox.mark(box, results), F.col("event_id").isin(left) if left else F.lit(False))}, base)
-        return {s: sum(d[1] == s for d in done) for s in ("SENT", "RETRYABLE", "UNCERTAIN")} | {"RELEASED": len(left)}
+        return {s: sum(d[1] == s for d in done) for s in ("SENT", "RETRYABLE", "UNCERTAIN", "SUPPRESSED")} | {"RELEASED": len(left)}
+
+    def _judged_again(self, claimed: DataFrame, today: date) -> DataFrame:
+        """Claimed events with decision_now: what their stored snapshots say today, and whether their entities are followed."""
+        kinds = {f.name: f.dataType.simpleString() for f in self.state.read("processes").schema.fields}
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in STORED) + f", relative {RELATIVE}"
+        read = F.from_json("payload", schema)
+        own = claimed.withColumn("_p", read).select("event_id", "kind", "process_id", *(F.col(f"_p.{c}").alias(c) for c in (*STORED, "relative")))
+        own = own.withColumns({"full_text": F.lit(""), "qualification_text": F.coalesce("qualification", F.lit("")), "milestone_text": F.lit(""), "link_labels": F.lit(""), "_status": F.col("status")})
+        judged = classify.evaluate(own, self.profile).withColumn("status", F.col("_status"))
+        followed = resolve.follow_alias(judged, self.state.read("process_aliases"), "process_id").join(self.state.read("followed_processes").select("process_id", F.lit(True).alias("_followed")), "process_id", "left")
+        day, rel = F.lit(today), F.col("relative")
+        open_now = classify.can_apply(F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("deadline"), F.col("publication_date"), day)
+        may = classify.window_open(F.col("source"), F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("publication_date"), rel["days"], rel["kind"], rel["starts_after"], day)
+        review = F.lit(self.show_review) & F.col("decision.reviewable")
+        action = outbox.dispatch_decision(F.col("kind"), F.col("decision.include"), review, F.coalesce("_followed", F.lit(False)), open_now, may, self.explicit_follow_only)
+        return claimed.join(followed.select("event_id", action.alias("decision_now")), "event_id")
 
     def _move(self, change: Callable[[DataFrame], DataFrame]) -> int:
         base = self.state.version()
@@ -211,7 +305,7 @@ class Engine:
         processes, made, box = (self.state.read(t, base) for t in ("processes", "reminders", "notification_outbox"))
         due = outbox.reminders(processes, made, F.lit(today), days_before)
         stamp = F.lit(now).cast("timestamp")
-        payload = processes.select(F.col("id").alias("process_id"), self._payload().alias("payload"))
+        payload = processes.select(F.col("id").alias("process_id"), self._payload(F.lit(None).cast(RELATIVE).alias("relative")).alias("payload"))
         new = due.join(payload, "process_id").select(merge.event_id(F.col("event_key")).alias("event_id"), "event_key", "process_id", F.lit("REMINDER").alias("kind"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), "payload", stamp.alias("created_at"), *(F.lit(None).cast(t).alias(c) for c, t in (("claimed_at", "timestamp"), ("sent_at", "timestamp"), ("message_id", "string"))))
         rows = due.select("process_id", "deadline", "days_before", stamp.alias("created_at"))
         return self.state.commit({"notification_outbox": upsert.insert_ignore(box, new, ["event_key"], ["event_id"]), "reminders": made.unionByName(rows)}, base)
@@ -237,6 +331,20 @@ class Engine:
         self.state.commit({"followed_processes": out}, base)
         return target
 
+    def is_followed(self, process_id: str) -> bool:
+        """Whether an entity, led to its canonical one, is followed."""
+        one = resolve.follow_alias(self.spark.createDataFrame([(process_id,)], "process_id string"), self.state.read("process_aliases"), "process_id")
+        return not one.join(self.state.read("followed_processes"), "process_id", "left_semi").isEmpty()
+
+    def source_status(self) -> DataFrame:
+        """The latest run of each source with its checkpoint."""
+        return views.source_status(self.state.read("source_runs"), self.state.read("source_checkpoints"))
+
+    def events(self, statuses: list[str] | None = None) -> DataFrame:
+        """Events of the outbox, oldest first."""
+        box = self.state.read("notification_outbox")
+        return (box.where(F.col("status").isin(statuses)) if statuses else box).orderBy("created_at", "event_id")
+
     def catalog(self, today: date) -> DataFrame:
         """Canonical entities with category, links and history; raw texts aren't in it. Excluded ones only if they are followed."""
         read = self.state.read

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +25,6 @@ class Profile:
     allowed_groups: tuple[str, ...] = ()
     require_confirmed_qualification: bool = False
 
-    def relaxed(self, has_group: bool) -> Profile:
-        return replace(self, require_it_qualification=False, require_confirmed_qualification=False, allowed_groups=self.allowed_groups if has_group else ())
-
 
 def has_it_signal(normalized: Column) -> Column:
     return normalized.rlike(rules.IT_SIGNAL)
@@ -116,9 +113,11 @@ OBSERVED = ("source", "title", "organisation", "summary", "full_text", "locality
 
 
 def evaluate(df: DataFrame, profile: Profile) -> DataFrame:
-    """df with special_process, access, compatibility, status, priority and decision (include, relevant, in_area, reason).
+    """df with special_process, access, compatibility, status, priority and decision (include, relevant, in_area, reviewable, reason).
 
-    The text columns are normalised once, in columns of their own, and dropped again.
+    Reviewable is what would be included if the gates that later documents can still meet were off: those of the
+    qualification, and that of the group where the group isn't known. The text columns are normalised once, in columns
+    of their own, and dropped again.
     """
     df = df.withColumns(
         {
@@ -163,22 +162,13 @@ def evaluate(df: DataFrame, profile: Profile) -> DataFrame:
     gates = F.lit(True)
     for condition, _ in wrong:
         gates = gates & ~condition
-    include = F.col("_relevant") & F.col("_area") & (F.col("compatibility") != rules.NOT_COMPATIBLE) & (F.col("access") != rules.INTERNAL_ONLY) & gates
+    core = F.col("_relevant") & F.col("_area") & (F.col("compatibility") != rules.NOT_COMPATIBLE) & (F.col("access") != rules.INTERNAL_ONLY)
+    include, review = core & gates, core & ~wrong[1][0] & ((text.text(F.col("group")) == "") | ~wrong[2][0])
     reason = F.concat_ws("; ", *(F.when(c, r) for c, r in (*wrong, *noted)))
-    decision = F.struct(include.alias("include"), F.col("_relevant").alias("relevant"), F.col("_area").alias("in_area"), F.when(reason == "", "compatible o requiere revision").otherwise(reason).alias("reason"))
+    decision = F.struct(include.alias("include"), F.col("_relevant").alias("relevant"), F.col("_area").alias("in_area"), review.alias("reviewable"), F.when(reason == "", "compatible o requiere revision").otherwise(reason).alias("reason"))
     return df.withColumn("decision", decision).drop("_whole_raw", "_role", "_org", "_pos", "_whole", "_region", "_evidence", "_relevant", "_area")
 
 
-def reviewable(df: DataFrame, profile: Profile) -> DataFrame:
-    """df with reviewable: included once the gates that can still be met are off. Groups that are known keep their gate."""
-    cols = df.columns
-    key = F.struct(*cols)
-    with_group = evaluate(df.withColumn("_row", key), profile.relaxed(True)).select("_row.*", F.col("decision.include").alias("_kept"), text.text(F.col("group")).alias("_g"))
-    without = profile.relaxed(False)
-    out = evaluate(with_group.withColumn("_row", F.struct(*cols, "_kept", "_g")), without)
-    return out.select("_row.*", F.when(F.col("_row._g") == "", F.col("decision.include")).otherwise(F.col("_row._kept")).alias("reviewable")).drop("_kept", "_g")
-
-
 def can_apply(status_: Column, access_: Column, confirmed: Column, deadline: Column, published: Column, today: Column) -> Column:
     open_now = status_.isin(*rules.APPLICABLE_STATUSES) & access_.isin(rules.OPEN, rules.MIXED) & confirmed & (deadline >= today)
     return F.coalesce(open_now & (published.isNull() | (published <= today)), F.lit(False))
@@ -205,7 +195,11 @@ def notify_at_first(deadline: Column, confirmed: Column, exam: Column, published
 
 
 def material_notice(title: Column, summary: Column) -> Column:
-    return text.contains_any(text.normalize(F.concat_ws(" ", title, summary)), rules.NOTICE_CHANGES)
+    """What a notice changes by its wording; null if nothing."""
+    n, out = text.normalize(F.concat_ws(" ", title, summary)), F.when(F.lit(False), "")
+    for needles, label in rules.NOTICE_CHANGES:
+        out = out.when(text.contains_any(n, needles), label)
+    return out
 
 
 def schedule_gate(cron_hour: Column, run_at: Column, zone: str = "Europe/Madrid", hour: int = 8) -> Column:

@@ -209,4 +209,8 @@ SECRETS = (
     (r"/bot[^/\s]{20,}/", "<redacted>"),
 )
 FOLDER_PATH = r"^/download/(\d+)/([^/]+)/"
-NOTICE_CHANGES = ("correccion de errores", "modificacion de las bases", "modificacion de bases", "rectificacion")
+#: Wordings of a notice that changes a process whatever its fields say, with what they stand for.
+NOTICE_CHANGES = (
+    (("correccion de errores", "rectificacion"), "correccion o rectificacion oficial"),
+    (("modificacion de las bases", "se modifican las bases", "modifica la convocatoria", "ampliacion de plazo"), "modificacion oficial pendiente de revision"),
+)

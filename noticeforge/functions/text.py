@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -30,8 +31,8 @@ def text(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Without accents, for Latin letters and their compatibility forms; null becomes empty."""
-    return F.translate(text(x), *_fold_table())
+    """Without accents, for Latin letters and their compatibility forms; null becomes empty. Texts of one byte a character have none."""
+    return F.when(F.octet_length(text(x)) == F.length(text(x)), text(x)).otherwise(F.translate(text(x), *_fold_table()))
 
 
 def normalize(x: Column) -> Column:
@@ -91,12 +92,23 @@ def redact_secrets(x: Column) -> Column:
     return x
 
 
+def redacted(value: str) -> str:
+    """The same for a text on the driver."""
+    for pattern, to in rules.SECRETS:
+        value = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", to), value)
+    return value
+
+
 def redact_url(x: Column) -> Column:
     return F.regexp_replace(x, r"/bot[^/\s]{20,}/", "/bot<redacted>/")
 
 
 def contains_any(x: Column, needles) -> Column:
-    return F.exists(F.array(*map(F.lit, needles)), lambda n: F.contains(x, n)) if needles else F.lit(False)
+    """Whether one of the needles occurs, as a balanced tree of plain searches, which are compiled."""
+    tests = [F.contains(x, F.lit(n)) for n in needles] or [F.lit(False)]
+    while len(tests) > 1:
+        tests = [a | b for a, b in zip(tests[::2], tests[1::2])] + tests[len(tests) // 2 * 2 :]
+    return tests[0]
 
 
 def hits(x: Column, needles) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Version of the tables' layout. Older layouts are upgraded when read, newer ones refused.
@@ -38,6 +39,9 @@ class State:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
+        #: Manifests that were read; they never change.
+        self._manifests: dict[int, dict] = {}
+        self._scratch: list[str] = []
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, name: str):
@@ -47,15 +51,20 @@ class State:
         """The latest published version; 0 if there is none."""
         if not self._fs.exists(self._path("manifests")):
             return 0
-        names = [x.getPath().getName() for x in self._fs.listStatus(self._path("manifests"))]
+        # A manifest that has no bytes yet is being written.
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._path("manifests")) if x.getLen()]
         return max((int(n.split(".")[0]) for n in names if n.endswith(".json") and n.split(".")[0].isdigit()), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
             return {"version": 0, "schema_version": SCHEMA_VERSION, "tables": {}}
-        text = "\n".join(r[0] for r in self.spark.read.text(f"{self.root}/manifests/{version:012d}.json").collect())
-        found = json.loads(text)
+        if version not in self._manifests:
+            with_stream = self._fs.open(self._path(f"manifests/{version:012d}.json"))
+            text = bytes(with_stream.readAllBytes()).decode()
+            with_stream.close()
+            self._manifests[version] = json.loads(text)
+        found = self._manifests[version]
         if found["schema_version"] > SCHEMA_VERSION:
             raise RuntimeError(f"state has layout {found['schema_version']}, this code knows {SCHEMA_VERSION}")
         return found
@@ -79,12 +88,22 @@ class State:
             known[name] = f"{own}/{name}"
         body = json.dumps({"version": version, "schema_version": SCHEMA_VERSION, "tables": known})
         self._fs.mkdirs(self._path("manifests"))
-        # Written beside and renamed, as a rename never replaces a file that is there.
-        draft, final = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/{version:012d}.json")
-        out = self._fs.create(draft, False)
+        # Only one writer can create the file; the others publish nothing.
+        try:
+            out = self._fs.create(self._path(f"manifests/{version:012d}.json"), False)
+        except Py4JJavaError as e:
+            raise Conflict(f"version {version} has been published by another writer") from e
         out.write(bytearray(body.encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise Conflict(f"version {version} has been published by another writer")
         return version
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """A table written to the state's folder and read again: what follows doesn't compute it anew. forget() deletes it."""
+        path = f"scratch/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(f"{self.root}/{path}")
+        self._scratch.append(path)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{path}")
+
+    def forget(self) -> None:
+        while self._scratch:
+            self._fs.delete(self._path(self._scratch.pop()), True)

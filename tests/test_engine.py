@@ -1,13 +1,14 @@
 """Scenarios over the state, delivery, sources and streams."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from noticeforge.engine import OBSERVATION, Engine, Retry
-from noticeforge.functions import rules
+from noticeforge.functions import classify, render, rules
 from noticeforge.operators import merge, upsert, views
 from noticeforge.sources import feeds, html, paged, splitter
 from noticeforge.state import Conflict, State
@@ -80,7 +81,7 @@ def test_delivery_outcomes(spark, tmp_path):
     def send(_):
         raise next(answers)
 
-    assert e.dispatch(ids, send, NOW, 0) == {"SENT": 0, "RETRYABLE": 1, "UNCERTAIN": 1, "RELEASED": 1}
+    assert e.dispatch(ids, send, NOW, 0) == {"SENT": 0, "RETRYABLE": 1, "UNCERTAIN": 1, "SUPPRESSED": 0, "RELEASED": 1}
     assert len(e.claim(9, NOW)) == 2  # the uncertain one is never claimed again
     e.recover(NOW + dt.timedelta(hours=1))
     assert e.stats()["outbox_uncertain"] == 3
@@ -89,6 +90,55 @@ def test_delivery_outcomes(spark, tmp_path):
     assert e.state.version() == before
 
 
+def test_observations_of_a_run_take_effect_in_order(spark, tmp_path):
+    """A suspension followed by a list in one batch stays suspended; what is excluded for good isn't announced."""
+    e = Engine(spark, tmp_path.as_uri(), classify.Profile(allowed_groups=("B", "C1")))
+    rows = [
+        {"full_text": "Se acuerda la suspensión. Acceso libre. Requisito: bachiller."},
+        {"full_text": "Lista provisional de admitidos. Acceso libre. Requisito: bachiller.", "external_id": "e0"},
+        {"external_id": "u", "title": "Analista programador", "organisation": "Universidad de Jaén", "full_text": "Acceso libre. Se exige titulación universitaria de grado."},
+        {"external_id": "i", "title": "Programador", "organisation": "Diputación de Jaén", "full_text": "Turno de promoción interna."},
+        {"external_id": "g", "title": "Operador de sistemas informáticos. Convocatoria", "organisation": "Diputación de Jaén", "group": ""},
+        {"external_id": "a", "title": "Técnico informático. Convocatoria", "organisation": "Diputación de Jaén", "group": "A2"},
+    ]
+    report = e.run(observed(spark, rows), TODAY, NOW)["sources"]["boe"]
+    assert (report["fetched"], report["included"], report["created"], report["updated"], report["unchanged"], report["filtered"], report["review"]) == (6, 3, 2, 0, 1, 3, 1)
+    got = {r.title: r.status for r in e.state.read("processes").collect()}
+    assert got["Convocatoria de 3 plazas de Técnico Auxiliar de Informática"] == "SUSPENDIDO" and len(got) == 2
+    assert sorted(r.kind for r in e.state.read("notification_outbox").collect()) == ["NEW", "REVIEW"]
+
+
+def test_notices_details_and_eligibility(spark, tmp_path):
+    e = Engine(spark, tmp_path.as_uri(), only_enrollable_new=True)
+    e.run(observed(spark, [{}]), TODAY, NOW)
+    e.dispatch(e.claim(5, NOW), lambda m: "m", NOW, 0)
+    notice = {"source": "boja", "external_id": "n", "summary": "Corrección de errores"}
+    for _ in range(2):  # the second time the item is known: no second update
+        e.run(observed(spark, [notice]), TODAY, NOW, reports={"boja": {"warning": "index lags"}, "martos": {"error": "bearer abcdefghijkl failed"}, "boe": {"failed": dt.date(2026, 10, 18), "warning": "1 unreadable"}})
+    box = e.events(["PENDING"]).collect()
+    assert [(r.kind, json.loads(r.payload)["changes"]) for r in box] == [("UPDATE", ["correccion o rectificacion oficial"])]
+    later = {"source": "bop_jaen", "external_id": "p", "full_text": "Acceso libre. Plazo de presentación hasta el 05/11/2026. Requisito: bachiller."}
+    e.run(observed(spark, [later]), TODAY, NOW)
+    e.run(observed(spark, [{**later, "full_text": later["full_text"].replace("05/11", "09/11")}]), TODAY, NOW)
+    (row,) = e.events(["PENDING"]).collect()
+    payload = json.loads(row.payload)
+    assert payload["changes"] == ["correccion o rectificacion oficial", "fecha limite"]
+    assert [(d["field"], d["old"], d["new"], d["source_reference"]) for d in payload["change_details"]] == [("deadline", "2026-10-30", "2026-11-09", "p")]
+    assert "30/10/2026 → 09/11/2026" in render.message(row.kind, row.payload)
+    points = {r.source: r.covered_through for r in e.state.read("source_checkpoints").collect()}
+    assert points == {"boe": TODAY, "bop_jaen": TODAY}  # no evidence and errors moved nothing
+    runs = {(r.id, r.source): (r.status, r.covered_through, r.message) for r in e.state.read("source_runs").collect()}
+    assert runs[4, "boe"] == ("PARTIAL", dt.date(2026, 10, 17), "1 unreadable") and runs[4, "boja"][:2] == ("PARTIAL", None)
+    assert runs[4, "martos"] == ("ERROR", None, "bearer <redacted> failed")
+    plan = {r.source: (r.days, r.gap) for r in e.plan(dt.date(2026, 12, 20), ["boe", "boja"]).collect()}
+    assert plan == {"boe": (45, 18), "boja": (10, 0)}
+    # After the deadline an update still goes out, but a new announcement doesn't.
+    e.run(observed(spark, [{"external_id": "q", "title": "Programador informático. Convocatoria", "organisation": "Universidad de Jaén"}]), TODAY, NOW)
+    sent = []
+    out = e.dispatch(e.claim(5, NOW), lambda m: sent.append(m) or "m", NOW + dt.timedelta(days=40), 0)
+    assert (out["SENT"], out["SUPPRESSED"]) == (1, 1) and "Cambios" in sent[0]
+
+
 def test_status_fold_equals_sequential_model(spark):
     r = random.Random(3)
     names = [*rules.STATUS_RANK, "ANULADO", "SUSPENDIDO", "REABIERTO", "PROPUESTA_NOMBRAMIENTO"]
@@ -140,8 +190,6 @@ def test_splitter(spark):
 
 
 def test_feeds(spark):
-    import json
-
     item = lambda i: {"identificador": f"BOE-A-{i}", "titulo": f"t{i}", "url_html": "h", "url_pdf": {"texto": "p"}}
     day = {"data": {"sumario": {"diario": {"seccion": [{"codigo": "2B", "departamento": {"nombre": "D", "epigrafe": [{"nombre": "E", "item": item(1)}, {"nombre": "F", "item": [item(2), item(3)]}]}}, {"codigo": "3", "departamento": []}]}}}}
     df = spark.createDataFrame([(dt.date(2026, 1, 1), json.dumps(day)), (dt.date(2026, 1, 2), "{broken"), (dt.date(2026, 1, 3), None)], "day date, raw string")
