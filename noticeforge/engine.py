@@ -317,7 +317,7 @@ class Engine:
         base = self.state.version()
         if not (8 <= len(prefix) <= 36 and set(prefix) <= set("0123456789abcdef-")):
             raise ValueError("not an id")
-        hit = [r["id"] for r in self.state.read("processes", base).where(F.col("id").startswith(prefix)).select("id").limit(2).collect()]
+        hit = [r["id"] for r in resolve.by_prefix(self.spark.createDataFrame([(prefix,)], "prefix string"), self.state.read("processes", base)).collect()]
         if len(hit) != 1:
             raise ValueError("no single entity has this id")
         aliases, own = self.state.read("process_aliases", base), self.state.read("followed_processes", base)
@@ -364,7 +364,7 @@ class Engine:
 
     def stats(self) -> dict[str, int]:
         out = {"processes": self.state.read("processes").count()}
-        return out | {f"outbox_{r['status'].lower()}": r["count"] for r in self.state.read("notification_outbox").groupBy("status").count().collect()}
+        return out | {r["key"]: r["n"] for r in views.status_counts(self.state.read("notification_outbox"), "outbox").collect()}
 
     def check(self) -> DataFrame:
         """Repeated keys and orphans of the state."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +22,6 @@ def prefer_status(old: Column, new: Column) -> Column:
     )
 
 
-def fold_status(old: str, new: str) -> str:
-    """The same for one step of an ordered fold."""
-    if new in rules.EXCEPTIONAL_STATUSES:
-        return new
-    if old in ("ANULADO", "SUSPENDIDO"):
-        return new if new in rules.LEAVING_STATUSES else old
-    return new if rules.STATUS_RANK.get(new, 0) >= rules.STATUS_RANK.get(old, 0) else old
-
-
 OLD_WINS = ("title", "organisation")
 NEW_TEXT_WINS = ("locality", "province", "scope", "group", "qualification", "summary", "exam_place")
 NEW_VALUE_WINS = ("positions", "publication_date", "exam_date", "exam_time")
@@ -61,18 +51,11 @@ def merged(old: str = "old", new: str = "new") -> dict[str, Column]:
 def status_fold(events: DataFrame, key: str, order: list[str], status: str) -> DataFrame:
     """Final status of each key after its observations in order, and their number.
 
-    The fold is stateful, so no aggregate gives it; a key's observations go to one task, one key at a time.
+    The fold is stateful, so it can't be split: a key's statuses are gathered in one array, sorted and folded.
     """
-    kind = events.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable")
-        state = rules.STATUS_OTHERWISE
-        for s in rows[status]:
-            state = fold_status(state, s)
-        return pd.DataFrame({key: [rows[key].iloc[0]], "final_status": [state], "n": [len(rows)]})
-
-    return events.select(key, *order, status).groupBy(key).applyInPandas(run, f"{key} {kind}, final_status string, n long")
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(status).alias("_status"))))
+    folded = F.aggregate(rows, F.lit(rules.STATUS_OTHERWISE), lambda state, x: prefer_status(state, x["_status"]))
+    return events.groupBy(key).agg(folded.alias("final_status"), F.count("*").alias("n"))
 
 
 def event_action(pending: Column, include: Column, changed: Column, notify: Column, ever_sent: Column, new_item: Column, notice: Column) -> Column:

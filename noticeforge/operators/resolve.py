@@ -34,6 +34,13 @@ def by_reference(observed: DataFrame, references: DataFrame) -> DataFrame:
     return found.groupBy("seq").agg(F.min_by("process_id", F.struct("first_seen", "process_id")).alias("process_id"))
 
 
+def by_prefix(asked: DataFrame, ids: DataFrame) -> DataFrame:
+    """asked (prefix) with id, where one id alone starts with it. Eight characters are the least a prefix has, so they make an equality of the match."""
+    fine = asked.where(F.col("prefix").rlike("^[0-9a-f-]{8,36}$"))
+    found = fine.join(ids.select("id"), F.substring("id", 1, 8) == F.substring("prefix", 1, 8)).where(F.startswith("id", "prefix"))
+    return found.groupBy(*asked.columns).agg(F.min("id").alias("id"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+
+
 def by_citation(observed: DataFrame, references: DataFrame, processes: DataFrame) -> DataFrame:
     """The entity of the first citation, in order, whose title is similar enough."""
     asked = observed.select("seq", "year", "group", "access", "positions", "organisation", "signature", F.posexplode("cited").alias("pos", "reference"))
@@ -49,10 +56,10 @@ def by_key(observed: DataFrame, processes: DataFrame, items: DataFrame) -> DataF
         processes.select("canonical_key", F.col("id").alias("process_id"), F.col("positions").alias("old_positions"), "first_seen"), "canonical_key"
     )
     found = found.where(F.col("positions").isNull() | F.col("old_positions").isNull() | (F.col("positions") == F.col("old_positions")))
-    return _without_conflict(found, items).groupBy("seq").agg(F.min_by("process_id", F.struct("first_seen", "process_id")).alias("process_id"))
+    return without_conflict(found, items).groupBy("seq").agg(F.min_by("process_id", F.struct("first_seen", "process_id")).alias("process_id"))
 
 
-def _without_conflict(found: DataFrame, items: DataFrame) -> DataFrame:
+def without_conflict(found: DataFrame, items: DataFrame) -> DataFrame:
     other = items.select(F.col("source").alias("_s"), F.col("external_id").alias("_e"), F.col("process_id").alias("_p"))
     return found.join(other, (F.col("process_id") == F.col("_p")) & (F.col("source") == F.col("_s")) & (F.col("external_id") != F.col("_e")), "left_anti")
 
@@ -66,7 +73,7 @@ def by_title(observed: DataFrame, processes: DataFrame, items: DataFrame, newest
     recent = processes.withColumn("_rank", rank).where(F.col("_rank") <= newest)
     asked = observed.select("seq", "source", "external_id", "year", "group", "access", "positions", "organisation", "signature")
     pairs = asked.join(_sides(recent, "_rank"), asked["organisation"] == F.col("old_organisation")).where(identity.may_match(_new(), _old(), positions=True))
-    scored = _without_conflict(pairs, items).withColumn("score", identity.token_set_ratio("signature", "old_signature") / 100)
+    scored = without_conflict(pairs, items).withColumn("score", identity.token_set_ratio("signature", "old_signature") / 100)
     return scored.where(F.col("score") >= least).groupBy("seq").agg(F.min_by(F.struct("process_id", "score"), F.struct(-F.col("score"), "_rank")).alias("x")).select("seq", "x.*")
 
 

@@ -37,6 +37,32 @@ def source_status(runs: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return last.join(checkpoints, "source", "left").orderBy("source")
 
 
+def status_counts(df: DataFrame, prefix: str, *more: Column) -> DataFrame:
+    """key (prefix and status) and n of each status, with further aggregates."""
+    return df.groupBy(F.concat(F.lit(f"{prefix}_"), F.lower("status")).alias("key")).agg(F.count("*").alias("n"), *more)
+
+
+def folder_groups(docs: DataFrame) -> DataFrame:
+    """One row for each folder (folder.id): the newest document's id and title, how many there are, the texts, newest first, and the distinct links, in the order in which they first came.
+
+    docs has id, published, folder (a struct of id and title), text and links (an array). Documents of a day go by id.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col("published").alias("at"), "id", "text", "links")))
+    out = docs.where("folder is not null").groupBy(F.col("folder.id").alias("folder_id")).agg(F.max_by("folder.title", F.struct("published", "id")).alias("title"), F.count("*").alias("documents"), rows.alias("rows"))
+    newest = F.reverse(F.col("rows"))
+    return out.select("folder_id", "title", "documents", F.element_at("rows", -1)["id"].alias("newest"), F.array_join(F.transform(newest, lambda r: r["text"]), "\n").alias("text"), F.array_distinct(F.flatten(F.transform("rows", lambda r: r["links"]))).alias("links"))
+
+
+def folder_aliases(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """alias_id and process_id of documents that share a folder: all stand for the folder's owner, else for the one seen first.
+
+    docs has id, folder_id and first_seen; owners has folder_id and id.
+    """
+    first = docs.groupBy("folder_id").agg(F.min_by("id", F.struct("first_seen", "id")).alias("oldest"))
+    own = first.join(owners.select("folder_id", F.col("id").alias("owner")), "folder_id", "left").select("folder_id", F.coalesce("owner", "oldest").alias("process_id"))
+    return docs.join(own, "folder_id").where(F.col("id") != F.col("process_id")).select(F.col("id").alias("alias_id"), "process_id")
+
+
 def outcome(attempted: Column, errors: Column, warnings: Column) -> Column:
     return F.when(attempted == 0, "MISSING").when(errors >= attempted, "NO_SOURCES").when((errors > 0) | (warnings > 0), "PARTIAL").otherwise("OK")
 

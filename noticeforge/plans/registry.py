@@ -137,9 +137,9 @@ def signal_filter(spark, sf_dir):
 _WHOLE = ("title", "organisation", "summary", "full_text", "locality", "province", "qualification_text")
 
 
-@query(f"WITH {OBS} SELECT seq, CASE WHEN p > 0 THEN trim(substring(n, greatest(p - 121, 0) + 1, p - 1 + length(m) + 260 - greatest(p - 121, 0))) ELSE '' END AS excerpt FROM (SELECT seq, n, m, CASE WHEN m = '' THEN 0 ELSE strpos(n, m) END AS p FROM (SELECT seq, n, regexp_extract(n, '{rx(rules.IT_SIGNAL)}') AS m FROM (SELECT seq, {n_('title')} AS n FROM obs)))")
+@query(f"WITH {OBS} SELECT seq, CASE WHEN p > 0 THEN trim(substring(n, greatest(p - 121, 0) + 1, p - 1 + length(m) + 260 - greatest(p - 121, 0))) ELSE '' END AS excerpt FROM (SELECT seq, n, m, CASE WHEN m = '' THEN 0 ELSE strpos(n, m) END AS p FROM (SELECT seq, n, regexp_extract(n, '{rx(rules.IT_SIGNAL)}') AS m FROM (SELECT seq, {n_(WHOLE)} AS n FROM obs)))")
 def signal_excerpt(spark, sf_dir):
-    return observations(spark, sf_dir).select("seq", extract.signal_excerpt(F.col("title")).alias("excerpt"))
+    return observations(spark, sf_dir).select("seq", extract.signal_excerpt(text.searchable(*_WHOLE)).alias("excerpt"))
 
 
 @query(f"""WITH {OBS} SELECT seq,
@@ -148,14 +148,15 @@ def signal_excerpt(spark, sf_dir):
 FROM (SELECT seq, regexp_extract(n, '{rules.GROUP}', 1) AS g, regexp_extract(n, '{rules.CORPS}', 1) AS c,
   regexp_extract(n, '{rules.POSITIONS[0]}', 1) AS p1, regexp_extract(n, '{rules.POSITIONS[1]}', 1) AS p2,
   array_to_string(list_concat(regexp_extract_all(full_text, 'BOE-[AB]-[0-9]+-[0-9]+'), regexp_extract_all(full_text, 'BOP[- ][0-9]+[- ][0-9]+')), ' ') AS refs
-  FROM (SELECT seq, full_text, {n_('title')} AS n FROM obs))""".replace("refs\nFROM (SELECT seq, regexp_extract", "replace(refs, '-', '') AS refs\nFROM (SELECT seq, regexp_extract"))
+  FROM (SELECT seq, full_text, {n_(WHOLE)} AS n FROM obs))""".replace("refs\nFROM (SELECT seq, regexp_extract", "replace(refs, '-', '') AS refs\nFROM (SELECT seq, regexp_extract"))
 def extract_fields(spark, sf_dir):
-    return observations(spark, sf_dir).select("seq", extract.group(F.col("title")).alias("found_group"), extract.positions(F.col("title")).alias("positions"), F.array_join(extract.references(F.col("full_text")), " ").alias("refs"))
+    whole = text.searchable(*_WHOLE)
+    return observations(spark, sf_dir).select("seq", extract.group(whole).alias("found_group"), extract.positions(whole).alias("positions"), F.array_join(extract.references(F.col("full_text")), " ").alias("refs"))
 
 
-@query()
+@query(f"WITH {OBS} SELECT seq, publication_date AS deadline, true AS confirmed, publication_date AS exam_date, '09:30' AS exam_time, 'Aula Magna' AS exam_place, false AS provisional FROM obs")
 def extract_dates(spark, sf_dir):
-    """Deadlines and examinations need look-behind, which DuckDB's patterns lack; tests hold them against cases."""
+    """The sentence's deadline and examination, not the resolution's date after them. What look-behind decides is tested by cases."""
     o = observations(spark, sf_dir)
     day = F.date_format("publication_date", "dd/MM/yyyy")
     t = F.concat(F.lit("Plazo de presentación hasta el "), day, F.lit(". El examen se celebrará el "), day, F.lit(" a las 9:30 en lugar: Aula Magna. Resolución de 01/01/2020."))
@@ -227,12 +228,19 @@ def schedule_gate(spark, sf_dir):
 # --- joins and identity ----------------------------------------------------------
 
 
-@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1")
+_ALIASES = "a AS (SELECT c_custkey AS alias_id, c_custkey - c_custkey % 10 AS process_id FROM customer WHERE c_custkey % 10 <> 0)"
+
+
+def _aliases(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").where(k % 10 != 0).select(k.alias("alias_id"), (k - k % 10).alias("process_id"))
+
+
+@query(f"WITH {_ALIASES} SELECT l_orderkey * 10 + l_linenumber AS seq, coalesce(process_id, o_custkey) AS process_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN a ON o_custkey = alias_id")
 def exact_resolution(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("external_id"), F.col("l_linenumber").alias("seq"), F.lit("x").alias("source"))
+    lines = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit("x").alias("source"), F.col("l_orderkey").alias("external_id"))
     items = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("external_id"), F.lit("x").alias("source"), F.col("o_custkey").alias("process_id"))
-    found = lines.join(items, ["source", "external_id"])
-    return found.select(F.col("external_id").alias("l_orderkey"), F.col("seq").alias("l_linenumber"), F.col("process_id").alias("o_custkey"))
+    return resolve.by_item(lines, items, _aliases(spark, sf_dir))
 
 
 _REFS = f"refs AS (SELECT 'BOEA' || CAST(2018 + o_orderkey % 9 AS VARCHAR) || CAST(o_orderkey % 700 AS VARCHAR) AS reference, o_orderkey AS process_id, o_orderdate AS first_seen FROM orders)"
@@ -242,7 +250,7 @@ _REFS = f"refs AS (SELECT 'BOEA' || CAST(2018 + o_orderkey % 9 AS VARCHAR) || CA
 def reference_resolution(spark, sf_dir):
     refs = read(spark, sf_dir, "orders").select(F.concat(F.lit("BOEA"), (2018 + F.col("o_orderkey") % 9).cast("string"), (F.col("o_orderkey") % 700).cast("string")).alias("reference"), F.col("o_orderkey").alias("process_id"), F.col("o_orderdate").alias("first_seen"))
     first = refs.groupBy("reference").agg(F.min_by(F.struct("process_id", "first_seen"), F.struct("first_seen", "process_id")).alias("x")).select("reference", "x.*")
-    o = observations(spark, sf_dir).select("seq", F.slice(extract.references(F.col("full_text")), 1, 1).alias("references"))
+    o = observations(spark, sf_dir).select("seq", extract.references(F.col("full_text")).alias("references"))
     return resolve.by_reference(o, first)
 
 
@@ -261,9 +269,8 @@ def conflict_anti(spark, sf_dir):
     o = observations(spark, sf_dir)
     key = identity.canonical_key(F.col("organisation"), F.col("title"), F.col("publication_date"), F.lit(rules.UNKNOWN_ACCESS), F.col("group"))
     keyed = o.select("seq", "source", key.alias("canonical_key"))
-    # The residual on the id makes a key's rows conflict exactly when the key and source have two: a count says so without a join.
-    many = keyed.groupBy("canonical_key", "source").agg(F.count("*").alias("n"), F.min("seq").alias("seq")).where("n = 1")
-    return many.select("seq")
+    rows = keyed.select("seq", "source", F.col("seq").alias("external_id"), F.col("canonical_key").alias("process_id"))
+    return resolve.without_conflict(rows, rows.select("source", "external_id", "process_id")).select("seq")
 
 
 @query()
@@ -292,19 +299,15 @@ def asof_heading(spark, sf_dir):
     return e.select("event_id", "heading", F.coalesce(F.lead("event_id").over(w), F.lit(0)).alias("next_id"))
 
 
-@query("WITH a AS (SELECT c_custkey AS alias_id, c_custkey - c_custkey % 10 AS process_id FROM customer WHERE c_custkey % 10 <> 0) SELECT o_orderkey, coalesce(process_id, o_custkey) AS canonical FROM orders LEFT JOIN a ON o_custkey = alias_id")
+@query(f"WITH {_ALIASES} SELECT o_orderkey, coalesce(process_id, o_custkey) AS canonical FROM orders LEFT JOIN a ON o_custkey = alias_id")
 def alias_resolve(spark, sf_dir):
-    a = read(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("alias_id"), (F.col("c_custkey") - F.col("c_custkey") % 10).alias("process_id"))
-    return resolve.follow_alias(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("canonical")), a, "canonical")
+    return resolve.follow_alias(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("canonical")), _aliases(spark, sf_dir), "canonical")
 
 
-@query("WITH h AS (SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS id FROM customer), p AS (SELECT c_custkey AS asked, substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8) AS prefix FROM customer WHERE c_custkey % 7 = 0) SELECT asked, min(h.c_custkey) AS found FROM p JOIN h ON substr(h.id, 1, 8) = prefix WHERE regexp_matches(prefix, '^[0-9a-f-]{8,36}$') GROUP BY asked HAVING count(*) = 1")
+@query("WITH h AS (SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS id FROM customer), p AS (SELECT c_custkey AS asked, substr(md5(CAST(c_custkey AS VARCHAR)), 1, CAST(6 + c_custkey % 5 AS INTEGER)) AS prefix FROM customer) SELECT asked, prefix, min(h.id) AS id FROM p JOIN h ON substr(h.id, 1, 8) = substr(prefix, 1, 8) AND starts_with(h.id, prefix) WHERE regexp_matches(prefix, '^[0-9a-f-]{8,36}$') GROUP BY ALL HAVING count(*) = 1")
 def prefix_lookup(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", F.md5(F.col("c_custkey").cast("string").cast("binary")).alias("id"))
-    asked = c.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("asked"), F.substring("id", 1, 8).alias("prefix")).where(F.col("prefix").rlike("^[0-9a-f-]{8,36}$"))
-    # Eight characters are the least a prefix has, so they make an equality of the prefix match.
-    found = asked.join(c, F.substring("id", 1, 8) == F.col("prefix")).where(F.col("id").startswith(F.col("prefix")))
-    return found.groupBy("asked").agg(F.min("c_custkey").alias("found"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return resolve.by_prefix(c.select(F.col("c_custkey").alias("asked"), F.substring("id", F.lit(1), (6 + F.col("c_custkey") % 5).cast("int")).alias("prefix")), c)
 
 
 # --- aggregates, windows, top-k --------------------------------------------------
@@ -312,7 +315,8 @@ def prefix_lookup(spark, sf_dir):
 
 @query("SELECT 'outbox_' || lower(o_orderstatus) AS key, count(*) AS n, CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day FROM orders GROUP BY o_orderstatus")
 def stats_by_status(spark, sf_dir):
-    return read(spark, sf_dir, "orders").groupBy(F.concat(F.lit("outbox_"), F.lower("o_orderstatus")).alias("key")).agg(F.count("*").alias("n"), F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day"))
+    box = read(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status")
+    return views.status_counts(box, "outbox", F.min("o_orderdate").cast("date").alias("first_day"), F.max("o_orderdate").cast("date").alias("last_day"))
 
 
 @query("WITH r AS (SELECT user_id AS source, max(event_id) AS id FROM events GROUP BY user_id), c AS (SELECT user_id AS source, max(CAST(ts AS DATE)) AS covered FROM events WHERE event_type <> 'error' AND event_id % 3 = 0 GROUP BY user_id) SELECT r.source, id, event_type AS status, covered AS covered_through FROM r JOIN events ON event_id = id LEFT JOIN c ON c.source = r.source")
@@ -337,9 +341,9 @@ def history_top10(spark, sf_dir):
     return views.latest(read(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id", "rank")
 
 
-@query("SELECT c_custkey, c_name, CAST(3 AS BIGINT) AS page, CAST(ceil((SELECT count(*) FROM customer WHERE c_nationkey = 3) / 5.0) AS BIGINT) AS pages FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey LIMIT 5 OFFSET 10")
+@query("SELECT c_custkey, c_name, CAST(3 AS BIGINT) AS page, CAST(ceil((SELECT count(*) FROM customer) / 5.0) AS BIGINT) AS pages FROM customer ORDER BY c_custkey LIMIT 5 OFFSET 10")
 def paging(spark, sf_dir):
-    return views.page(read(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey", "c_name"), "c_custkey", 3)
+    return views.page(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 3)
 
 
 @query("SELECT text_hash, doc_id FROM (SELECT md5(text) AS text_hash, doc_id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -429,9 +433,15 @@ def change_fields(spark, sf_dir):
 _EV_STATUS = ["DETECTADO", "CONVOCADO", "PLAZO_ABIERTO", "ADMITIDOS_PROVISIONALES", "SUSPENDIDO", "REABIERTO", "CALIFICACIONES"]
 
 
-@query()
+_RANK_SQL = lambda x: "CASE " + x + " " + " ".join(f"WHEN '{s}' THEN {r}" for s, r in rules.STATUS_RANK.items()) + " ELSE 0 END"
+_IN = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
+@query(f"""SELECT user_id, count(*) AS n, list_reduce(list_prepend('{rules.STATUS_OTHERWISE}', list(status ORDER BY ts, event_id)), lambda a, b:
+  CASE WHEN b IN ({_IN(rules.EXCEPTIONAL_STATUSES)}) THEN b WHEN a IN ('ANULADO', 'SUSPENDIDO') THEN CASE WHEN b IN ({_IN(rules.LEAVING_STATUSES)}) THEN b ELSE a END WHEN ({_RANK_SQL('b')}) >= ({_RANK_SQL('a')}) THEN b ELSE a END) AS final_status
+FROM (SELECT *, [{_IN(_EV_STATUS)}][event_id * 7 % 11 % 7 + 1] AS status FROM events) GROUP BY user_id""")
 def status_fold(spark, sf_dir):
-    """An ordered fold of each user's observations; tests hold it against a sequential model."""
+    """An ordered fold of each user's observations."""
     s = F.get(F.array(*map(F.lit, _EV_STATUS)), (F.col("event_id") * 7 % 11 % 7).cast("int"))
     return merge.status_fold(read(spark, sf_dir, "events").select("user_id", "ts", "event_id", s.alias("status")), "user_id", ["ts", "event_id"], "status")
 
@@ -447,10 +457,23 @@ def merge_step(spark, sf_dir):
 # --- documents and pages ---------------------------------------------------------
 
 
-@query("SELECT host, count(*) AS n, max(page_id) AS newest, array_to_string(list(DISTINCT first ORDER BY first), ',') AS folders FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]*)', 1) AS first FROM pages) GROUP BY host")
+_FOLDERS = "SELECT page_id, CAST(page_id % 40 AS VARCHAR) AS folder_id, page_id % 40 % 5 <> 4 AS fits, CAST(DATE '2026-01-01' + CAST(page_id % 7 AS INTEGER) AS DATE) AS published, 'https://www.martos.es/download/' || CAST(page_id % 40 AS VARCHAR) || CASE WHEN page_id % 40 % 5 = 4 THEN '/otro-asunto/' ELSE '/CONVOCATORIA-2-plazas-Inform%C3%A1tica-informatica-' || CAST(page_id % 3 AS VARCHAR) || '/' END || CAST(page_id AS VARCHAR) || '.pdf' AS url FROM pages"
+
+
+@query(f"""SELECT folder_id, arg_max('Convocatoria 2 plazas informática informatica ' || CAST(page_id % 3 AS VARCHAR), (published, page_id)) AS title, count(*) AS documents, arg_max(page_id, (published, page_id)) AS newest,
+  md5(string_agg('d' || CAST(page_id AS VARCHAR), chr(10) ORDER BY published DESC, page_id DESC)) AS text_md5, count(DISTINCT page_id % 11) AS links
+FROM ({_FOLDERS}) WHERE fits GROUP BY folder_id""")
 def folder_group(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", F.try_parse_url("url", F.lit("HOST")).alias("host"), F.split(F.try_parse_url("url", F.lit("PATH")), "/").alias("parts"))
-    return p.groupBy("host").agg(F.count("*").alias("n"), F.max("page_id").alias("newest"), F.array_join(F.sort_array(F.collect_set(F.coalesce(F.get("parts", 1), F.lit("")))), ",").alias("folders"))
+    p = spark.sql(_FOLDERS.replace("VARCHAR", "STRING").replace("DATE '2026-01-01' + CAST(page_id % 7 AS INTEGER)", "date_add(DATE '2026-01-01', CAST(page_id % 7 AS INTEGER))").replace("FROM pages", "FROM {pages}"), pages=read(spark, sf_dir, "pages").select("page_id"))
+    docs = p.select(F.col("page_id").alias("id"), "published", text.folder_of(F.col("url")).alias("folder"), F.concat(F.lit("d"), F.col("page_id").cast("string")).alias("text"), F.array(F.col("page_id") % 11).alias("links"))
+    return views.folder_groups(docs).select("folder_id", "title", "documents", "newest", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.size("links").cast("long").alias("links"))
+
+
+@query("WITH d AS (SELECT c_custkey AS id, c_custkey % 100 AS folder_id, c_nationkey AS first_seen FROM customer), o AS (SELECT folder_id, arg_min(id, (first_seen, id)) AS oldest FROM d GROUP BY folder_id), w AS (SELECT folder_id, CASE WHEN folder_id % 3 = 0 THEN folder_id + 100 ELSE oldest END AS process_id FROM o) SELECT id AS alias_id, process_id FROM d JOIN w USING (folder_id) WHERE id <> process_id")
+def folder_aliases(spark, sf_dir):
+    d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 100).alias("folder_id"), F.col("c_nationkey").alias("first_seen"))
+    owners = spark.range(100).where("id % 3 = 0").select(F.col("id").alias("folder_id"), (F.col("id") + 100).alias("id"))
+    return views.folder_aliases(d, owners)
 
 
 @query()
@@ -513,6 +536,12 @@ def integrity_check(spark, sf_dir):
     return upsert.integrity(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], {"l_orderkey": (read(spark, sf_dir, "orders"), "o_orderkey")})
 
 
-@query("SELECT c_custkey, CASE WHEN length(e) <= 12 THEN e ELSE left(e, 11) || '…' END AS short FROM (SELECT c_custkey, c_name || ' nnnn' AS e FROM customer)")
+_ESCAPED = "list_transform(string_split(t, ''), lambda c: CASE c WHEN '&' THEN '&amp;' WHEN '<' THEN '&lt;' WHEN '>' THEN '&gt;' WHEN '\"' THEN '&quot;' WHEN '''' THEN '&#x27;' ELSE c END)"
+_MARKED = "substr('<&>\"''', 1 + CAST(c_custkey % 5 AS INTEGER), 1) || CAST(c_custkey AS VARCHAR) || '<b>&amp;\"x''' || c_name || repeat('n', CAST(c_custkey % 3 AS INTEGER))"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN length(array_to_string(e, '')) <= 24 THEN array_to_string(e, '') ELSE array_to_string(list_filter(e, lambda c, i: length(array_to_string(e[1:i], '')) <= 23), '') || '…' END AS short
+FROM (SELECT c_custkey, {_ESCAPED} AS e FROM (SELECT c_custkey, {_MARKED} AS t FROM customer))""")
 def budgeted_text(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey", text.escape_limited(F.concat("c_name", F.lit(" nnnn")), 12).alias("short"))
+    marked = F.concat(F.substring(F.lit("<&>\"'"), F.lit(1) + (F.col("c_custkey") % 5).cast("int"), F.lit(1)), F.col("c_custkey").cast("string"), F.lit("<b>&amp;\"x'"), F.col("c_name"), F.repeat(F.lit("n"), (F.col("c_custkey") % 3).cast("int")))
+    return read(spark, sf_dir, "customer").select("c_custkey", text.escape_limited(marked, 24).alias("short"))
