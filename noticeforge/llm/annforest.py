@@ -34,7 +34,7 @@ from noticeforge.llm import common
 SHARD_ROWS = 16_384
 #: Most queries that go through one shard's forest together.
 QUERY_ROWS = 32_768
-TREES, LEAF = 40, 32
+TREES, LEAF = 32, 64
 #: Part of a shard's rows that a query meets, and how many more.
 SHARE, LEAST = 0.3, 500
 
