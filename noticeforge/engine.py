@@ -293,6 +293,10 @@ class Engine:
     def recover(self, now: datetime) -> int:
         return self._move(lambda b: outbox.recover_stale(b, F.lit(now).cast("timestamp")))
 
+    def release(self, ids: list[str]) -> int:
+        """Claims that weren't sent become pending again."""
+        return self._move(lambda b: outbox.release(b, F.col("event_id").isin(ids)))
+
     def retry(self, event_id: str) -> int:
         return self._move(lambda b: outbox.retry(b, F.col("event_id") == event_id))
 

@@ -194,6 +194,18 @@ def notify_at_first(deadline: Column, confirmed: Column, exam: Column, published
     )
 
 
+def in_window(published: Column, today: Column, lookback: Column, followed: Column, undated: bool, future: bool) -> Column:
+    """Whether a record's age is within the window: undated says whether records without a date pass, future whether those ahead of today do; what is followed always does."""
+    age = F.datediff(today, published)
+    fits = (age <= lookback) & (F.lit(future) | (age >= 0))
+    return F.coalesce(followed, F.lit(False)) | F.coalesce(fits, F.lit(undated))
+
+
+def names_place(quick_text: Column, places: tuple[str, ...]) -> Column:
+    """Whether a text names one of the configured places."""
+    return text.contains_any(text.normalize(quick_text), places)
+
+
 def material_notice(title: Column, summary: Column) -> Column:
     """What a notice changes by its wording; null if nothing."""
     n, out = text.normalize(F.concat_ws(" ", title, summary)), F.when(F.lit(False), "")

@@ -53,6 +53,31 @@ def folder_groups(docs: DataFrame) -> DataFrame:
     return out.select("folder_id", "title", "documents", F.element_at("rows", -1)["id"].alias("newest"), F.array_join(F.transform(newest, lambda r: r["text"]), "\n").alias("text"), F.array_distinct(F.flatten(F.transform("rows", lambda r: r["links"]))).alias("links"))
 
 
+def link_union(links: DataFrame) -> DataFrame:
+    """One row for each entity and url, the last one by seq, in the order in which urls first came. links has process_id, seq, url and label."""
+    last = links.groupBy("process_id", "url").agg(F.min("seq").alias("first"), F.max_by("label", "seq").alias("label"))
+    return last.select("process_id", "url", "label", F.row_number().over(Window.partitionBy("process_id").orderBy("first")).alias("place"))
+
+
+def newest_milestone(links: DataFrame, day: Column) -> DataFrame:
+    """Of each entity, the link whose label has the latest day (a column; empty if it has none); of equal ones the first."""
+    dated = links.withColumn("day", day).where("day <> ''")
+    return dated.groupBy("process_id").agg(F.max_by(F.struct("url", "label", "day"), F.struct("day", -F.col("place"))).alias("x")).select("process_id", "x.*")
+
+
+def alias_groups(processes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """id of canonical entities with their aliases, and the latest last_seen and last_changed of the whole group."""
+    led = processes.join(aliases.select(F.col("alias_id").alias("id"), F.col("process_id").alias("_to")), "id", "left")
+    rows = led.groupBy(F.coalesce("_to", "id").alias("id")).agg(F.array_sort(F.collect_list(F.when(F.col("_to").isNotNull(), F.col("id")))).alias("aliases"), F.max("last_seen").alias("last_seen"), F.max("last_changed").alias("last_changed"))
+    return rows
+
+
+def run_states(runs: DataFrame) -> DataFrame:
+    """Of each source: the newest run, and the newest that started, that ended and that ended well, by id."""
+    pick = lambda cond: F.max(F.when(cond, F.col("id")))
+    return runs.groupBy("source").agg(F.max("id").alias("newest"), pick(F.col("finished_at").isNotNull()).alias("completed"), pick(F.col("status") == "OK").alias("succeeded"), pick(F.col("finished_at").isNull()).alias("active"))
+
+
 def folder_aliases(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """alias_id and process_id of documents that share a folder: all stand for the folder's owner, else for the one seen first.
 
