@@ -350,22 +350,39 @@ class Engine:
         return (box.where(F.col("status").isin(statuses)) if statuses else box).orderBy("created_at", "event_id")
 
     def catalog(self, today: date) -> DataFrame:
-        """Canonical entities with category, links and history; raw texts aren't in it. Excluded ones only if they are followed."""
+        """Canonical entities with category, aliases, links and history; raw texts aren't in it. Excluded ones only if they are followed."""
         read = self.state.read
         p = read("processes").join(read("process_aliases").select(F.col("alias_id").alias("id")), "id", "left_anti")
         followed = read("followed_processes").select(F.col("process_id").alias("id"), F.lit(True).alias("followed"))
         p = p.join(followed, "id", "left").withColumn("followed", F.coalesce("followed", F.lit(False)))
         judged = classify.evaluate(p.withColumns({"full_text": F.lit(""), "qualification_text": F.col("qualification"), "milestone_text": F.lit(""), "link_labels": F.lit(""), "_status": F.col("status"), "_compatibility": F.col("compatibility")}), self.profile)
         judged = judged.withColumns({"status": F.col("_status"), "compatibility": F.col("_compatibility")})
-        include = F.col("decision.include")
+        include, review = F.col("decision.include"), F.col("decision.reviewable")
         applicable = classify.can_apply(F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("deadline"), F.col("publication_date"), F.lit(today))
-        shown = judged.where(include | F.col("followed")).withColumn("category", views.category(include, applicable, F.col("deadline_confirmed"), F.col("status"), F.col("followed")))
-        links = read("process_urls").groupBy("process_id").agg(F.array_sort(F.collect_list(F.struct("first_seen", "url", "label"))).alias("links"))
-        history = views.latest(read("notification_outbox"), ["process_id"], [F.desc("created_at"), F.desc("event_id")], 10)
-        history = history.groupBy("process_id").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "status", "created_at"))).alias("history"))
+        shown = judged.where(include | review | F.col("followed")).withColumn("category", views.category(include, applicable, F.col("deadline_confirmed"), F.col("status"), ~include & ~review))
+        shown = shown.withColumns({"compatibility": F.when(~include & (F.col("compatibility") != "NO_COMPATIBLE"), "REVISAR").otherwise(F.col("compatibility")), "review_reason": F.when(include, "").otherwise(F.col("decision.reason"))})
+        aliases = read("process_aliases")
+        groups = views.alias_groups(read("processes").select("id", "last_seen", "last_changed"), aliases)
+        shown = shown.drop("last_seen", "last_changed").join(groups, "id")
+        # Links and history are those of the whole group of aliases.
+        urls = resolve.follow_alias(read("process_urls"), aliases, "process_id")
+        links = urls.groupBy("process_id").agg(F.array_sort(F.collect_list(F.struct("first_seen", "url", "label"))).alias("links"))
+        events = resolve.follow_alias(read("notification_outbox"), aliases, "process_id").withColumn("changes", F.from_json(F.get_json_object("payload", "$.changes"), "array<string>"))
+        history = views.latest(events, ["process_id"], [F.desc("created_at"), F.desc("event_id")], 10)
+        history = history.groupBy("process_id").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "status", "created_at", "changes"))).alias("history"))
         out = shown.join(links, shown["id"] == links["process_id"], "left").drop("process_id").join(history, shown["id"] == history["process_id"], "left").drop("process_id")
         return out.drop("full_text", "qualification_text", "milestone_text", "link_labels", "_status", "_compatibility", "decision", "snapshot").orderBy(F.desc("last_changed"), "id")
 
+    def card(self, prefix: str, today: date) -> str:
+        """The detail of the one shown entity whose id has the prefix, as an escaped text within a message's budget."""
+        found = resolve.by_prefix(self.spark.createDataFrame([(prefix,)], "prefix string"), self.state.read("processes")).collect()
+        rows = self.catalog(today).where(F.col("id") == found[0]["id"]).toJSON().collect() if found else []
+        if not rows:
+            raise ValueError("no single entity has this id")
+        own = json.loads(rows[0])
+        details = [{"label": "Último cambio", "old": "", "new": c} for h in own.get("history", [])[:1] for c in h.get("changes") or []]
+        return render.message("CARD", json.dumps(own | {"change_details": details}))
+
     def stats(self) -> dict[str, int]:
         out = {"processes": self.state.read("processes").count()}
         return out | {r["key"]: r["n"] for r in views.status_counts(self.state.read("notification_outbox"), "outbox").collect()}
@@ -380,6 +397,6 @@ class Engine:
         return out
 
     def export(self, today: date) -> str:
-        """The catalogue as JSON text, for a bounded number of entities."""
-        rows = [json.loads(x) for x in self.catalog(today).toJSON().collect()]
-        return json.dumps({"version": 2, "processes": rows}, ensure_ascii=False, indent=2, sort_keys=True) + "\n"
+        """The catalogue and the sources' states as JSON text, for a bounded number of entities."""
+        rows, sources = ([json.loads(x) for x in df.toJSON().collect()] for df in (self.catalog(today), self.source_status()))
+        return json.dumps({"version": 2, "processes": rows, "sources": sources}, ensure_ascii=False, indent=2, sort_keys=True) + "\n"

@@ -7,7 +7,7 @@ import json
 
 #: Characters of a message, changes and links in it. Fixed values.
 MOST_CHARS, MOST_CHANGES, MOST_LINKS = 4096, 6, 5
-HEADINGS = {"NEW": "Nueva convocatoria", "REVIEW": "Convocatoria por revisar", "UPDATE": "Cambios en un proceso", "REMINDER": "Recordatorio de plazo"}
+HEADINGS = {"NEW": "Nueva convocatoria", "REVIEW": "Convocatoria por revisar", "UPDATE": "Cambios en un proceso", "REMINDER": "Recordatorio de plazo", "CARD": "Ficha del proceso"}
 
 
 def escaped(value: object, budget: int) -> str:

@@ -110,29 +110,29 @@ IT_FAMILY_TERMS = (
 
 #: Status by the first group of phrases that occurs.
 STATUS_RULES = (
-    (("anulacion", "anulada", "dejar sin efecto"), "ANULADO"),
-    (("suspension", "suspendido", "suspendida"), "SUSPENDIDO"),
-    (("reapertura", "nuevo plazo"), "REABIERTO"),
+    (("anulacion", "anulada", "dejar sin efecto"), "ANULADA"),
+    (("suspension", "suspendido", "suspendida"), "SUSPENDIDA"),
+    (("reapertura", "nuevo plazo"), "REABIERTA"),
     (("propuesta de nombramiento",), "PROPUESTA_NOMBRAMIENTO"),
     (("eleccion de destinos", "destinos adjudicados"), "DESTINOS"),
-    (("calificaciones", "relacion de aprobados", "listado provisional de personas aprobadas", "autobaremo", "convocatoria plazas adicionales", "notas definitivas", "notas segundo examen", "notas del segundo", "notas primer examen"), "CALIFICACIONES"),
-    (("fecha de examen", "lugar de examen", "examen tendra lugar", "ejercicio se celebrara", "fecha del ejercicio"), "EXAMEN_CONVOCADO"),
-    (("lista definitiva de admitidos", "admitidos definitivos"), "ADMITIDOS_DEFINITIVOS"),
-    (("lista provisional de admitidos", "admitidos provisionales"), "ADMITIDOS_PROVISIONALES"),
+    (("calificaciones", "relacion de aprobados", "listado provisional de personas aprobadas", "autobaremo", "convocatoria plazas adicionales", "notas definitivas", "notas segundo examen", "notas del segundo", "notas primer examen"), "NOTAS"),
+    (("fecha de examen", "lugar de examen", "examen tendra lugar", "ejercicio se celebrara", "fecha del ejercicio"), "EXAMEN_ANUNCIADO"),
+    (("lista definitiva de admitidos", "admitidos definitivos"), "ADMITIDOS_DEFINITIVO"),
+    (("lista provisional de admitidos", "admitidos provisionales"), "ADMITIDOS_PROVISIONAL"),
     (("plazo de presentacion", "plazo de solicitudes"), "PLAZO_ABIERTO"),
-    (("convoca proceso selectivo", "convocatoria"), "CONVOCADO"),
+    (("convoca proceso selectivo", "convocatoria"), "CONVOCADA"),
 )
-STATUS_OTHERWISE = "DETECTADO"
+STATUS_OTHERWISE = "DETECTADA"
 #: Ranks of ordinary statuses; one that isn't here counts as 0.
-STATUS_RANK = {"DESCONOCIDO": 0, "DETECTADO": 1, "CONVOCADO": 2, "PLAZO_ABIERTO": 3, "CERRADO": 4, "ADMITIDOS_PROVISIONALES": 5, "ADMITIDOS_DEFINITIVOS": 6, "EXAMEN_CONVOCADO": 7, "EXAMEN_REALIZADO": 8, "CALIFICACIONES": 9, "DESTINOS": 10, "FINALIZADO": 11}
-EXCEPTIONAL_STATUSES = ("ANULADO", "SUSPENDIDO", "REABIERTO")
-LEAVING_STATUSES = ("REABIERTO", "PLAZO_ABIERTO")
-APPLICABLE_STATUSES = ("PLAZO_ABIERTO", "REABIERTO", "CONVOCADO", "DETECTADO")
-ADVANCED_STATUSES = ("CERRADO", "ADMITIDOS_PROVISIONALES", "ADMITIDOS_DEFINITIVOS", "EXAMEN_CONVOCADO", "EXAMEN_REALIZADO", "CALIFICACIONES", "PROPUESTA_NOMBRAMIENTO", "DESTINOS", "FINALIZADO", "ANULADO")
-NO_REMINDER_STATUSES = ("CERRADO", "ANULADO", "FINALIZADO", "SUSPENDIDO")
+STATUS_RANK = {"DESCONOCIDA": 0, "DETECTADA": 1, "CONVOCADA": 2, "PLAZO_ABIERTO": 3, "PLAZO_CERRADO": 4, "ADMITIDOS_PROVISIONAL": 5, "ADMITIDOS_DEFINITIVO": 6, "EXAMEN_ANUNCIADO": 7, "EXAMEN_REALIZADO": 8, "NOTAS": 9, "DESTINOS": 10, "FINALIZADA": 11}
+EXCEPTIONAL_STATUSES = ("ANULADA", "SUSPENDIDA", "REABIERTA")
+LEAVING_STATUSES = ("REABIERTA", "PLAZO_ABIERTO")
+APPLICABLE_STATUSES = ("PLAZO_ABIERTO", "REABIERTA", "CONVOCADA", "DETECTADA")
+ADVANCED_STATUSES = ("NOTAS", "EXAMEN_ANUNCIADO", "EXAMEN_REALIZADO", "ADMITIDOS_PROVISIONAL", "ADMITIDOS_DEFINITIVO", "DESTINOS", "PROPUESTA_NOMBRAMIENTO", "FINALIZADA", "ANULADA", "SUSPENDIDA")
+NO_REMINDER_STATUSES = ("PLAZO_CERRADO", "ANULADA", "FINALIZADA", "SUSPENDIDA")
 
 COMPATIBLE, REVIEW, NOT_COMPATIBLE = "COMPATIBLE", "REVISAR", "NO_COMPATIBLE"
-OPEN, INTERNAL_ONLY, MIXED, UNKNOWN_ACCESS = "LIBRE", "PROMOCION_INTERNA", "MIXTO", "REVISAR"
+OPEN, INTERNAL_ONLY, MIXED, UNKNOWN_ACCESS = "LIBRE", "PROMOCION_INTERNA_EXCLUSIVA", "MIXTO", "REVISAR"
 
 NUMBER_WORDS = {"una": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5}
 DAY_WORDS = {"cinco": 5, "diez": 10, "quince": 15, "veinte": 20, "treinta": 30, "cuarenta": 40, "sesenta": 60}

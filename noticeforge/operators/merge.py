@@ -16,7 +16,7 @@ def prefer_status(old: Column, new: Column) -> Column:
     """An exceptional status wins and sticks until the process reopens; else the higher rank, the new one on ties."""
     return (
         F.when(new.isin(*rules.EXCEPTIONAL_STATUSES), new)
-        .when(old.isin("ANULADO", "SUSPENDIDO"), F.when(new.isin(*rules.LEAVING_STATUSES), new).otherwise(old))
+        .when(old.isin(*rules.EXCEPTIONAL_STATUSES), F.when(new.isin(*rules.LEAVING_STATUSES), new).otherwise(old))
         .when(_rank(new) >= _rank(old), new)
         .otherwise(old)
     )

@@ -60,6 +60,7 @@ def suppress(outbox: DataFrame, chosen: Column) -> DataFrame:
 def reminders(processes: DataFrame, made: DataFrame, today: Column, days_before: list[int]) -> DataFrame:
     """process_id, deadline, days_before and event_key of reminders that are due and not made yet."""
     due = processes.where(F.col("deadline_confirmed") & ~F.col("status").isin(*rules.NO_REMINDER_STATUSES))
+    due = due.where((F.col("compatibility") != rules.NOT_COMPATIBLE) & (F.col("access") != rules.INTERNAL_ONLY))
     due = due.withColumn("days_before", F.datediff("deadline", today)).where(F.col("days_before").isin(days_before))
     due = due.select(F.col("id").alias("process_id"), "deadline", "days_before")
     new = due.join(made.select("process_id", "deadline", "days_before"), ["process_id", "deadline", "days_before"], "left_anti")

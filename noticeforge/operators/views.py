@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from noticeforge.functions import rules
 
 
-def category(include: Column, applicable: Column, confirmed: Column, status: Column, followed: Column) -> Column:
-    """OPEN, REVIEW or TRACKING; advanced statuses and excluded entities that are followed are tracked."""
+def category(include: Column, applicable: Column, confirmed: Column, status: Column, excluded: Column) -> Column:
+    """OPEN, REVIEW or TRACKING; advanced statuses and what is excluded, and only shown as it is followed, are tracked."""
     return (
-        F.when(status.isin(*rules.ADVANCED_STATUSES) | (~include & followed), "TRACKING")
+        F.when(status.isin(*rules.ADVANCED_STATUSES) | excluded, "TRACKING")
         .when(include & applicable, "OPEN")
         .when(applicable | ~F.coalesce(confirmed, F.lit(False)), "REVIEW")
         .otherwise("TRACKING")

@@ -185,9 +185,9 @@ def qualification_sentences(spark, sf_dir):
 
 
 @query(f"""WITH {OBS}, {NORM}, {QUALIFIED}, x AS (SELECT base.seq, {RELEVANT_SQL} AS relevant, {AREA_SQL} AS area, {ACCESS_SQL} AS access, compatibility AS evidence FROM base JOIN judged USING (seq))
-SELECT seq, relevant AND area AND access <> 'PROMOCION_INTERNA' AND evidence <> 'NO_COMPATIBLE' AS include,
+SELECT seq, relevant AND area AND access <> 'PROMOCION_INTERNA_EXCLUSIVA' AND evidence <> 'NO_COMPATIBLE' AS include,
   coalesce(nullif(concat_ws('; ', CASE WHEN NOT relevant THEN 'sin senal suficiente de puesto informatico' END, CASE WHEN NOT area THEN 'fuera del ambito geografico' END,
-  CASE WHEN evidence = 'NO_COMPATIBLE' THEN 'titulacion universitaria obligatoria' END, CASE WHEN access = 'PROMOCION_INTERNA' THEN 'promocion interna exclusiva' END), ''), 'compatible o requiere revision') AS reason FROM x""")
+  CASE WHEN evidence = 'NO_COMPATIBLE' THEN 'titulacion universitaria obligatoria' END, CASE WHEN access = 'PROMOCION_INTERNA_EXCLUSIVA' THEN 'promocion interna exclusiva' END), ''), 'compatible o requiere revision') AS reason FROM x""")
 def decision_reasons(spark, sf_dir):
     return classify.evaluate(_observed(spark, sf_dir), PROFILE).select("seq", F.col("decision.include").alias("include"), F.col("decision.reason").alias("reason"))
 
@@ -199,7 +199,7 @@ _DEADLINE = "CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INTEGER)"
   o_orderkey % 3 = 0 AND o_orderstatus IN ('O', 'P') AND CAST(o_orderdate AS DATE) <= {TODAY_SQL} AND date_diff('day', CAST(o_orderdate AS DATE), {TODAY_SQL}) <= CASE WHEN o_orderkey % 2 = 0 THEN 20 ELSE 32 END + CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 20 END AS may_be_open FROM orders""")
 def can_apply(spark, sf_dir):
     k, published = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
-    status = F.when(F.col("o_orderstatus").isin("O", "P"), "PLAZO_ABIERTO").otherwise("CERRADO")
+    status = F.when(F.col("o_orderstatus").isin("O", "P"), "PLAZO_ABIERTO").otherwise("PLAZO_CERRADO")
     deadline, confirmed, today = F.date_add(published, (k % 40).cast("int")), k % 3 != 0, F.lit(TODAY)
     kind, source = F.when(k % 2 == 0, "naturales").otherwise("habiles"), F.when(k % 5 == 0, "boe").otherwise("martos")
     return read(spark, sf_dir, "orders").select(
@@ -389,10 +389,10 @@ def outbox_transitions(spark, sf_dir):
     return o.groupBy("status").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
 
 
-@query(f"SELECT CAST(o_orderkey AS BIGINT) AS process_id, {_DEADLINE} AS deadline, CAST(date_diff('day', {TODAY_SQL}, {_DEADLINE}) AS INTEGER) AS days_before, 'reminder:' || CAST(o_orderkey AS VARCHAR) || ':' || strftime({_DEADLINE}, '%Y-%m-%d') || ':' || CAST(date_diff('day', {TODAY_SQL}, {_DEADLINE}) AS VARCHAR) AS event_key FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus <> 'F' AND date_diff('day', {TODAY_SQL}, {_DEADLINE}) IN (7, 3, 1) AND o_orderkey % 5 <> 0")
+@query(f"SELECT CAST(o_orderkey AS BIGINT) AS process_id, {_DEADLINE} AS deadline, CAST(date_diff('day', {TODAY_SQL}, {_DEADLINE}) AS INTEGER) AS days_before, 'reminder:' || CAST(o_orderkey AS VARCHAR) || ':' || strftime({_DEADLINE}, '%Y-%m-%d') || ':' || CAST(date_diff('day', {TODAY_SQL}, {_DEADLINE}) AS VARCHAR) AS event_key FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderstatus <> 'F' AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND date_diff('day', {TODAY_SQL}, {_DEADLINE}) IN (7, 3, 1) AND o_orderkey % 5 <> 0")
 def reminders(spark, sf_dir):
     k = F.col("o_orderkey")
-    p = read(spark, sf_dir, "orders").select(k.alias("id"), F.date_add(F.col("o_orderdate").cast("date"), (k % 40).cast("int")).alias("deadline"), (k % 3 != 0).alias("deadline_confirmed"), F.when(F.col("o_orderstatus") == "F", "CERRADO").otherwise("PLAZO_ABIERTO").alias("status"))
+    p = read(spark, sf_dir, "orders").select(k.alias("id"), F.date_add(F.col("o_orderdate").cast("date"), (k % 40).cast("int")).alias("deadline"), (k % 3 != 0).alias("deadline_confirmed"), F.when(F.col("o_orderstatus") == "F", "PLAZO_CERRADO").otherwise("PLAZO_ABIERTO").alias("status"), F.when(k % 11 == 0, rules.NOT_COMPATIBLE).otherwise(rules.REVIEW).alias("compatibility"), F.when(k % 13 == 0, rules.INTERNAL_ONLY).otherwise(rules.OPEN).alias("access"))
     made = p.where("id % 5 = 0").select(F.col("id").alias("process_id"), "deadline", F.datediff("deadline", F.lit(TODAY)).alias("days_before"))
     return outbox.reminders(p, made, F.lit(TODAY), [7, 3, 1])
 
@@ -417,8 +417,8 @@ _CAT_SQL = "CASE WHEN o_orderstatus = 'F' OR (o_orderkey % 4 = 0 AND o_custkey %
 @query(f"SELECT o_orderkey, {_CAT_SQL} AS category FROM orders WHERE NOT (o_orderkey % 4 = 0 AND o_custkey % 10 <> 0)")
 def catalog_category(spark, sf_dir):
     include, followed = F.col("o_orderkey") % 4 != 0, F.col("o_custkey") % 10 == 0
-    status = F.when(F.col("o_orderstatus") == "F", "CERRADO").otherwise("PLAZO_ABIERTO")
-    c = views.category(include, F.col("o_totalprice") > 100000, F.col("o_orderkey") % 3 != 0, status, followed)
+    status = F.when(F.col("o_orderstatus") == "F", "FINALIZADA").otherwise("PLAZO_ABIERTO")
+    c = views.category(include, F.col("o_totalprice") > 100000, F.col("o_orderkey") % 3 != 0, status, ~include & followed)
     return read(spark, sf_dir, "orders").where(include | followed).select("o_orderkey", c.alias("category"))
 
 
@@ -430,7 +430,7 @@ def change_fields(spark, sf_dir):
     return o.select("o_orderkey", F.concat_ws("; ", changes).alias("changes"))
 
 
-_EV_STATUS = ["DETECTADO", "CONVOCADO", "PLAZO_ABIERTO", "ADMITIDOS_PROVISIONALES", "SUSPENDIDO", "REABIERTO", "CALIFICACIONES"]
+_EV_STATUS = ["DETECTADA", "CONVOCADA", "PLAZO_ABIERTO", "ADMITIDOS_PROVISIONAL", "SUSPENDIDA", "REABIERTA", "NOTAS"]
 
 
 _RANK_SQL = lambda x: "CASE " + x + " " + " ".join(f"WHEN '{s}' THEN {r}" for s, r in rules.STATUS_RANK.items()) + " ELSE 0 END"
@@ -438,7 +438,7 @@ _IN = lambda names: ", ".join(f"'{n}'" for n in names)
 
 
 @query(f"""SELECT user_id, count(*) AS n, list_reduce(list_prepend('{rules.STATUS_OTHERWISE}', list(status ORDER BY ts, event_id)), lambda a, b:
-  CASE WHEN b IN ({_IN(rules.EXCEPTIONAL_STATUSES)}) THEN b WHEN a IN ('ANULADO', 'SUSPENDIDO') THEN CASE WHEN b IN ({_IN(rules.LEAVING_STATUSES)}) THEN b ELSE a END WHEN ({_RANK_SQL('b')}) >= ({_RANK_SQL('a')}) THEN b ELSE a END) AS final_status
+  CASE WHEN b IN ({_IN(rules.EXCEPTIONAL_STATUSES)}) THEN b WHEN a IN ({_IN(rules.EXCEPTIONAL_STATUSES)}) THEN CASE WHEN b IN ({_IN(rules.LEAVING_STATUSES)}) THEN b ELSE a END WHEN ({_RANK_SQL('b')}) >= ({_RANK_SQL('a')}) THEN b ELSE a END) AS final_status
 FROM (SELECT *, [{_IN(_EV_STATUS)}][event_id * 7 % 11 % 7 + 1] AS status FROM events) GROUP BY user_id""")
 def status_fold(spark, sf_dir):
     """An ordered fold of each user's observations."""
@@ -446,7 +446,7 @@ def status_fold(spark, sf_dir):
     return merge.status_fold(read(spark, sf_dir, "events").select("user_id", "ts", "event_id", s.alias("status")), "user_id", ["ts", "event_id"], "status")
 
 
-@query("WITH e AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), s AS (SELECT user_id, event_id, ['DETECTADO', 'CONVOCADO', 'PLAZO_ABIERTO', 'ADMITIDOS_PROVISIONALES', 'SUSPENDIDO', 'REABIERTO', 'CALIFICACIONES'] AS l, before FROM e WHERE before IS NOT NULL), x AS (SELECT event_id, l[event_id * 7 % 11 % 7 + 1] AS new, l[before * 7 % 11 % 7 + 1] AS old, [1, 2, 3, 5, 0, 0, 9][event_id * 7 % 11 % 7 + 1] AS rn, [1, 2, 3, 5, 0, 0, 9][before * 7 % 11 % 7 + 1] AS ro FROM s) SELECT event_id, CASE WHEN new IN ('SUSPENDIDO', 'REABIERTO') THEN new WHEN old = 'SUSPENDIDO' THEN CASE WHEN new = 'PLAZO_ABIERTO' THEN new ELSE old END WHEN rn >= ro THEN new ELSE old END AS status FROM x")
+@query("WITH e AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), s AS (SELECT user_id, event_id, ['DETECTADA', 'CONVOCADA', 'PLAZO_ABIERTO', 'ADMITIDOS_PROVISIONAL', 'SUSPENDIDA', 'REABIERTA', 'NOTAS'] AS l, before FROM e WHERE before IS NOT NULL), x AS (SELECT event_id, l[event_id * 7 % 11 % 7 + 1] AS new, l[before * 7 % 11 % 7 + 1] AS old, [1, 2, 3, 5, 0, 0, 9][event_id * 7 % 11 % 7 + 1] AS rn, [1, 2, 3, 5, 0, 0, 9][before * 7 % 11 % 7 + 1] AS ro FROM s) SELECT event_id, CASE WHEN new IN ('SUSPENDIDA', 'REABIERTA') THEN new WHEN old IN ('SUSPENDIDA', 'REABIERTA') THEN CASE WHEN new = 'PLAZO_ABIERTO' THEN new ELSE old END WHEN rn >= ro THEN new ELSE old END AS status FROM x")
 def merge_step(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = read(spark, sf_dir, "events").select("event_id", F.lag("event_id").over(w).alias("before")).where("before is not null")
@@ -502,7 +502,7 @@ def split_documents(spark, sf_dir):
 
 
 @query(f"""WITH {OBS}, {NORM}, {QUALIFIED}, x AS (SELECT base.seq, source, {RELEVANT_SQL} AS relevant, {AREA_SQL} AS area, {ACCESS_SQL} AS access, compatibility AS evidence FROM base JOIN judged USING (seq)),
-y AS (SELECT *, relevant AND area AND access <> 'PROMOCION_INTERNA' AND evidence <> 'NO_COMPATIBLE' AS ok, CASE WHEN access = 'PROMOCION_INTERNA' THEN 'NO_COMPATIBLE' ELSE evidence END AS compatibility, seq % 5 = 0 AS tracked FROM x),
+y AS (SELECT *, relevant AND area AND access <> 'PROMOCION_INTERNA_EXCLUSIVA' AND evidence <> 'NO_COMPATIBLE' AS ok, CASE WHEN access = 'PROMOCION_INTERNA_EXCLUSIVA' THEN 'NO_COMPATIBLE' ELSE evidence END AS compatibility, seq % 5 = 0 AS tracked FROM x),
 z AS (SELECT *, ok AND seq % 7 <> 0 AS strict, ok AS included FROM y)
 SELECT source, count(*) AS fetched, count(*) FILTER (included OR tracked) AS included, count(*) FILTER (tracked) AS tracked_kept, count(*) FILTER (NOT (included OR tracked)) AS filtered,
   count(*) FILTER (strict AND compatibility = 'COMPATIBLE') AS compatible, count(*) FILTER (included AND NOT (strict AND compatibility = 'COMPATIBLE')) AS review, count(*) FILTER (tracked AND NOT included) AS not_compatible FROM z GROUP BY source""")

@@ -59,7 +59,8 @@ def test_collect_deliver_follow(spark, tmp_path):
     e.follow(pid[:8], NOW, on=False)
     assert e.state.read("followed_processes").count() == 0
     assert all(r.n == 0 for r in e.check().collect())
-    assert pid in e.export(TODAY)
+    assert pid in e.export(TODAY) and "Ficha" in e.card(pid[:9], TODAY) and e.is_followed(pid) is False
+    assert [(r.source, r.status) for r in e.source_status().collect()] == [("boe", "OK")]
     with pytest.raises(ValueError):
         e.follow("zz", NOW)
 
@@ -104,7 +105,7 @@ def test_observations_of_a_run_take_effect_in_order(spark, tmp_path):
     report = e.run(observed(spark, rows), TODAY, NOW)["sources"]["boe"]
     assert (report["fetched"], report["included"], report["created"], report["updated"], report["unchanged"], report["filtered"], report["review"]) == (6, 3, 2, 0, 1, 3, 1)
     got = {r.title: r.status for r in e.state.read("processes").collect()}
-    assert got["Convocatoria de 3 plazas de Técnico Auxiliar de Informática"] == "SUSPENDIDO" and len(got) == 2
+    assert got["Convocatoria de 3 plazas de Técnico Auxiliar de Informática"] == "SUSPENDIDA" and len(got) == 2
     assert sorted(r.kind for r in e.state.read("notification_outbox").collect()) == ["NEW", "REVIEW"]
 
 
@@ -141,14 +142,14 @@ def test_notices_details_and_eligibility(spark, tmp_path):
 
 def test_status_fold_equals_sequential_model(spark):
     r = random.Random(3)
-    names = [*rules.STATUS_RANK, "ANULADO", "SUSPENDIDO", "REABIERTO", "PROPUESTA_NOMBRAMIENTO"]
+    names = [*rules.STATUS_RANK, "ANULADA", "SUSPENDIDA", "REABIERTA", "PROPUESTA_NOMBRAMIENTO"]
     rows = [(k, i, r.choice(names)) for k in range(8) for i in range(r.randrange(1, 15))]
     df = spark.createDataFrame(r.sample(rows, len(rows)), "k int, i int, s string")
 
     def fold(old, new):
         if new in rules.EXCEPTIONAL_STATUSES:
             return new
-        if old in ("ANULADO", "SUSPENDIDO"):
+        if old in rules.EXCEPTIONAL_STATUSES:
             return new if new in rules.LEAVING_STATUSES else old
         return new if rules.STATUS_RANK.get(new, 0) >= rules.STATUS_RANK.get(old, 0) else old
 

@@ -92,7 +92,7 @@ def test_qualification(spark, raw, want):
 def test_access_status_signals(spark):
     n = lambda f: lambda x: f(text.normalize(x))
     check(spark, [("Acceso libre", rules.OPEN), ("promoción interna", rules.INTERNAL_ONLY), ("turno libre y promoción interna", rules.MIXED), ("No es de promoción interna", rules.UNKNOWN_ACCESS), ("", rules.UNKNOWN_ACCESS)], n(classify.access))
-    check(spark, [("Anulación de la convocatoria", "ANULADO"), ("Convocatoria", "CONVOCADO"), ("Propuesta de nombramiento y fecha de examen", "PROPUESTA_NOMBRAMIENTO"), ("x", "DETECTADO")], n(classify.status))
+    check(spark, [("Anulación de la convocatoria", "ANULADA"), ("Convocatoria", "CONVOCADA"), ("Propuesta de nombramiento y fecha de examen", "PROPUESTA_NOMBRAMIENTO"), ("x", "DETECTADA")], n(classify.status))
     check(spark, [("Administración de Justicia", False), ("nota informativa", False), ("técnicos de sistemas", True), ("puesto TIC", True)], n(classify.has_it_signal))
     check(spark, [("Ayudantes técnicos - Opción Informática", True), ("C1.2003 Informática", True), ("Conserje", False), ("Analista Programador", True)], classify.is_it_role_title)
 
