@@ -49,4 +49,7 @@ FROM orders
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    # What follows is bound by the processor: a table of fewer files than cores is dealt out, a large one is read as it is.
+    if len(orders.inputFiles()) < (cores := spark.sparkContext.defaultParallelism):
+        orders = orders.repartition(cores)
     return spark.sql(SELECT.replace("FROM orders", "FROM {orders}").replace('"group"', "`group`"), orders=orders)
