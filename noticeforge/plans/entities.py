@@ -153,15 +153,15 @@ def safe_links(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.safe_url(url).alias("safe"))
 
 
-@query("""WITH n AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 's' || CAST(l_linenumber % 3 AS VARCHAR) AS source, CAST(l_partkey AS VARCHAR) AS external_id, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey % 4 AS INTEGER) END AS positions, 'k' || CAST(l_orderkey % 500 AS VARCHAR) AS canonical_key FROM lineitem),
-p AS (SELECT o_orderkey AS process_id, 'k' || CAST(o_orderkey % 500 AS VARCHAR) AS canonical_key, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey % 4 AS INTEGER) END AS old_positions, o_orderdate AS first_seen FROM orders),
+@query("""WITH n AS (SELECT l_orderkey * 10 + l_linenumber AS seq, 's' || CAST(l_linenumber % 3 AS VARCHAR) AS source, CAST(l_partkey AS VARCHAR) AS external_id, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey % 4 AS INTEGER) END AS positions, 'k' || CAST(l_orderkey // 8 AS VARCHAR) AS canonical_key FROM lineitem),
+p AS (SELECT o_orderkey AS process_id, 'k' || CAST(o_orderkey // 8 AS VARCHAR) AS canonical_key, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey % 4 AS INTEGER) END AS old_positions, o_orderdate AS first_seen FROM orders),
 i AS (SELECT 's' || CAST(o_custkey % 3 AS VARCHAR) AS source, CAST(o_custkey AS VARCHAR) AS external_id, o_orderkey AS process_id FROM orders WHERE o_orderkey % 4 = 0)
 SELECT seq, arg_min(process_id, (first_seen, process_id)) AS process_id FROM n JOIN p USING (canonical_key) WHERE (positions IS NULL OR old_positions IS NULL OR positions = old_positions)
   AND NOT EXISTS (SELECT 1 FROM i WHERE i.process_id = p.process_id AND i.source = n.source AND i.external_id <> n.external_id) GROUP BY seq""")
 def key_resolution(spark, sf_dir):
     k = F.col("l_linenumber")
-    new = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + k).alias("seq"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.col("l_partkey").cast("string").alias("external_id"), F.when(k % 2 == 0, (F.col("l_suppkey") % 4).cast("int")).alias("positions"), F.concat(F.lit("k"), (F.col("l_orderkey") % 500).cast("string")).alias("canonical_key"))
+    new = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + k).alias("seq"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.col("l_partkey").cast("string").alias("external_id"), F.when(k % 2 == 0, (F.col("l_suppkey") % 4).cast("int")).alias("positions"), F.concat(F.lit("k"), F.expr("l_orderkey div 8").cast("string")).alias("canonical_key"))
     o, key, customer = read(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
-    old = o.select(key.alias("id"), F.concat(F.lit("k"), (key % 500).cast("string")).alias("canonical_key"), F.when(key % 3 > 0, (customer % 4).cast("int")).alias("positions"), F.col("o_orderdate").alias("first_seen"))
+    old = o.select(key.alias("id"), F.concat(F.lit("k"), F.expr("o_orderkey div 8").cast("string")).alias("canonical_key"), F.when(key % 3 > 0, (customer % 4).cast("int")).alias("positions"), F.col("o_orderdate").alias("first_seen"))
     items = o.where(key % 4 == 0).select(F.concat(F.lit("s"), (customer % 3).cast("string")).alias("source"), customer.cast("string").alias("external_id"), key.alias("process_id"))
     return resolve.by_key(new, old, items)
