@@ -1,11 +1,11 @@
 """Approximate nearest neighbours: forests of random-projection trees.
 
-Rows are dealt by hash to shards of about SHARD_ROWS. Each shard gets a forest: a
-node splits its vectors at the hyperplane between two of them. A query walks all
-trees of a shard through one priority queue, least margin first, until it has
-met LEAST rows and SHARE of the shard's; those candidates are ranked by their exact
-cosine in double precision. Every row is indexed, every query visits every shard
-(queries travel in blocks), and the best of all shards are ranked once more.
+Rows are dealt by hash to shards. Each shard gets one forest, whatever order its rows
+arrive in: a node splits its vectors at the hyperplane between two of them. A query
+walks all trees of a shard through one priority queue, least margin first, until it
+has met LEAST rows and SHARE of the shard's; those candidates are ranked by their
+exact cosine in double precision. Every row is indexed, all queries stream past every
+shard's forest, and the best of all shards are ranked once more.
 
 Recall is set by SHARE and TREES for vectors without any structure, the worst case:
 of 64 equal dimensions it is over 0.9 (tests measure it against brute force). With
@@ -13,9 +13,9 @@ such vectors no order of visits finds nine in ten neighbours in a small part of
 rows or shards; with clustered ones a far smaller share does.
 
 Cases: rows whose vector is null, zero, empty or holds a null or non-finite
-component, and rows without an id, take no part; components that aren't floating
-are taken as double. Vectors of another length than
-the query's aren't candidates. A query doesn't find rows that have its own id.
+component, and rows without an id, take no part; components that aren't floating are
+taken as double; ids must be integers. Vectors of another length than the query's
+aren't candidates. A query doesn't find rows that have its own id.
 Repeated query rows are answered once; repeated candidates each count. Ties go to
 the smaller id.
 """
@@ -23,17 +23,15 @@ the smaller id.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeforge.llm import common
+from noticeforge.llm import shards
 
-SHARD_ROWS = 16_384
-#: Most queries that go through one shard's forest together.
-QUERY_ROWS = 32_768
 TREES, LEAF = 32, 64
 #: Part of a shard's rows that a query meets, and how many more.
 SHARE, LEAST = 0.3, 500
@@ -130,29 +128,38 @@ class Forest:
         return self._sizes
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, seed: int = 7):
-    """Of each query (by its place): ids and cosines of the k nearest found among the vectors, best first."""
-    exact = vectors.astype(np.float64)
-    norms = np.linalg.norm(exact, axis=1)
-    asked = queries.astype(np.float64)
-    asked_norms = np.linalg.norm(asked, axis=1)
-    unit = (exact / norms[:, None]).astype(np.float32)
-    forest = Forest(unit, seed)
-    enough = LEAST + int(SHARE * len(ids))
-    for start in range(0, len(asked), 256):
-        part = (asked[start : start + 256] / asked_norms[start : start + 256, None]).astype(np.float32)
-        margins = part @ forest.planes.T - forest.cuts
-        for i in range(len(part)):
-            q = start + i
-            rows = forest.candidates(margins[i], enough)
-            rows = rows[ids[rows] != query_ids[q]]
-            score = np.einsum("ij,j->i", exact[rows], asked[q]) / (norms[rows] * asked_norms[q])
-            if len(rows) > k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
-                keep = score >= least
-                rows, score = rows[keep], score[keep]
-            best = np.lexsort((ids[rows], -score))[:k]
-            yield q, ids[rows[best]], score[best]
+class Index:
+    """A shard's rows under one forest, which all queries of the shard walk."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, seed: int = 7) -> None:
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.norms = np.linalg.norm(vectors.astype(np.float64), axis=1)
+        self.forest = Forest((vectors / self.norms[:, None]).astype(np.float32), seed)
+        self.enough = LEAST + int(SHARE * len(ids))
+
+    def best(self, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each query (by its place): ids and cosines of the k nearest found, best first."""
+        asked = queries.astype(np.float64)
+        norms = np.linalg.norm(asked, axis=1)
+        for start in range(0, len(asked), 256):
+            part = (asked[start : start + 256] / norms[start : start + 256, None]).astype(np.float32)
+            margins = part @ self.forest.planes.T - self.forest.cuts
+            for i in range(len(part)):
+                q = start + i
+                rows = self.forest.candidates(margins[i], self.enough)
+                rows = rows[self.ids[rows] != query_ids[q]]
+                score = np.einsum("ij,j->i", self.vectors[rows].astype(np.float64), asked[q]) / (self.norms[rows] * norms[q])
+                if len(rows) > self.k:
+                    keep = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
+                    rows, score = rows[keep], score[keep]
+                by = np.lexsort((self.ids[rows], -score))[: self.k]
+                yield q, self.ids[rows[by]], score[by]
+
+    def search(self, ids, keys, vectors, bounds) -> Iterator[pa.RecordBatch]:
+        found = list(self.best(ids, vectors))
+        query = np.repeat([q for q, _, _ in found], [len(x) for _, x, _ in found]).astype(np.int64)
+        columns = [ids[query], keys[query], np.concatenate([x for _, x, _ in found]), np.concatenate([s for _, _, s in found])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "key", "vec_id", "score"])
 
 
 def usable(vector) -> F.Column:
@@ -163,42 +170,13 @@ def usable(vector) -> F.Column:
 
 def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found of each row that is_query (a condition) picks."""
-    if df.schema[vector_col].dataType.elementType.simpleString() not in ("float", "double"):
-        df = df.withColumn(vector_col, F.col(vector_col).cast("array<double>"))
-    whole = df.withColumn("_asked", F.coalesce(is_query, F.lit(False))).where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    rows = whole.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), "_asked")
-    n, asked = rows.agg(F.count("*"), F.count_if("_asked")).first()
-    shards, groups = max(1, -(-n // SHARD_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    key = F.xxhash64("id", "v")
-    left = rows.select("id", "v", F.pmod(key, F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    right = rows.where("_asked").select("id", "v", key.alias("key")).dropDuplicates(["id", "key"])
-    right = right.select("id", "v", "key", F.pmod("key", F.lit(groups)).cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    out_schema = "query_id long, key long, vec_id long, score double"
-
-    def matrix(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        lengths = pa.compute.list_value_length(t["v"])
-        t = t.filter(pa.compute.equal(lengths, dim))
-        flat = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return t, flat.reshape(-1, dim)
-
-    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
-        for dim in sorted(set(pa.compute.list_value_length(queries["v"]).to_pylist())):
-            own, x = matrix(vectors, dim)
-            ask, y = matrix(queries, dim)
-            if not len(x):
-                continue
-            ids, asked_ids, keys = own["id"].to_numpy(), ask["id"].to_numpy(), ask["key"].to_numpy()
-            for q, found, score in search(ids, x, asked_ids, y, k):
-                out[0].append(np.full(len(found), asked_ids[q]))
-                out[1].append(np.full(len(found), keys[q]))
-                out[2].append(found)
-                out[3].append(score)
-        columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "key", "vec_id", "score"])
-
-    common.ship(df.sparkSession)
-    found = left.groupBy("shard", "grp").cogroup(right.groupBy("shard", "grp")).applyInArrow(run, out_schema)
+    rows = shards.vectors(df, id_col, vector_col, is_query, usable)
+    n = shards.shard_count(rows.count())
+    asked = rows.where("asked").dropDuplicates(["id", "key"]).withColumns({"shard": F.explode(F.sequence(F.lit(0), F.lit(n - 1))), "bound": F.lit(None)})
+
+    def index(ids, vectors):
+        return Index(ids, vectors, k)
+
+    found = shards.stream_past(rows, asked, n, index, "query_id long, key long, vec_id long, score double")
     w = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeforge.llm import annforest, bpe, chat, counts, jaccard, linededup, mixing, ogg, toxicity, urlfilter
+from noticeforge.llm import annforest, balltree, bpe, chat, counts, jaccard, linededup, mixing, ogg, repair, resample, toxicity, urlfilter
 from noticeforge.llm.common import table
 
 
@@ -63,7 +63,25 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annforest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = (op1_toxicity, op2_byte_bpe, op3_token_counts, op4_source_mixing, op5_line_dedup, op6_media_columns, op7_chat_formatting, op8_url_filter, op9_ngram_jaccard_join, op10_nearest_neighbours)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    weighed = resample.weigh(documents, resample.fit(documents, table(spark, sf_dir, "benchmark")))
+    return resample.draw(weighed).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.damaged(table(spark, sf_dir, "conversations"))
+    planned = repair.plans(rows)
+    hashes = repair.digests(rows, planned).withColumnRenamed("conv_id", "own")
+    counts = planned.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    return counts.join(hashes, F.col("conv_id").eqNullSafe(F.col("own"))).drop("own")
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.largest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = (op1_toxicity, op2_byte_bpe, op3_token_counts, op4_source_mixing, op5_line_dedup, op6_media_columns, op7_chat_formatting, op8_url_filter, op9_ngram_jaccard_join, op10_nearest_neighbours, op11_importance_resampling, op12_conversation_repair, op13_exact_topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -71,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.sql()}
+    return {"op5_line_dedup": linededup.sql(), "op11_importance_resampling": resample.sql(), "op12_conversation_repair": repair.sql(), "op13_exact_topk": balltree.sql()}
