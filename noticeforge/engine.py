@@ -10,13 +10,12 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticeforge.functions import classify, extract, identity, render, text
-from noticeforge.operators import collect, merge, outbox, resolve, upsert, views
+from noticeforge.functions import classify, extract, identity, render, rules, text
+from noticeforge.operators import collect, fold, merge, outbox, resolve, settle, upsert, views
 from noticeforge.state import TABLES, State
 
 #: Fields of an entity that its events' payloads hold: what messages show, and what dispatch judges again.
 STORED = ("source", "title", "organisation", "locality", "province", "status", "positions", "publication_date", "deadline", "deadline_confirmed", "exam_date", "exam_time", "exam_place", "group", "access", "compatibility", "priority", "qualification", "summary", "special_process")
-DETAILS = "array<struct<field:string,label:string,old:string,new:string,source_url:string,source_reference:string,observed_at:string>>"
 RELATIVE = "struct<days:int,kind:string,starts_after:string>"
 
 #: What an observation has when it comes in.
@@ -73,56 +72,50 @@ class Engine:
 
         reports has, by source, what its reader says: covered_through and failed (dates or None), warning and error
         (texts). A source that has no observations but a report ran as well; one without a report ran without a
-        warning. Observations of the same canonical key within a run count as one new entity, the first of them.
-        Those of one entity take effect one after the other, in waves: the first ones of all entities, then the
-        second ones. Neighbouring ones that say the same count as one wave.
+        warning. Observations take effect in the order of seq, which must be unique: each one meets the entities that
+        those before it in the run made or changed. Work follows the observations and the entities that they touch,
+        not the length of any entity's history.
         """
         base = self.state.version()
         read = lambda t: self.state.read(t, base)
         cut, stamp, day = self.state.cut, F.lit(now).cast("timestamp"), F.lit(today)
         processes, items, references = read("processes"), read("source_items"), read("official_references")
         first_run = processes.isEmpty()
-        judged = cut(self.enrich(observed).withColumn("organisation", text.normalize(F.col("organisation"))), "judged")
-        old = processes.select("id", "canonical_key", "positions", "first_seen", "last_seen", F.col("title_signature").alias("signature"), F.col("normalised_organisation").alias("organisation"), "group", "access", text.extract_year(F.concat_ws(" ", F.col("publication_date").cast("string"), "title")).alias("year"))
-        found = judged if first_run else cut(resolve.resolve(judged, old, items, references, read("process_aliases")), "resolved")
-        if first_run:
-            found = found.withColumn("process_id", F.lit(None).cast("string"))
+        judged = self.enrich(observed).withColumn("organisation", text.normalize(F.col("organisation")))
         rel = F.col("relative")
         applicable = classify.can_apply(F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("deadline"), F.col("publication_date"), day)
         may = classify.window_open(F.col("source"), F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("publication_date"), rel["days"], rel["kind"], rel["starts_after"], day)
         first = classify.notify_at_first(F.col("deadline"), F.col("deadline_confirmed"), F.col("exam_date"), F.col("publication_date"), F.col("special_process"), day, 30)
-        found = found.withColumns({"tracked": F.col("process_id").isNotNull(), "enrollable": applicable, "may_be_open": may, "first_notify": first})
-        decided = collect.decide(found, self.only_enrollable_new, self.show_review, first_run)
-        entity = F.coalesce("process_id", F.substring(F.sha2(F.concat_ws(":", F.lit(str(base + 1)), "canonical_key"), 256), 1, 32))
-        decided = cut(decided.withColumn("entity", F.when(F.col("kept"), entity)), "decided")
+        judged = judged.withColumns({"enrollable": applicable, "may_be_open": may, "first_notify": first})
+        decide = lambda df, tracked: collect.decide(df.withColumn("tracked", tracked), self.only_enrollable_new, self.show_review, first_run)
+        for name, tracked in (("keep_new", False), ("keep_tracked", True)):
+            judged = decide(judged, F.lit(tracked)).withColumn(name, F.col("kept")).select(*judged.columns, name)
+        judged = cut(judged, "judged")
+        settled = cut(self._settled(judged, processes, items, references, read("process_aliases"), base), "settled")
+        found = judged.join(settled, "seq")
+        decided = cut(decide(found, F.col("stage").isNotNull() & (F.col("stage") != "new")), "decided")
         report = {r["source"]: r.asDict() | {"created": 0, "updated": 0} for r in collect.counters(decided, "source").collect()}
-        kept = cut(self._waves(decided.where("kept"), items), "kept")
-        rows, box, waves = processes, read("notification_outbox"), kept.agg(F.max("wave")).first()[0] or 0
-        for wave in range(1, waves + 1):
-            last = kept.where(F.col("wave") == wave)
-            after = cut(self._entities(rows, last, now), "entities")
-            asked = cut(self._asked(after, last, box, now), "asked")
-            box = cut(self._events(asked, box, f"{base + 1}-{wave}", now), "events")
-            rows = after.select(*processes.columns)
-            for r in asked.groupBy("source").agg(F.count_if("is_new").alias("created"), F.count_if(~F.col("is_new") & (F.col("is_changed") | F.col("action").isin("EXTEND", "INSERT_UPDATE"))).alias("updated")).collect():
-                report[r["source"]]["created"] += r["created"]
-                report[r["source"]]["updated"] += r["updated"]
+        kept = decided.where("entity IS NOT NULL")
+        box = read("notification_outbox")
+        acted = cut(self._folded(kept, processes, items, box, now), "acted")
+        for r in acted.groupBy("reported").agg(F.count_if("is_new").alias("created"), F.count_if(~F.col("is_new") & (F.col("is_changed") | F.col("action").isin("EXTEND", "INSERT_UPDATE"))).alias("updated")).collect():
+            report[r["reported"]] |= {"created": r["created"], "updated": r["updated"]}
         for r in report.values():
             r["unchanged"] = r["included"] - r["created"] - r["updated"]
         ended = self._ended(report, reports or {}, today)
         summary = {"version": base, "sources": report, "status": self._status(ended), "warnings": {e[0]: e[5] for e in ended if e[1] == "PARTIAL"}, "errors": {e[0]: e[5] for e in ended if e[1] == "ERROR"}}
         if not dry_run:
             seen = kept.select("source", "external_id", F.col("entity").alias("process_id"), stamp.alias("first_seen"), stamp.alias("last_seen")).dropDuplicates(["source", "external_id"])
-            refs = kept.select(F.explode("references").alias("reference"), F.col("entity").alias("process_id"), stamp.alias("first_seen"))
-            urls = kept.where("url <> ''").select(F.col("entity").alias("process_id"), "source", "url", F.lit("").alias("label"), stamp.alias("first_seen"))
+            refs = kept.select("seq", F.explode("references").alias("reference"), F.col("entity").alias("process_id"), stamp.alias("first_seen"))
+            urls = kept.where("url <> ''").select("seq", F.col("entity").alias("process_id"), "source", "url", F.lit("").alias("label"), stamp.alias("first_seen"))
             runs = self.spark.createDataFrame([(base + 1, s, status, count, now, now, covered, message) for s, status, count, covered, _, message in ended], TABLES["source_runs"])
             summary["version"] = self.state.commit(
                 {
-                    "processes": rows,
-                    "notification_outbox": box,
+                    "processes": self._entities(acted, processes, now),
+                    "notification_outbox": self._events(acted, box, base + 1, now),
                     "source_items": upsert.upsert(items, seen, ["source", "external_id"], ["process_id", "first_seen"]),
-                    "official_references": upsert.insert_ignore(references, refs, ["reference"], ["process_id"]),
-                    "process_urls": upsert.insert_ignore(read("process_urls"), urls, ["process_id", "source", "url"], ["label"]),
+                    "official_references": upsert.insert_ignore(references, refs, ["reference"], ["seq"]),
+                    "process_urls": upsert.insert_ignore(read("process_urls"), urls, ["process_id", "source", "url"], ["seq"]),
                     "source_runs": read("source_runs").unionByName(runs),
                     "source_checkpoints": upsert.checkpoint_max(read("source_checkpoints"), runs),
                 },
@@ -131,16 +124,72 @@ class Engine:
         self.state.forget()
         return summary
 
-    @staticmethod
-    def _waves(kept: DataFrame, items: DataFrame) -> DataFrame:
-        """Rows to ingest with wave and new_item, without those that say what the one before them of the entity says."""
-        order = Window.partitionBy("entity").orderBy("seq")
+    def _settled(self, judged: DataFrame, processes: DataFrame, items: DataFrame, references: DataFrame, aliases: DataFrame, base: int) -> DataFrame:
+        """seq, entity and stage of every observation."""
+        published = text.extract_year(F.col("publication_date").cast("string"))
+        titled = text.extract_year(F.col("title"))
+        group = F.when(F.col("group") == "", "").otherwise(F.concat(F.lit("="), text.normalize(F.col("group")))).alias("group")
+        notices = judged.select("seq", "source", "external_id", "references", "cited", "canonical_key", "organisation", "signature", group, "access", "positions", published.alias("published"), titled.alias("titled"), "keep_new", "keep_tracked")
+        old = processes.select("id", "canonical_key", F.col("normalised_organisation").alias("organisation"), F.col("title_signature").alias("signature"), group, "access", "positions", published.alias("published"), titled.alias("titled"), "first_seen", "last_seen")
+        entities = self.state.cut(settle.known(notices, old, items, references, aliases), "known")
+        return settle.settle(notices, entities, self.state.cut, str(base + 1))
+
+    def _folded(self, kept: DataFrame, processes: DataFrame, items: DataFrame, box: DataFrame, now: datetime) -> DataFrame:
+        """A row for each kept observation: its entity as merged up to it, what that changed, and the action on the entity's events."""
         known = items.select("source", "external_id", F.lit(True).alias("_known"))
         first = F.row_number().over(Window.partitionBy("source", "external_id").orderBy("seq")) == 1
-        df = kept.join(known, ["source", "external_id"], "left").withColumn("new_item", F.col("_known").isNull() & first).drop("_known")
-        said = F.xxhash64(*(c for c in kept.columns if c not in ("seq", "process_id")))
-        df = df.withColumn("_said", said).withColumn("_before", F.lag("_said").over(order)).where(~F.col("_said").eqNullSafe(F.col("_before")))
-        return df.withColumn("wave", F.row_number().over(order)).drop("_said", "_before")
+        new = kept.join(known, ["source", "external_id"], "left").withColumn("new_item", F.col("_known").isNull() & first)
+        new = new.select(
+            "entity", "seq", "canonical_key", F.col("signature").alias("title_signature"), "source", "title", F.col("raw_organisation").alias("organisation"), "locality", "province", F.lit("").alias("scope"), "group",
+            F.col("qualification_text").alias("qualification"), "summary", "exam_place", "positions", "publication_date", "deadline", "deadline_confirmed", "exam_date", "provisional", "exam_time", "access", "compatibility", "status", "priority", "special_process",
+            F.lit(False).alias("structured"), F.lit(None).cast("string").alias("stored"), F.col("source").alias("reported"), "included", "notify", "force_review", "new_item", "url", "relative",
+            F.coalesce(F.nullif("reference", F.lit("")), F.col("external_id")).alias("said_by"), F.lit(now.isoformat()).alias("observed_at"), classify.material_notice(F.col("title"), F.col("summary")).alias("notice"), F.col("compatibility").alias("own_compatibility"),
+        )
+        touched = new.select("entity").distinct()
+        old = processes.withColumn("entity", F.col("id")).join(touched, "entity", "left_semi")
+        old = old.withColumns({"seq": F.lit(fold.BEFORE).cast("long"), "stored": F.col("snapshot"), "provisional": F.get_json_object("snapshot", "$.exam_date_provisional").cast("boolean"), "scope": F.lit(""), "structured": F.lit(False)})
+        rows = new.unionByName(old.select("entity", "seq", *fold.FIXED, *fold.RUNNING, "structured", "stored"), allowMissingColumns=True)
+        changed = fold.changes(fold.running(rows))
+        pending = box.where("status = 'PENDING'").withColumn("entity", F.col("process_id")).join(touched, "entity", "left_semi")
+        one = lambda *kinds: F.min_by(F.when(F.col("kind").isin(*kinds), F.col("event_id")), F.when(F.col("kind").isin(*kinds), F.struct("created_at", "event_id")))
+        had = pending.groupBy("entity").agg(one("NEW", "REVIEW").alias("initial_id"), one("UPDATE").alias("update_id"))
+        sent = box.where("status = 'SENT'").select(F.col("process_id").alias("entity"), F.lit(True).alias("ever_sent")).distinct()
+        with_events = changed.join(had, "entity", "left").join(sent, "entity", "left")
+        return fold.actions(with_events.withColumns({"had_initial": F.col("initial_id").isNotNull(), "had_update": F.col("update_id").isNotNull()}))
+
+    @staticmethod
+    def _entities(acted: DataFrame, processes: DataFrame, now: datetime) -> DataFrame:
+        """All entities after the run; only touched ones are computed."""
+        stamp = F.lit(now).cast("timestamp")
+        own = [c for c in (*fold.FIXED, *fold.RUNNING, "snapshot") if c in processes.columns]
+        last = acted.groupBy(F.col("entity").alias("id")).agg(F.max_by(F.struct(*own), "seq").alias("x"), F.bool_or(F.col("is_changed") | F.col("action").isin("EXTEND", "INSERT_UPDATE")).alias("_moved"))
+        was = processes.select("id", F.col("first_seen").alias("_first"), F.col("last_changed").alias("_changed"))
+        now_is = last.join(was, "id", "left").select("id", "x.*", "_moved", "_first", "_changed")
+        now_is = now_is.withColumns({"normalised_organisation": text.normalize(F.col("organisation")), "semantic_hash": text.stable_hash(F.col("snapshot")), "first_seen": F.coalesce("_first", stamp), "last_seen": stamp, "last_changed": F.when(F.col("_moved"), stamp).otherwise(F.coalesce("_changed", stamp))})
+        return processes.join(last.select("id"), "id", "left_anti").unionByName(now_is.select(*processes.columns))
+
+    def _events(self, acted: DataFrame, box: DataFrame, version: int, now: datetime) -> DataFrame:
+        """The outbox after the run: pending events rewritten, extended or suppressed, new ones inserted once."""
+        keys = ["entity", "target"]
+        moved = acted.where("action <> 'TOUCH'")
+        ids = moved.select(*keys, F.when(F.col("target") == "INITIAL", F.col("initial_id")).otherwise(F.col("update_id")).alias("event_id")).distinct()
+        before = ids.join(box.select("event_id", F.from_json("payload", f"changes array<string>, change_details {merge.DETAILS}").alias("p")), "event_id")
+        none, empty = F.array().cast("array<string>"), F.array().cast(merge.DETAILS)
+        earlier = before.select(*keys, F.coalesce("p.changes", none).alias("changes"), F.coalesce("p.change_details", empty).alias("change_details"))
+        kind = F.when(F.col("target") == "UPDATE", "UPDATE").when((F.col("own_compatibility") == rules.REVIEW) | F.col("force_review"), "REVIEW").otherwise("NEW")
+        inserts = F.col("action").isin("INSERT_NEW", "INSERT_UPDATE")
+        ends = moved.withColumn("kind", kind).groupBy(*keys).agg(
+            F.max_by(F.struct(*STORED, F.array(F.struct(F.col("url"), F.lit("").alias("label"))).alias("links"), "relative"), F.when(F.col("action") != "SUPPRESS", F.col("seq"))).alias("x"),
+            F.min_by(F.struct("kind", "seq"), F.when(inserts, F.col("seq"))).alias("made"),
+            F.bool_or(F.col("action") == "SUPPRESS").alias("suppressed"),
+        )
+        whole = ends.join(fold.event_contents(moved, earlier), keys, "left").join(ids, keys).withColumn("id", F.col("entity"))
+        whole = self.state.cut(whole.select("*", "x.*").withColumn("payload", F.when(F.col("x").isNotNull(), self._payload(F.col("changes"), F.col("change_details"), F.col("links"), F.col("relative")))).select("event_id", "entity", "made", "suppressed", "payload"), "events")
+        key = merge.event_key(F.col("made.kind"), F.col("entity"), F.concat(F.lit(f"{version}-"), F.col("made.seq")))
+        fresh = whole.where("made IS NOT NULL").select(merge.event_id(key).alias("event_id"), key.alias("event_key"), F.col("entity").alias("process_id"), F.col("made.kind").alias("kind"), F.when(F.col("suppressed"), "SUPPRESSED").otherwise("PENDING").alias("status"), F.lit(0).alias("attempts"), "payload", F.lit(now).cast("timestamp").alias("created_at"), *(F.lit(None).cast(t).alias(c) for c, t in (("claimed_at", "timestamp"), ("sent_at", "timestamp"), ("message_id", "string"))))
+        kept = box.join(whole.where("made IS NULL AND event_id IS NOT NULL").select("event_id", "suppressed", F.col("payload").alias("_payload")), "event_id", "left")
+        kept = kept.withColumns({"status": F.when(F.col("suppressed"), "SUPPRESSED").otherwise(F.col("status")), "payload": F.coalesce("_payload", "payload")})
+        return upsert.insert_ignore(kept.select(*box.columns), fresh, ["event_key"], ["event_id"])
 
     def _ended(self, counted: dict, reports: dict[str, dict], today: date) -> list[tuple]:
         """source, status, found, covered_through, warning and message of each source that ran."""
@@ -157,73 +206,6 @@ class Engine:
         errors, warnings = (sum(e[1] == s for e in ended) for s in ("ERROR", "PARTIAL"))
         return "MISSING" if not ended else "NO_SOURCES" if errors >= len(ended) else "PARTIAL" if errors or warnings else "OK"
 
-    def _entities(self, processes: DataFrame, last: DataFrame, now: datetime) -> DataFrame:
-        """All entities after the run, with is_new, is_changed and what the event rules ask for."""
-        stamp = F.lit(now).cast("timestamp")
-        new = last.select(
-            F.col("entity").alias("id"),
-            F.struct("canonical_key", "source", "title", F.col("signature").alias("title_signature"), F.col("raw_organisation").alias("organisation"), "locality", "province", "group", "positions", "access", "compatibility", "status", "priority", "publication_date", "deadline", "deadline_confirmed", "exam_date", "exam_time", "exam_place", F.col("qualification_text").alias("qualification"), "summary", "special_process", F.lit("").alias("scope"), F.lit(False).alias("structured"), "snapshot").alias("new"),
-        )
-        old = processes.select("id", F.struct(*[c for c in processes.columns if c != "id"], F.lit("").alias("scope")).alias("old"))
-        both = old.join(new, "id", "full_outer")
-        merged = merge.merged()
-        had, came = F.col("old").isNotNull(), F.col("new").isNotNull()
-        out = {}
-        for c in processes.columns:
-            if c in ("id", "first_seen", "last_seen", "last_changed", "semantic_hash", "snapshot", "normalised_organisation", "canonical_key", "title_signature", "source", "special_process"):
-                continue
-            out[c] = F.when(had & came, merged[c]).when(had, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}"))
-        for c in ("canonical_key", "title_signature", "source"):
-            out[c] = F.when(had, F.col(f"old.{c}")).otherwise(F.col(f"new.{c}"))
-        out["special_process"] = F.when(came, F.col("new.special_process")).otherwise(F.col("old.special_process"))
-        flat = both.select("id", *(v.alias(k) for k, v in out.items()), had.alias("_had"), came.alias("_came"), F.col("old.snapshot").alias("_old_snapshot"), F.col("old.first_seen").alias("_first"), F.col("old.last_seen").alias("_last"), F.col("old.last_changed").alias("_changed"))
-        columns = {k: F.col(k) for k in identity.SNAPSHOT}
-        flat = flat.withColumn("snapshot", identity.snapshot(columns, F.lit(None).cast("boolean")))
-        changed = F.col("_came") & (~F.col("_had") | ~F.col("snapshot").eqNullSafe(F.col("_old_snapshot")))
-        return flat.withColumns(
-            {
-                "normalised_organisation": text.normalize(F.col("organisation")),
-                "semantic_hash": text.stable_hash(F.col("snapshot")),
-                "first_seen": F.coalesce("_first", stamp),
-                "last_seen": F.when(F.col("_came"), stamp).otherwise(F.col("_last")),
-                "last_changed": F.when(changed, stamp).otherwise(F.coalesce("_changed", stamp)),
-                "is_new": ~F.col("_had"),
-                "is_changed": changed,
-            }
-        )
-
-    def _asked(self, rows: DataFrame, last: DataFrame, box: DataFrame, now: datetime) -> DataFrame:
-        """Of each entity that an observation came for: the action on its events, and the payload, with what it changes."""
-        pending = box.where("status = 'PENDING'").groupBy("process_id").agg(F.min_by(F.struct("event_id", "kind", "payload"), F.struct(F.col("kind") == "UPDATE", F.col("created_at"), F.col("event_id"))).alias("p"))
-        sent = box.where("status = 'SENT'").select("process_id").distinct().withColumn("ever_sent", F.lit(True))
-        notice = last.select(F.col("entity").alias("id"), F.col("source").alias("_source"), "included", "notify", "force_review", "new_item", "url", "external_id", "reference", "relative", classify.material_notice(F.col("title"), F.col("summary")).alias("notice"), F.col("compatibility").alias("_compatibility"))
-        asked = rows.where("_came").join(notice, "id").join(pending, F.col("id") == F.col("process_id"), "left").drop("process_id").join(sent.withColumnRenamed("process_id", "id"), "id", "left")
-        action = merge.event_action(F.col("p.kind"), F.col("included"), F.col("is_changed"), F.col("notify"), F.coalesce("ever_sent", F.lit(False)), F.col("new_item"), F.col("notice").isNotNull())
-        asked = asked.withColumn("action", F.when(F.col("is_new"), F.when(F.col("notify"), "INSERT_NEW").otherwise("TOUCH")).otherwise(action))
-        was, now_is = ({k: F.get_json_object(F.col(c), f"$.{k}") for k in identity.SNAPSHOT} for c in ("_old_snapshot", "snapshot"))
-        reference = F.coalesce(F.nullif("reference", F.lit("")), F.col("external_id"))
-        own = F.when(F.col("is_new"), F.array().cast("array<string>")).when(F.col("is_changed"), identity.changed_fields(was, now_is)).otherwise(F.array_compact(F.array("notice")))
-        details = F.when(F.col("is_changed") & ~F.col("is_new"), identity.change_details(was, now_is, F.col("url"), reference, F.lit(now.isoformat()))).otherwise(F.array().cast(DETAILS))
-        before = F.from_json("p.payload", f"changes array<string>, change_details {DETAILS}")
-        asked = asked.withColumns({"_own": own, "_details": details, "_before": before})
-        again = F.col("action") == "EXTEND"
-        empty = F.array().cast(DETAILS)
-        changes = F.when(again, F.array_distinct(F.concat(F.coalesce("_before.changes", F.array().cast("array<string>")), "_own"))).otherwise(F.col("_own"))
-        merged = F.when(again & F.col("is_changed"), identity.merge_details(F.coalesce("_before.change_details", empty), F.col("_details"))).when(again, empty).otherwise(F.col("_details"))
-        asked = asked.withColumns({"changes": changes, "change_details": merged, "links": F.array(F.struct(F.col("url"), F.lit("").alias("label")))})
-        more = [F.col(c) for c in ("changes", "change_details", "links", "relative")]
-        return asked.select("id", F.col("_source").alias("source"), "is_new", "is_changed", "action", "_compatibility", "force_review", F.col("p.event_id").alias("pending_id"), self._payload(*more).alias("payload"))
-
-    def _events(self, asked: DataFrame, box: DataFrame, step: str, now: datetime) -> DataFrame:
-        """The outbox after the asked actions: pending events rewritten, extended or suppressed, new ones inserted once."""
-        kind = F.when(F.col("action") == "INSERT_NEW", F.when((F.col("_compatibility") == "REVISAR") | F.col("force_review"), "REVIEW").otherwise("NEW")).otherwise("UPDATE")
-        key = merge.event_key(kind, F.col("id"), F.lit(step))
-        fresh = asked.where(F.col("action").isin("INSERT_NEW", "INSERT_UPDATE")).select(merge.event_id(key).alias("event_id"), key.alias("event_key"), F.col("id").alias("process_id"), kind.alias("kind"), F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), "payload", F.lit(now).cast("timestamp").alias("created_at"), *(F.lit(None).cast(t).alias(c) for c, t in (("claimed_at", "timestamp"), ("sent_at", "timestamp"), ("message_id", "string"))))
-        change = asked.where(F.col("action").isin("REWRITE", "EXTEND", "SUPPRESS")).select(F.col("pending_id").alias("event_id"), "action", F.col("payload").alias("_payload"))
-        kept = box.join(change, "event_id", "left")
-        kept = kept.withColumns({"status": F.when(F.col("action") == "SUPPRESS", "SUPPRESSED").otherwise(F.col("status")), "payload": F.when(F.col("action").isin("REWRITE", "EXTEND"), F.col("_payload")).otherwise(F.col("payload"))})
-        return upsert.insert_ignore(kept.select(*box.columns), fresh, ["event_key"], ["event_id"])
-
     @staticmethod
     def _payload(*more: Column) -> Column:
         return F.to_json(F.struct(F.col("id").alias("process_id"), *STORED, *more))
@@ -248,7 +230,7 @@ class Engine:
         if self.only_enrollable_new:
             claimed = self._judged_again(claimed, now.date())
         else:
-            claimed = claimed.withColumn("decision_now", F.lit("SEND"))
+            claimed = claimed.withColumns({"decision_now": F.lit("SEND"), "as_review": F.lit(False)})
         rows = claimed.orderBy("created_at", "event_id").collect()
         done = [(r["event_id"], "SUPPRESSED", None, None) for r in rows if r["decision_now"] == "SUPPRESS"]
         rows, stop = [r for r in rows if r["decision_now"] != "SUPPRESS"], False
@@ -259,7 +241,8 @@ class Engine:
                 time.sleep(pause)
             try:
                 kind = "REVIEW" if r["decision_now"] == "SEND_AS_REVIEW" else r["kind"]
-                done.append((r["event_id"], "SENT", now, str(send(render.message(kind, r["payload"])))))
+                payload = json.dumps(json.loads(r["payload"]) | {"compatibility": rules.REVIEW}, ensure_ascii=False) if r["as_review"] else r["payload"]
+                done.append((r["event_id"], "SENT", now, str(send(render.message(kind, payload)))))
             except Retry as e:
                 done.append((r["event_id"], "RETRYABLE", None, None))
                 stop = e.after > 0
@@ -284,7 +267,7 @@ class Engine:
         may = classify.window_open(F.col("source"), F.col("status"), F.col("access"), F.col("deadline_confirmed"), F.col("publication_date"), rel["days"], rel["kind"], rel["starts_after"], day)
         review = F.lit(self.show_review) & F.col("decision.reviewable")
         action = outbox.dispatch_decision(F.col("kind"), F.col("decision.include"), review, F.coalesce("_followed", F.lit(False)), open_now, may, self.explicit_follow_only)
-        return claimed.join(followed.select("event_id", action.alias("decision_now")), "event_id")
+        return claimed.join(followed.select("event_id", action.alias("decision_now"), (~F.col("decision.include") & review).alias("as_review")), "event_id")
 
     def _move(self, change: Callable[[DataFrame], DataFrame]) -> int:
         base = self.state.version()

@@ -100,7 +100,7 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def may_match(new: dict[str, Column], old: dict[str, Column], positions: bool) -> Column:
     """Guards of the fuzzy match: years, groups, access and (if asked) numbers of posts that are known on both sides must be equal."""
     years = (new["year"] == "") | (old["year"] == "") | (new["year"] == old["year"])
-    groups = (new["group"] == "") | (old["group"] == "") | (new["group"] == old["group"])
+    groups = (new["group"] == "") | (old["group"] == "") | (text.normalize(new["group"]) == text.normalize(old["group"]))
     access = (new["access"] == rules.UNKNOWN_ACCESS) | (old["access"] == rules.UNKNOWN_ACCESS) | (new["access"] == old["access"])
     fits = years & groups & access & (new["organisation"] == old["organisation"])
     return fits & (new["positions"].isNull() | old["positions"].isNull() | (new["positions"] == old["positions"])) if positions else fits

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from noticeforge.functions import rules
 
 
-def _rank(status: Column) -> Column:
+#: One change of an entity, as events say it.
+DETAILS = "array<struct<field:string,label:string,old:string,new:string,source_url:string,source_reference:string,observed_at:string>>"
+
+
+def status_rank(status: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in rules.STATUS_RANK.items() for v in kv)), status), F.lit(0))
 
 
@@ -17,7 +21,7 @@ def prefer_status(old: Column, new: Column) -> Column:
     return (
         F.when(new.isin(*rules.EXCEPTIONAL_STATUSES), new)
         .when(old.isin(*rules.EXCEPTIONAL_STATUSES), F.when(new.isin(*rules.LEAVING_STATUSES), new).otherwise(old))
-        .when(_rank(new) >= _rank(old), new)
+        .when(status_rank(new) >= status_rank(old), new)
         .otherwise(old)
     )
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 #: Version of the tables' layout. Older layouts are upgraded when read, newer ones refused.
@@ -82,10 +84,15 @@ class State:
         """Write tables and publish the version after base. Tables that aren't given stay as they are."""
         known = dict(self.manifest(base)["tables"])
         version, own = base + 1, f"data/{base + 1:012d}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            columns = self.spark.createDataFrame([], TABLES[name]).columns
-            df.select(*columns).write.parquet(f"{self.root}/{own}/{name}")
-            known[name] = f"{own}/{name}"
+
+        def write(name: str) -> None:
+            columns = [x.split()[0].strip("`") for x in TABLES[name].split(", ")]
+            tables[name].select(*columns).write.parquet(f"{self.root}/{own}/{name}")
+
+        # Tables are written side by side: most are small, and their plans are made while others run.
+        with ThreadPoolExecutor(max(1, len(tables))) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(write), tables))
+        known |= {name: f"{own}/{name}" for name in tables}
         body = json.dumps({"version": version, "schema_version": SCHEMA_VERSION, "tables": known})
         self._fs.mkdirs(self._path("manifests"))
         # Only one writer can create the file; the others publish nothing.

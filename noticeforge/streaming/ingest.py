@@ -1,4 +1,4 @@
-"""Micro-batches: observations stream in, items already known go, the rest are merged and committed with the state.
+"""Micro-batches: observations stream in and are merged and committed with the state.
 
 Duplicates are found against the state, which has no time to live, so a late day is
 never dropped for being late; coverage moves only past days that were read.
@@ -7,16 +7,37 @@ never dropped for being late; coverage moves only past days that were read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from noticeforge.engine import Engine
 
-def fresh(batch: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of a batch whose source item isn't known, each once: the smallest seq of an item."""
-    first = batch.groupBy("source", "external_id").agg(F.min_by(F.struct(*batch.columns), "seq").alias("x")).select("x.*")
-    return first.join(items.select("source", "external_id"), ["source", "external_id"], "left_anti")
+
+def fresh(batch: DataFrame) -> DataFrame:
+    """Rows of a batch that say something of their own: of those that differ in seq alone, the one with the smallest.
+
+    Items that are known stay, since a corrected notice changes its entity.
+    """
+    said = [c for c in batch.columns if c != "seq"]
+    return batch.groupBy(*said).agg(F.min("seq").alias("seq")).select(*batch.columns)
+
+
+def into(engine: Engine, clock: Callable[[], datetime]) -> Callable[[DataFrame, int], None]:
+    """A sink that runs the engine over each batch, as over a table: the state is the same however the rows are cut into batches.
+
+    A batch that is run again after its commit changes no entity and makes no event.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        now = clock()
+        rows = fresh(batch)
+        if not rows.isEmpty():
+            engine.run(rows, now.date(), now)
+
+    return run
 
 
 def stream(spark: SparkSession, path: str, schema: str, checkpoint: str, sink: Callable[[DataFrame, int], None], files: int = 10) -> StreamingQuery:

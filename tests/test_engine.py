@@ -229,12 +229,52 @@ def test_paged_source():
             list(reader.read(reader.partitions()[0]))
 
 
-def test_stream(spark, tmp_path):
+def test_stream_equals_table(spark, tmp_path):
+    """Corrections of known items update in the stream; two batches give the entities that one gives."""
+    day = lambda d: f"Acceso libre. Plazo de presentación hasta el {d}/11/2026. Requisito: bachiller."
+    rows = observed(spark, [{"full_text": day("05")}, {"full_text": day("05")}, {"external_id": "e0", "full_text": day("09")}, {"external_id": "z", "source": "boja", "group": "c1", "full_text": day("09")}])
+    rows = rows.withColumn("external_id", F.when(F.col("seq") < 3, "e0").otherwise("z"))
     (tmp_path / "in").mkdir()
-    rows = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "y")], "seq long, source string, external_id string")
-    rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    items = spark.createDataFrame([("b", "y", "p")], "source string, external_id string, process_id string")
-    got = []
-    q = ingest.stream(spark, f"{tmp_path}/in", "seq long, source string, external_id string", f"{tmp_path}/ck", lambda df, n: got.extend(ingest.fresh(df, items).collect()))
-    q.awaitTermination(60)
-    assert [(r.source, r.external_id, r.seq) for r in got] == [("a", "x", 1)]
+    for part in ("seq < 2", "seq >= 2"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    streamed = Engine(spark, (tmp_path / "a").as_uri())
+    ingest.stream(spark, f"{tmp_path}/in", OBSERVATION, f"{tmp_path}/ck", ingest.into(streamed, lambda: NOW), files=1).awaitTermination(300)
+    whole = Engine(spark, (tmp_path / "b").as_uri())
+    whole.run(rows, TODAY, NOW)
+    for e in (streamed, whole):
+        (p,) = e.state.read("processes").collect()  # 'C1' and 'c1' are one group
+        assert str(p.deadline) == "2026-11-09" and e.state.read("source_items").count() == 2
+    assert streamed.state.version() == 2 and streamed.stats() == whole.stats()
+
+
+def test_notices_of_a_run_meet_each_other(spark, tmp_path):
+    e = Engine(spark, tmp_path.as_uri())
+    rows = [
+        {"external_id": "a"},
+        {"external_id": "b"},  # the same title in the same source under another id
+        {"external_id": "c", "source": "boja", "title": "Programador informático. Convocatoria", "organisation": "Universidad de Jaén", "reference": "BOE-A-2026-9"},
+        {"external_id": "d", "source": "bop_jaen", "title": "Analista de sistemas informáticos. Convocatoria", "organisation": "Diputación de Jaén", "reference": "BOE-A-2026-9"},
+        {"external_id": "f", "source": "boja", "title": "Técnico Auxiliar de Informática: convocatoria de 3 plazas"},
+        {"external_id": "g", "source": "iaap", "title": "Convocatoria de 9 plazas de Técnico Auxiliar de Informática", "full_text": "Acceso libre. 9 plazas. Plazo de presentación hasta el 30/10/2026. Requisito: bachiller."},
+    ]
+    report = e.run(observed(spark, rows), TODAY, NOW)
+    items = {r.external_id: r.process_id for r in e.state.read("source_items").collect()}
+    assert items["a"] != items["b"] and items["c"] == items["d"] and items["f"] in (items["a"], items["b"]) and items["g"] not in (items["a"], items["b"])
+    assert sum(s["created"] for s in report["sources"].values()) == 4 == e.state.read("processes").count()
+
+
+def test_exam_dates_stop_being_provisional(spark, tmp_path):
+    e = Engine(spark, tmp_path.as_uri())
+    said = "Acceso libre. Requisito: bachiller. El examen se celebrará el 12/12/2026"
+    e.run(observed(spark, [{"full_text": f"{said} (fecha provisional)."}]), TODAY, NOW)
+    (p,) = e.state.read("processes").collect()
+    assert json.loads(p.snapshot)["exam_date_provisional"] is True and str(p.exam_date) == "2026-12-12"
+    e.dispatch(e.claim(5, NOW), lambda m: "m", NOW, 0)
+    e.run(observed(spark, [{"full_text": f"{said}."}]), TODAY, NOW)
+    (event,) = e.events(["PENDING"]).collect()
+    payload = json.loads(event.payload)
+    assert event.kind == "UPDATE" and payload["changes"] == ["carácter provisional del examen"]
+    assert [(d["field"], d["old"], d["new"]) for d in payload["change_details"]] == [("exam_date_provisional", "true", "false")]
+    e.run(observed(spark, [{"full_text": "Acceso libre. Requisito: bachiller."}]), TODAY, NOW)
+    (p,) = e.state.read("processes").collect()  # a notice without a date keeps both
+    assert json.loads(p.snapshot)["exam_date_provisional"] is False and str(p.exam_date) == "2026-12-12"
