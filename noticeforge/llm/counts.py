@@ -5,7 +5,8 @@ two characters that are neither a space nor the piece marker. No piece of the
 vocabulary has the marker after another character (checked when it loads), so a
 text's count is the sum over its segments, each encoded with the space that the
 encoder puts before it. Segments of a batch of bounded bytes are encoded
-together, each distinct one once; counts of segments are kept in a bounded cache.
+together, each distinct one once; counts of short segments are kept in a cache that
+is bounded in number and bytes. A segment without a safe space is encoded whole.
 
 Cases: a null text counts as empty, with no bytes and no tokens; repeated rows
 give repeated rows; only the two named columns are read.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from noticeforge.llm import common
 
-#: Most segments whose counts a worker keeps; then it starts anew.
-CACHE_SEGMENTS = 250_000
+#: Most segments whose counts a worker keeps, then it starts anew; and their greatest length in characters.
+CACHE_SEGMENTS, CACHE_CHARS = 250_000, 64
 #: Marker of a space inside pieces. A fixed value of the library.
 MARKER = "▁"
 #: A space at which segments part when the text holds runs of spaces or markers.
@@ -52,10 +53,12 @@ class Counter:
         if len(self.known) > CACHE_SEGMENTS:
             self.known.clear()
         new = [*{s for p in parts for s in p}.difference(self.known)]
-        if new:
-            self.known.update(zip(new, map(len, self.model.encode(new, num_threads=1))))
-        get = self.known.__getitem__
-        return [sum(map(get, p)) for p in parts]
+        counted = dict(zip(new, map(len, self.model.encode(new, num_threads=1)))) if new else {}
+        self.known.update((s, n) for s, n in counted.items() if len(s) <= CACHE_CHARS)
+        # What is longer, as texts without spaces are, is counted for these texts alone.
+        rest = {s: n for s, n in counted.items() if len(s) > CACHE_CHARS}
+        get = self.known.get
+        return [sum(rest[s] if (n := get(s)) is None else n for s in p) for p in parts]
 
 
 @lru_cache(2)

@@ -70,9 +70,14 @@ def with_targets(sources: DataFrame, weights=WEIGHTS, most: float = MOST_PASSES)
     return rows.withColumn("target", F.least(F.col("weight") * share, F.col("size") * float(most))).drop("weight")
 
 
-def draw(slots: int, shards: int, key: int) -> np.ndarray:
-    """A source's slots in each output shard: multinomial counts that add up to slots."""
-    return np.random.Generator(np.random.Philox(key)).multinomial(slots, np.full(shards, 1 / shards))
+def draw(slots: int, shards: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shards that get slots of a source, and how many each: multinomial counts that add up to slots. A source of few slots draws the shard of each, so that work follows slots where they are fewer than shards."""
+    random = np.random.Generator(np.random.Philox(key))
+    if slots < shards:
+        return np.unique(random.integers(0, shards, slots), return_counts=True)
+    n = random.multinomial(slots, np.full(shards, 1 / shards))
+    at = np.flatnonzero(n)
+    return at, n[at]
 
 
 def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -139,11 +144,10 @@ class Mix:
         def run(batches):
             for batch in batches:
                 for ix, slots, blocks in zip(*(c.to_pylist() for c in batch.columns)):
-                    n = draw(slots, shards, SEED + ix)
-                    at = np.flatnonzero(n)
-                    first = (np.cumsum(n) - n)[at]
+                    at, n = draw(slots, shards, SEED + ix)
+                    first = np.cumsum(n) - n
                     full = lambda x: np.full(len(at), x)
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (at, full(ix), first, n[at], full(blocks))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (at, full(ix), first, n, full(blocks))], names=names)
 
         plan = common.map_arrow(self.sources.where("slots > 0").select("ix", "slots", "blocks"), run, ", ".join(f"{c} long" for c in names))
         before = Window.partitionBy("shard").orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)

@@ -132,7 +132,7 @@ def test_targets(spark):
 def test_permutations_and_draws():
     for n in (1, 2, 5, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
-    d = mixing.draw(70_010, 17, 3)
+    _, d = mixing.draw(70_010, 17, 3)
     assert d.sum() == 70_010 and len(d) == 17 and abs(d - 70_010 / 17).max() < 400
 
 

@@ -226,3 +226,18 @@ def test_topk_prunes_and_shares_bounds():
     _, some, _ = tree.best(asked, np.array([0]), np.array([float(score.max())]))
     assert len(some) >= 1 and len(opened) - n <= n
     assert shards.shard_count(0) == 1 and shards.shard_count(10**9) == -(-(10**9) // shards.SHARD_ROWS)
+
+
+def test_draws_add_up_and_counts_keep_short_segments_only():
+    from noticeforge.llm import counts, mixing
+
+    for slots, shards in ((0, 5), (3, 1000), (999, 1000), (5000, 7)):
+        at, n = mixing.draw(slots, shards, 5)
+        assert n.sum() == slots and len(set(at.tolist())) == len(at) and (n > 0).all() and (at < shards).all()
+    at, n = mixing.draw(400, 401, 9)
+    assert 200 < len(at) < 300  # as multinomial draws fall: some shards get several
+    counter = counts.Counter(counts.default_path())
+    texts = ["x" * 20_000 + " short words here", "漢字" * 5000, "short words here", ""]
+    want = [len(counter.model.encode(t)) for t in texts]
+    assert counter.counts(texts) == want == counter.counts(texts)
+    assert max(map(len, counter.known)) <= counts.CACHE_CHARS
