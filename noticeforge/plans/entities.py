@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeforge.functions import classify, identity, rules, text
 from noticeforge.operators import merge, outbox, resolve, views
-from noticeforge.plans.registry import TODAY, TODAY_SQL, query, read
+from noticeforge.plans.registry import TODAY, TODAY_SQL, n_, query, read
+from noticeforge.sources import bulletin
 
 _DAY = "CAST(o_orderdate AS DATE)"
 
@@ -165,3 +166,28 @@ def key_resolution(spark, sf_dir):
     old = o.select(key.alias("id"), F.concat(F.lit("k"), F.expr("o_orderkey div 8").cast("string")).alias("canonical_key"), F.when(key % 3 > 0, (customer % 4).cast("int")).alias("positions"), F.col("o_orderdate").alias("first_seen"))
     items = o.where(key % 4 == 0).select(F.concat(F.lit("s"), (customer % 3).cast("string")).alias("source"), customer.cast("string").alias("external_id"), key.alias("process_id"))
     return resolve.by_key(new, old, items)
+
+
+# --- bulletins ---------------------------------------------------------------------
+
+#: Ten documents make a bulletin: contents with wrapped titles, then bodies; of every seventh one the last body is missing, every eleventh has none at all.
+_BULLETIN = """SELECT doc_id, bulletin, row_number() OVER (PARTITION BY bulletin ORDER BY doc_id) AS part, count(*) OVER (PARTITION BY bulletin) AS parts, 'plaza ' || doc_id || ' ' || source AS title, text FROM (SELECT doc_id, doc_id // 10 AS bulletin, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents)"""
+_LINES = r"list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]'), lambda s: " + n_("s") + ")"
+
+
+@query(f"""WITH b AS ({_BULLETIN}), f AS (SELECT *, CASE WHEN bulletin % 11 = 5 THEN 'no edict begins' WHEN bulletin % 7 = 3 THEN 'BOP-2026-' || max(doc_id) OVER (PARTITION BY bulletin) || ' has no body' END AS error FROM b)
+SELECT bulletin, CAST(part AS INTEGER) AS part, 'BOP-2026-' || doc_id AS reference, 'Bases de una ' || title AS title, 'AYUNTAMIENTO DE LA VILLA' || CASE WHEN part % 2 = 0 THEN ' - Recursos Humanos' ELSE '' END AS organisation,
+  md5(trim('2026 ' || doc_id || ' texto de las bases que rigen la convocatoria ' || array_to_string(list_filter({_LINES}, lambda s: s <> ''), ' '))) AS body, CAST(NULL AS VARCHAR) AS error FROM f WHERE error IS NULL
+UNION ALL SELECT DISTINCT bulletin, NULL, NULL, NULL, NULL, NULL, error FROM f WHERE error IS NOT NULL""")
+def bulletin_edicts(spark, sf_dir):
+    """Bulletins made of documents, split into edicts: the contents' headings, and bodies in the order of the contents."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id"), F.expr("doc_id div 10").alias("bulletin"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    k, own = F.col("doc_id").cast("string"), Window.partitionBy("bulletin").orderBy("doc_id")
+    d = d.withColumns({"part": F.row_number().over(own), "last": F.lead("doc_id").over(own).isNull()})
+    entry = F.concat(F.lit("ADMINISTRACIÓN LOCAL\nAYUNTAMIENTO DE LA VILLA\n"), F.when(F.col("part") % 2 == 0, "Recursos Humanos\n").otherwise(""), F.lit("Bases de una\nPág. 7\nplaza "), k, F.lit(" "), "source", F.lit("\nBOP-2026-"), k)
+    none = (F.col("bulletin") % 11 == 5) | ((F.col("bulletin") % 7 == 3) & F.col("last"))
+    body = F.when(~none, F.concat(F.lit("2026/"), k, F.lit("\nNúmero 200\nTexto de las bases que rigen la convocatoria\n"), "text"))
+    rows = d.groupBy("bulletin").agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("entry"), body.alias("body")))).alias("rows"))
+    whole = F.concat(F.transform("rows", lambda r: r["entry"]), F.filter(F.transform("rows", lambda r: r["body"]), lambda b: b.isNotNull()))
+    out = bulletin.read(rows.select("bulletin", F.array_join(whole, "\n").alias("text")), "bulletin", "text")
+    return out.withColumn("body", F.when(F.col("body").isNotNull(), F.md5(text.normalize(F.col("body")).cast("binary"))))

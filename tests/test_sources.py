@@ -94,6 +94,29 @@ def test_bulletin(spark):
     assert cover(days((d(20), False), (d(15), True))) == ("PARTIAL", d(14)) and cover(days((d(20), False), (d(10), True)))[1] is None
 
 
+def test_bulletin_headings(spark):
+    """Sections keep the organisation, a reference keeps the department, other headings don't; what is wrong is told by its first place."""
+    head = "ADMINISTRACIÓN LOCAL\nAYUNTAMIENTO DE MARTOS\nÁrea de Personal\nUno\nBOP-2026-1\nÁrea de Hacienda\nServicio de Aguas\nDos\nServicio de nada\nbop 2026/2\nJUNTA DE ANDALUCÍA\nTres\nBOP-2026-3\nCONSORCIO; NADA\nCuatro\nBOP-2026-4\n"
+    tail = "".join(f"2026/{i} cuerpo del número {i}, sigue.\n  2026/{i - 1} se cita\n" for i in range(1, 5))
+    cases = {1: head + tail, 2: head + "Otra\nBOP-2026-1\n" + tail, 3: head + "BOP-2026-5\n" + tail, 4: head + tail.replace("2026/2 cuerpo", "2027/2 cuerpo"), 5: "Nada\n" + tail, 6: "\r\n\f", 7: head.replace("Tres", "Tres de título largo") + tail.replace(" cuerpo del número 3, sigue.", "").replace("  2026/2 se cita", "")}
+    rows = bulletin.read(spark.createDataFrame(list(cases.items()), "id long, text string").repartition(3), "id", "text").collect()
+    got = {(r.id, r.part): (r.reference, r.title, r.organisation) for r in rows if r.error is None}
+    assert got == {
+        (1, 1): ("BOP-2026-1", "Uno", "AYUNTAMIENTO DE MARTOS - Área de Personal"),
+        (1, 2): ("BOP-2026-2", "Dos Servicio de nada", "AYUNTAMIENTO DE MARTOS - Servicio de Aguas"),
+        (1, 3): ("BOP-2026-3", "Tres", "AYUNTAMIENTO DE MARTOS"),
+        (1, 4): ("BOP-2026-4", "Cuatro", "CONSORCIO; NADA"),  # in capitals with a known beginning
+    }
+    (second,) = [r.body for r in rows if (r.id, r.part) == (1, 2)]
+    assert second == "2026/2 cuerpo del número 2, sigue. 2026/1 se cita"
+    assert {r.id: r.error for r in rows if r.error} == {2: "BOP-2026-1 is repeated", 3: "BOP-2026-5 has no title", 4: "BOP-2026-2 has no body", 5: "no references in the contents", 6: "no edict begins", 7: "BOP-2026-3 is too short"}
+    assert bulletin.read(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+    kinds = spark.createDataFrame([("AYUNTAMIENTO: BASES",), ("AYUNTAMIENTO DE X; Y",), ("LA COMUNIDAD, S.L.",), ("Comunidad",), ("Lunes, 5 de mayo de 2026",)], "x string")
+    from noticeforge.functions import text
+
+    assert [r[0] for r in kinds.select(bulletin.line_kind(F.col("x"), text.normalize(F.col("x")))).collect()] == ["title", "organisation", "organisation", "title", "empty"]
+
+
 def test_choice_and_isolation():
     config = {"sources": {"a": {"kind": "html"}, "b": {"kind": "pag", "enabled": False}, "c": {}}, "x": {"y": 3}}
     readers = {"html": lambda name: [name]}
