@@ -38,17 +38,24 @@ def test_proof_of_a_day():
     assert official.proves_day("<p>No hay ningún boletín publicado para el día 20-10-2026</p>", DAY) and not official.proves_day("<p>error</p>", DAY)
 
 
-def test_search_page():
+def test_archive_results(spark):
     base = "https://bophistorico.dipujaen.es"
-    frame = lambda i, day="20/10/2026", to=None: f'<div class="list-frame" id="frame-{i}"><a id="open-{i}" href="/v?id={to or i}">o</a><a id="download-{i}" href="/d?id={i}">d</a><a id="thumbnail-link-{i}" title="Boletín {day} [Ejemplar]">t</a> 12 páginas</div>'
-    page = lambda n, *frames: f'<div class="results">Resultados {n}</div>' + "".join(frames)
-    start = dt.date(2026, 10, 15)
-    (row,) = official.search_page(page(1, frame(7)), start, DAY)
-    assert row == {"id": "7", "published": DAY, "pages": 12, "viewer_url": f"{base}/v?id=7", "pdf_url": f"{base}/d?id=7"}
-    assert official.search_page("<p>Su consulta no ha devuelto ningún resultado</p>", start, DAY) == []
-    for bad in (page(0, frame(7)), page(2), page(1, frame(7), frame(8)), page(3, frame(7), frame(7)), page(1, frame(7, "01/10/2026")), page(1, frame(7, to=8)), page(1, frame(7, "31/02/2026")), "<p>?</p>"):
-        with pytest.raises(ValueError):
-            official.search_page(bad, start, DAY)
+    frame = lambda i, day="20/10/2026", to=None, more="": f'<div class="x list-frame" id="frame-{i}"><div><a id="open-{i}" href="/v?id={to or i}&amp;page=1">o</a></div><a id="download-{i}" href="d.raw?id={i}{more}">d</a><a id="thumbnail-link-{i}" title="Boletín {day}. [Ejemplar]">t</a><p>12 <b>páginas</b></p></div>'
+    page = lambda n, *frames: f'<div class="results">Página 1. Resultados: <b>{n}</b></div><hr>' + "".join(frames) + "<p>4 páginas</p>"
+    pages = [
+        page(1, frame(7)), page(3, frame(7), frame(8, "15/10/2026")), "<p>Su consulta no ha devuelto ningún resultado</p>", page(0, frame(7)), page(2), page(1, frame(7), frame(8)), page(3, frame(7), frame(7)), page(1, frame(7, "01/10/2026")),
+        page(1, frame(7, "21/10/2026")), page(1, frame(7, to=8)), page(1, frame(7, more="&id=9")), page(1, frame(7, "31/02/2026")), page(1, frame(7, "ayer")), page(1, frame("x")), page(1, frame(7).replace("download-7", "dl")), '<div class="results">nada</div>', "<p>?</p>", None,
+        page(1, frame(7).replace('href="/v', 'href="http://other.org/v')),
+    ]
+    df = spark.createDataFrame([(i, p, dt.date(2026, 10, 15), DAY) for i, p in enumerate(pages)], "page_id long, html string, start date, stop date").repartition(3)
+    got = official.archive_results(df).collect()
+    (row,) = [r for r in got if r.page_id == 0]
+    assert row[1:] == ("7", DAY, "Boletín 20/10/2026.", 12, f"{base}/v?id=7&page=1", f"{base}/d.raw?id=7", None)
+    assert sorted(r.archive_id for r in got if r.page_id == 1) == ["7", "8"] and not [r for r in got if r.page_id == 2]
+    assert {r.page_id: r.error for r in got if r.error} == {
+        3: "results although there are none", 4: "a total without results", 5: "more results than the total", 6: "repeated id 7", 7: "2026-10-01 is before 2026-10-15", 8: "2026-10-21 is after 2026-10-20", 9: "7 has a link that isn't its own",
+        10: "7 has a link that isn't its own", 11: "no such day 31/02/2026", 12: "7 has no date", 13: "bad id x", 14: "7 has no viewer or PDF", 15: "results without a total", 16: "neither results nor an empty search", 17: "neither results nor an empty search", 18: "7 has a link that isn't its own",
+    }
 
 
 def test_process_fields():
@@ -109,7 +116,7 @@ def test_bulletin_headings(spark):
     }
     (second,) = [r.body for r in rows if (r.id, r.part) == (1, 2)]
     assert second == "2026/2 cuerpo del número 2, sigue. 2026/1 se cita"
-    assert {r.id: r.error for r in rows if r.error} == {2: "BOP-2026-1 is repeated", 3: "BOP-2026-5 has no title", 4: "BOP-2026-2 has no body", 5: "no references in the contents", 6: "no edict begins", 7: "BOP-2026-3 is too short"}
+    assert {r.id: r.error for r in rows if r.error} == {2: "BOP-2026-1 is repeated", 3: "BOP-2026-5 has no title", 4: "BOP-2026-4 has no body", 5: "no references in the contents", 6: "no edict begins", 7: "BOP-2026-3 is too short"}
     assert bulletin.read(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
     kinds = spark.createDataFrame([("AYUNTAMIENTO: BASES",), ("AYUNTAMIENTO DE X; Y",), ("LA COMUNIDAD, S.L.",), ("Comunidad",), ("Lunes, 5 de mayo de 2026",)], "x string")
     from noticeforge.functions import text
