@@ -60,8 +60,11 @@ def by_key(observed: DataFrame, processes: DataFrame, items: DataFrame) -> DataF
 
 
 def without_conflict(found: DataFrame, items: DataFrame) -> DataFrame:
-    other = items.select(F.col("source").alias("_s"), F.col("external_id").alias("_e"), F.col("process_id").alias("_p"))
-    return found.join(other, (F.col("process_id") == F.col("_p")) & (F.col("source") == F.col("_s")) & (F.col("external_id") != F.col("_e")), "left_anti")
+    """Rows whose entity has no other id of the row's source: of each entity and source the least and the greatest id tell."""
+    spans = items.groupBy(F.col("process_id").alias("_p"), F.col("source").alias("_s")).agg(F.min("external_id").alias("_low"), F.max("external_id").alias("_high"))
+    both = found.join(spans, (F.col("process_id") == F.col("_p")) & (F.col("source") == F.col("_s")), "left")
+    other = (F.col("_low") != F.col("external_id")) | (F.col("_high") != F.col("external_id"))
+    return both.where(~F.coalesce(other, F.lit(False))).select(found.columns)
 
 
 def by_title(observed: DataFrame, processes: DataFrame, items: DataFrame, newest: int = NEWEST, least: float = LEAST_SCORE) -> DataFrame:

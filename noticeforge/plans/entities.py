@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeforge.functions import classify, identity, rules, text
-from noticeforge.operators import merge, outbox, resolve, views
+from noticeforge.operators import merge, outbox, resolve, scratch, settle, views
 from noticeforge.plans.registry import TODAY, TODAY_SQL, n_, query, read
 from noticeforge.sources import bulletin
 
@@ -168,6 +168,43 @@ def key_resolution(spark, sf_dir):
     return resolve.by_key(new, old, items)
 
 
+# --- identity within a run -----------------------------------------------------------
+
+_K = "CAST(l_orderkey AS VARCHAR)"
+_NOTICE = f"""SELECT l_orderkey AS org, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SEQ}) AS n, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SEQ}) AS seq, 's' || CAST(l_suppkey % 2 AS VARCHAR) AS source, {_K} || '-' || CAST(l_partkey % 4 AS VARCHAR) AS external_id,
+  CASE WHEN l_suppkey % 4 = 0 THEN {_K} || 'r' || CAST(l_suppkey % 3 AS VARCHAR) END AS reference, CASE WHEN l_linenumber % 2 = 0 THEN {_K} || 'r' || CAST(l_partkey % 3 AS VARCHAR) END AS citation,
+  CASE l_returnflag WHEN 'A' THEN 'tecnico auxiliar' WHEN 'N' THEN CASE WHEN l_partkey % 2 = 0 THEN 'tecnico auxiliar informatica' ELSE 'conserje' END ELSE 'conserje' END AS signature,
+  CASE l_linenumber % 3 WHEN 0 THEN 'REVISAR' WHEN 1 THEN 'LIBRE' ELSE CASE WHEN l_suppkey % 5 = 0 THEN 'MIXTO' ELSE 'LIBRE' END END AS access, CASE WHEN l_linenumber % 2 = 1 THEN CAST(l_suppkey % 2 AS INTEGER) END AS positions FROM lineitem"""
+_ITEM = "source || ':' || external_id"
+_APART = f"(len(list_filter(e.items, lambda i: i <> it AND string_split(i, ':')[1] = source)) > 0 OR coalesce(positions <> e.positions, false))"
+_FITS = "(access = 'REVISAR' OR e.access = 'REVISAR' OR access = e.access) AND (signature = 'conserje') = (e.signature = 'conserje')"
+_OLDEST, _LATEST = ("list_filter({}, lambda e: {})[1].id".format, "list_sort(list_transform(list_filter({}, lambda e: {}), lambda e: {{'last': e.last, 'id': e.id}}), 'DESC')[1].id".format)
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT *, {_ITEM} AS it, signature || access AS key FROM ({_NOTICE})),
+runs AS (SELECT org, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BIGINT AS hit, NULL::VARCHAR AS stage, []::STRUCT(id BIGINT, last BIGINT, items VARCHAR[], refs VARCHAR[], key VARCHAR, signature VARCHAR, access VARCHAR, positions INTEGER)[] AS es FROM n GROUP BY org
+  UNION ALL SELECT org, n, seq, hit, stage, CASE WHEN stage = 'new' THEN list_append(es, {{'id': seq, 'last': n, 'items': own, 'refs': refs, 'key': key, 'signature': signature, 'access': access, 'positions': positions}})
+    ELSE list_transform(es, lambda e: CASE WHEN e.id = hit THEN {{'id': e.id, 'last': n, 'items': list_concat(e.items, own), 'refs': list_concat(e.refs, refs), 'key': e.key, 'signature': e.signature, 'access': CASE WHEN access = 'REVISAR' THEN e.access ELSE access END, 'positions': coalesce(positions, e.positions)}} ELSE e END) END AS es
+  FROM (SELECT *, coalesce(by_item, by_reference, by_citation, by_key, by_title, seq) AS hit, CASE WHEN by_item IS NOT NULL THEN 'item' WHEN by_reference IS NOT NULL THEN 'reference' WHEN by_citation IS NOT NULL THEN 'citation' WHEN by_key IS NOT NULL THEN 'key' WHEN by_title IS NOT NULL THEN 'title' ELSE 'new' END AS stage,
+      CASE WHEN by_item IS NULL THEN [it] ELSE [] END AS own, CASE WHEN reference IS NULL OR by_reference IS NOT NULL THEN [] ELSE [reference] END AS refs
+    FROM (SELECT runs.es, n.*, {_OLDEST('es', 'list_contains(e.items, it)')} AS by_item, {_OLDEST('es', 'list_contains(e.refs, reference)')} AS by_reference, {_OLDEST('es', 'list_contains(e.refs, citation) AND ' + _FITS)} AS by_citation,
+        list_filter(list_filter(es, lambda e: e.key = n.key)[1:1], lambda e: NOT {_APART})[1].id AS by_key, {_LATEST('es', _FITS + ' AND NOT ' + _APART)} AS by_title
+      FROM runs JOIN n ON n.org = runs.org AND n.n = runs.n + 1)))
+SELECT seq, hit AS first_seq, stage FROM runs WHERE n > 0""")
+def batch_identity(spark, sf_dir):
+    """The lines of an order as notices of one issuer, settled in order within the run: what finds an entity, and which."""
+    rows = spark.sql(_NOTICE.replace("VARCHAR", "STRING").replace("FROM lineitem", "FROM {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
+    listed = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+    org = F.col("org").cast("string")
+    notices = rows.select("seq", "source", "external_id", listed("reference").alias("references"), listed("citation").alias("cited"), F.concat_ws("|", org, "signature", "access").alias("canonical_key"), org.alias("organisation"), "signature", F.lit("").alias("group"), "access", "positions", *(F.lit("").alias(c) for c in ("published", "titled")), *(F.lit(True).alias(c) for c in ("keep_new", "keep_tracked")))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    processes = empty("id string, first_seen timestamp, last_seen timestamp, canonical_key string, organisation string, signature string, `group` string, access string, positions int, published string, titled string")
+    known = settle.known(notices, processes, empty("source string, external_id string, process_id string"), empty("reference string, process_id string"), empty("alias_id string, process_id string"))
+    settled = scratch.cut(settle.settle(notices, known, scratch.cut, "run"), "settled")
+    first = settled.groupBy("entity").agg(F.min("seq").alias("first_seq"))
+    return settled.join(first, "entity").select("seq", "first_seq", "stage")
+
+
 # --- bulletins ---------------------------------------------------------------------
 
 #: Ten documents make a bulletin: contents with wrapped titles, then bodies; of every seventh one the last body is missing, every eleventh has none at all.

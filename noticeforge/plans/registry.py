@@ -43,6 +43,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that the processor bounds, dealt out where it has fewer files than there are cores; a large one is read as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 # --- SQL pieces for DuckDB -------------------------------------------------------
 
 OBS = f"obs AS ({SELECT})"
@@ -93,7 +99,7 @@ judged AS (SELECT seq, CASE WHEN all_n = '' THEN 'REVISAR'
 
 @query(f"SELECT status, count(*) AS n, CAST(sum(signal) AS BIGINT) AS signals FROM (SELECT {STATUS_SQL} AS status, regexp_matches(n, '{rx(rules.JOB_SIGNAL)}')::int AS signal FROM (SELECT {n_('text')} AS n FROM documents)) GROUP BY status")
 def normalize_status_counts(spark, sf_dir):
-    n = read(spark, sf_dir, "documents").select(text.normalize(F.col("text")).alias("n"))
+    n = dealt(read(spark, sf_dir, "documents").select("text")).select(text.normalize(F.col("text")).alias("n"))
     return n.groupBy(classify.status(F.col("n")).alias("status")).agg(F.count("*").alias("n"), F.count_if(classify.has_job_signal(F.col("n"))).alias("signals"))
 
 
@@ -273,7 +279,26 @@ def conflict_anti(spark, sf_dir):
     return resolve.without_conflict(rows, rows.select("source", "external_id", "process_id")).select("seq")
 
 
-@query()
+def _lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence in DuckDB: a row of the table for each character of a, a cell for each of b."""
+    cells = f"list_reduce(list_concat([[0]], list_transform(range(1, len({b}) + 1), lambda j: [j])), lambda row, c: list_append(row, CASE WHEN {a}[e[1]] = {b}[c[1]] THEN prev[c[1]] + 1 ELSE greatest(row[c[1]], prev[c[1] + 1]) END))"
+    return f"list_reduce(list_concat([list_transform(range(len({b}) + 1), lambda j: 0::BIGINT)], list_transform(range(1, len({a}) + 1), lambda i: [i])), lambda prev, e: {cells})[len({b}) + 1]"
+
+
+def _indel(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 100 WHEN len({a}) * len({b}) = 0 THEN 0 ELSE 200::DOUBLE * {_lcs(a, b)} / (len({a}) + len({b})) END"
+
+
+_SIGNED = f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({n_('p_name')}, '{rx(rules.GENERIC_TITLE_WORDS)}', ' ', 'g'), '{rules.TITLE_YEARS}', ' ', 'g'), '{rules.TITLE_NUMBERS}', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_brand, p_size, list_sort(list_distinct(list_filter(string_split({_SIGNED}, ' '), lambda t: t <> ''))) AS tokens FROM part),
+old AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS place FROM p WHERE p_partkey % 2 = 1),
+pairs AS (SELECT n.p_partkey AS seq, o.p_partkey AS process_id, o.place, len(n.tokens) * len(o.tokens) AS both_any, list_filter(n.tokens, lambda t: list_contains(o.tokens, t)) AS b, list_filter(n.tokens, lambda t: NOT list_contains(o.tokens, t)) AS l, list_filter(o.tokens, lambda t: NOT list_contains(n.tokens, t)) AS r
+  FROM p n JOIN old o ON o.p_brand = n.p_brand AND o.p_size = n.p_size AND o.place <= 100 WHERE n.p_partkey % 2 = 0),
+texts AS (SELECT *, array_to_string(b, ' ') AS x, trim(array_to_string(list_concat(b, l), ' ')) AS y, trim(array_to_string(list_concat(b, r), ' ')) AS z FROM pairs),
+scores AS (SELECT seq, process_id, place, CASE WHEN both_any = 0 THEN 0 WHEN len(b) > 0 AND len(l) * len(r) = 0 THEN 100 ELSE greatest({_indel('y', 'z')}, CASE WHEN len(b) > 0 THEN greatest({_indel('x', 'y')}, {_indel('x', 'z')}) ELSE 0 END) END / 100::DOUBLE AS score FROM texts)
+SELECT seq, arg_min(process_id, (-score, place)) AS process_id, round(max(score), 6) AS score FROM scores WHERE score >= 0.5 GROUP BY seq""")
 def fuzzy_block_top1(spark, sf_dir):
     """Parts against the newest hundred of their brand: the similar title of the same size, in the engine's own cascade stage."""
     p = read(spark, sf_dir, "part")
