@@ -222,13 +222,112 @@ def test_paged_source():
     assert [(p.start, p.stop) for p in reader.partitions()] == [("2026-01-01", "2026-01-10"), ("2026-01-11", "2026-01-20"), ("2026-01-21", "2026-01-25")]
     rows = [{"id": i, "date": "2026-01-01"} for i in range(5)]
     module.get = client(rows)
-    assert [r[1] for r in reader.read(reader.partitions()[0])] == ["0", "1", "2", "3", "4"]
+    assert [r[2] for r in reader.read(reader.partitions()[0])] == ["0", "1", "2", "3", "4"]
     for bad in (client(rows, 9), client([{"id": 1}]), lambda *a: {"results": []}):
         module.get = bad
         with pytest.raises(ValueError):
             list(reader.read(reader.partitions()[0]))
 
 
+CLIENT = """
+from datetime import date, timedelta
+
+def get(start, stop, page, size):
+    a, b = date.fromisoformat(start), date.fromisoformat(stop)
+    with open({log!r}, "a") as f:
+        f.write(f"{{start}} {{stop}} {{page}}\\n")
+    if (b - a).days < 2:
+        raise ValueError("window too short")
+    if a <= date(2026, 1, 13) <= b:
+        raise OSError("down")
+    rows = [{{"id": f"{{a + timedelta(i)}}-{{k}}", "date": str(a + timedelta(i))}} for i in range((b - a).days + 1) for k in range(3)]
+    return {{"total_hits": len(rows) + (5 if a <= date(2026, 1, 19) <= b else 0), "results": rows[page * size : page * size + size]}}
+
+def page(url):
+    with open({log!r}, "a") as f:
+        f.write(url + "\\n")
+    if "bad" in url:
+        raise OSError("gone")
+    return "" if "empty" in url else "text of " + url
+"""
+
+
+@pytest.fixture
+def client(tmp_path, monkeypatch):
+    """A service as a module that Python workers can import too, and its log of requests."""
+    import sys
+
+    name = f"service_{tmp_path.name}"
+    (tmp_path / f"{name}.py").write_text(CLIENT.format(log=str(tmp_path / "log")).replace("\\\\n", "\\n"))
+    (tmp_path / "log").touch()
+    monkeypatch.syspath_prepend(str(tmp_path))
+    yield str(tmp_path), name, lambda: (tmp_path / "log").read_text().split("\n")[:-1]
+    sys.modules.pop(name, None)
+
+
+def test_reader_deals_pages_and_gives_evidence(client):
+    _, name, log = client
+    options = {"client": f"{name}:get", "start": "2026-01-01", "stop": "2026-01-25", "window_days": "5", "page_size": "4", "source": "s", "pages_per_task": "2", "evidence": "true"}
+    reader = paged.PagedReader(options)
+    parts = reader.partitions()
+    assert [(p.start, p.first, p.last) for p in parts if p.start < "2026-01-11"] == [("2026-01-01", 0, 2), ("2026-01-01", 2, 4), ("2026-01-06", 0, 2), ("2026-01-06", 2, 4)]
+    rows = [r for p in parts for r in reader.read(p)]
+    assert sum(r[0] == "evidence" for r in rows) == len(parts) and sum(r[0] == "data" for r in rows) == 4 * 15 and len(log()) > 10
+    short = paged.PagedReader(options | {"stop": "2026-01-06", "least_days": "4", "pages_per_task": "0", "evidence": "false"})
+    own = [r for p in short.partitions() for r in short.read(p)]
+    assert len(own) == 18 and [(p.start, p.low) for p in short.partitions()] == [("2026-01-01", "2026-01-01"), ("2026-01-03", "2026-01-06")]
+
+
+def test_coverage_follows_what_was_read(spark, client):
+    from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+    _, name, _ = client
+    options = {"client": f"{name}:get", "start": "2026-01-01", "stop": "2026-01-25", "window_days": "5", "page_size": "4", "source": "s", "pages_per_task": "2", "evidence": "true"}
+    schema = paged.PagedJson({}).schema()
+    read = lambda **o: spark.createDataFrame([r for reader in [paged.PagedReader(options | o)] for p in reader.partitions() for r in reader.read(p)], schema)
+    assert [tuple(r) for r in paged.coverage(read(stop="2026-01-10")).collect()] == [("s", dt.date(2026, 1, 10), None, "")]
+    (r,) = paged.coverage(read()).collect()
+    assert (r.covered_through, r.failed) == (None, dt.date(2026, 1, 11)) and "down" in r.warning
+    (r,) = paged.coverage(read(start="2026-01-16")).collect()
+    assert r.failed == dt.date(2026, 1, 16) and r.warning.startswith("ValueError: ") or "records of" in r.warning
+    both = read(stop="2026-01-10")
+    assert paged.data(both.unionByName(both)).count() == 30
+    # What reaches the reader narrows the days, and goes back to be applied to rows.
+    reader = paged.PagedReader(options | {"evidence": "false"})
+    filters = [GreaterThanOrEqual(("day",), dt.date(2026, 1, 3)), LessThan(("day",), dt.date(2026, 1, 9)), EqualTo(("source",), "s")]
+    assert list(reader.pushFilters(filters)) == filters and (str(reader.start), str(reader.stop)) == ("2026-01-03", "2026-01-08")
+
+
+def test_conditions_reach_the_source(spark, client):
+    path, name, log = client
+    spark.sparkContext.addPyFile(f"{path}/{name}.py")
+    spark.dataSource.register(paged.PagedJson)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    df = spark.read.format("paged_json").options(client=f"{name}:get", start="2026-01-01", stop="2026-01-25", window_days="5", page_size="50", source="s", least_days="4").load()
+    assert df.where("day >= DATE '2026-01-03' AND day < DATE '2026-01-05'").count() == 6
+    assert log() == ["2026-01-01 2026-01-04 0"]
+
+
+def test_pages_are_asked_for_once(spark, client):
+    from noticeforge.sources import hydrate
+
+    path, name, log = client
+    spark.sparkContext.addPyFile(f"{path}/{name}.py")
+    urls = [f"https://h{i % 3}.org/{w}" for i, w in enumerate(["a", "b", "c", "d", "bad", "empty", "a", "b"])] + ["https://skip.org/x", "no host", None]
+    notices = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "seq long, url string").repartition(4)
+    none = spark.createDataFrame([], hydrate.PAGE)
+    wanted = ~F.col("url").contains("skip")
+    pages = spark.createDataFrame(hydrate.fetch(hydrate.missing(notices, none, wanted), f"{name}:page", per_host=2, tasks=3).collect(), hydrate.PAGE)
+    assert sorted(log()) == sorted({u for u in urls if u and u.startswith("http") and "skip" not in u})
+    assert hydrate.missing(notices, pages, wanted).count() == 0
+    got = {r.seq: (r.body, r.error) for r in hydrate.hydrated(notices, pages).collect()}
+    assert got[0] == ("text of https://h0.org/a", None) and got[5] == ("", None) and "gone" in got[4][1] and got[8] == got[9] == got[10] == (None, None) and len(got) == len(urls)
+    origin = pages.where("url LIKE '%bad'").withColumns({"body": F.lit("kept"), "error": F.lit(None).cast("string")})
+    via = {r.url: (r.body, r.route, r.failures) for r in hydrate.routed([pages, origin, origin]).collect()}
+    assert via["https://h1.org/bad"] == ("kept", 1, ["OSError: gone"]) and via["https://h2.org/empty"] == ("", 0, [])
+    assert {r.url: r.route for r in hydrate.routed([pages]).collect()}["https://h1.org/bad"] is None
+
+
 def test_stream_equals_table(spark, tmp_path):
     """Corrections of known items update in the stream; two batches give the entities that one gives."""
     day = lambda d: f"Acceso libre. Plazo de presentación hasta el {d}/11/2026. Requisito: bachiller."
