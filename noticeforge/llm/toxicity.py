@@ -289,7 +289,7 @@ def fit(documents: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
         return df.select("left", F.explode(F.array_compact(F.array(*each))).alias("term"))
 
     count = lambda df: {r["_toxic"]: r["n"] for r in df.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    total, labels_of, read = count(pairs), count(known), count(texts.select("_toxic"))
+    total, labels_of = count(pairs), count(known)
     prior = math.log((labels_of.get(1, 0) + 1) / (labels_of.get(0, 0) + 9))
     good: dict[str, int] = {}
     if total.get(1) and total.get(0):
@@ -299,7 +299,7 @@ def fit(documents: DataFrame, labels: DataFrame, text_col: str = "text", id_col:
         spoken = toxic.join(clean, "term", "left").withColumn("c", F.coalesce("c", F.lit(0)))
         good = {r["term"]: r["t"] for r in spoken.where(speaks(F.col("t"), F.col("c"), total[1] / (total[1] + total[0]), max(1, toxic.count()))).collect()}
         common.drop_scratch(toxic)
-    lexicon = weighted(pairs, choose(good), read.get(1, 0), read.get(0, 0), prior)
+    lexicon = weighted(pairs, choose(good), total.get(1, 0), total.get(0, 0), prior)
     common.drop_scratch(pairs)
     return lexicon
 
@@ -331,7 +331,7 @@ def choose(good: dict[str, int]) -> list[tuple[str, bool]]:
 
 
 def weighted(pairs: DataFrame, terms: list[tuple[str, bool]], n_toxic: int, n_clean: int, prior: float) -> Lexicon:
-    """Weights of the entries, of their misspellings, and of the words of training that they match. n_toxic, n_clean: texts."""
+    """Weights of the entries, of their misspellings, and of the words of training that they match. n_toxic, n_clean: all pairs of a label, the unit of the counts."""
     plain = Lexicon(tuple(Entry(t, stem, UNSEEN_WEIGHT, None if stem else 1.0) for t, stem in terms), prior)
     fuzzy = math.log(FUZZY_PRIOR / (1 - FUZZY_PRIOR)) - prior
     if not n_toxic or not n_clean:
