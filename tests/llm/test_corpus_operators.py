@@ -1,6 +1,8 @@
 """Toxicity, mixing, line dedup, URL filter and nearest neighbours on small fixtures."""
 
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -54,6 +56,82 @@ def test_scores_context_and_odd_texts(spark):
     assert toxicity.score_documents(df.limit(0), lex).count() == 0
 
 
+def plain_score(text, lexicon):
+    """The score by its definition: the nearest entry of each word by edit distance, context by the words around."""
+    tokens = re.findall(r"[a-z]+|[\"]", text.lower())
+    words = [t for t in tokens if t != '"']
+    spots, inside, n = [], [], 0
+    for k, t in enumerate(tokens):
+        if t != '"':
+            # Quoted: a mark that opens before it and one that closes after it, both within the window.
+            marks = {}
+            for step in (-1, 1):
+                j, met = k + step, 0
+                while 0 <= j < len(tokens) and met <= toxicity.WINDOW:
+                    if tokens[j] == '"':
+                        marks.setdefault(step, met)
+                    else:
+                        met += 1
+                    j += step
+            spots.append(n)
+            inside.append(marks.get(-1, 99) <= toxicity.WINDOW and marks.get(1, 99) <= toxicity.WINDOW)
+            n += 1
+    own, quoted = {}, []
+    for i, word in enumerate(words):
+        found = []
+        for k, e in enumerate(lexicon.entries):
+            d = 0 if e.stem and word.startswith(e.term) else edit_distance(word, e.term) if not e.stem else 99
+            if d <= e.edits:
+                found.append((d, k))
+        if not found:
+            continue
+        d, k = min(found)
+        weight = dict(lexicon.known).get(word, lexicon.entries[k].fuzzy if d else lexicon.entries[k].weight)
+        if not weight or weight <= 0:
+            continue
+        around = set(words[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1])
+        if inside[i]:
+            quoted.append(weight * (toxicity.QUOTED_AND_REPORTED if around & toxicity.REPORTING else toxicity.QUOTED))
+        else:
+            own[word] = max(own.get(word, 0), weight * (toxicity.ADDRESSED if around & toxicity.ADDRESS else 1))
+    if not own and not quoted:
+        return 1 / (1 + math.exp(toxicity.NO_HITS - lexicon.prior))
+    return 1 / (1 + math.exp(-min(30, lexicon.prior + sum(own.values()) + max(quoted, default=0))))
+
+
+def test_scores_equal_their_definition():
+    r = random.Random(8)
+    entries = (toxicity.Entry("scumbag", False, 3.0, 1.5), toxicity.Entry("worthless", False, 2.5, 0.7), toxicity.Entry("vequ", True, 2.0), toxicity.Entry("idiot", False, 4.0, -1.0))
+    lexicon = toxicity.Lexicon(entries, -2.0, (("scumbaq", 0.0), ("vequta", 5.0)))
+    own, seen = toxicity.Scorer(lexicon), set()
+    bad = ["scumbag", "scumbaq", "skumbag", "worthless", "wurthles", "vequ", "vequta", "vequmo", "idiot", "idiat"]
+    for _ in range(3000):
+        words = [r.choice(bad) if r.random() < 0.12 else r.choice(["the", "you", "said", "house", "river", "calls", "blue", "stone"]) for _ in range(r.randrange(30))]
+        if len(words) > 3 and r.random() < 0.6:  # one passage in quotes
+            a = r.randrange(len(words) - 1)
+            b = r.randrange(a, len(words))
+            words[a], words[b] = '"' + words[a], words[b] + '"'
+        text = " ".join(words).title() if r.random() < 0.3 else " ".join(words)
+        want = plain_score(text, lexicon)
+        assert abs(own.score(text)[0] - want) < 1e-12, (text, own.score(text), want)
+        seen.add(round(want, 6))
+    assert len(seen) > 40
+
+
+def test_recall_on_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding IS NOT NULL").collect()
+    x = np.array([v.embedding for v in rows], dtype=np.float64)
+    ids, unit = np.array([v.vec_id for v in rows]), x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = annforest.nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("vec_id") % 50 == 0).collect()
+    hit = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = unit @ unit[q]
+        s[q] = -9
+        best = set(ids[np.lexsort((ids, -s))[:5]].tolist())
+        hit += len(best & {g.vec_id for g in got if g.query_id == ids[q]})
+    assert hit / (5 * (ids % 50 == 0).sum()) >= 0.9
+
+
 def test_toxicity_held_out(spark):
     got = entry.op1_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
