@@ -199,3 +199,35 @@ def test_command_line(spark, tmp_path, capsys):
     assert go("outbox", "retry", "nobody") == cli.REFUSED and go("catalog", "follow", "zz") == cli.REFUSED and go("db", "check") == cli.DONE
     with pytest.raises(ValueError):
         go("outbox", "dispatch", "--batch-file", batch, config={"delivery_policy": "often"}, make_sink=lambda: cut)
+
+
+def test_link_scan(spark):
+    from noticeforge.sources import elements, linkscan
+
+    job = "Convocatoria de plazas de informática"
+    page = f"""<html><head><meta name="date" content="2026-10-05"></head><body><header><a href="/p">{job}</a></header><nav class="card"><a href="/q">{job}</a></nav>
+<a href="#top">{job}</a><a href="mailto:a@b">{job}</a><a href=" ">{job}</a>
+<table><tr class="x"><td>{job}</td><td><a href="a/1.html#frag">Ver bases</a> <a href="a/1.html">Otra vez</a></td></tr></table>
+<div class="Views-Row y"><div><span><a href="../b?x=1">{job}</a></span></div></div><div><p>Oposición</p><a href="/c">Programador informático, convocatoria</a></div>
+<ul><li>{job}<a href="/d">Inicio</a></li><li><a href="/e">Conserje</a></li><li>{job} <ul><li><a href="/f">dentro</a></li></ul></li></ul>
+<li>{job} <a href="https://e.org/l/listing">esta</a> <a href="http://[bad">mal</a></li></body></html>"""
+    df = spark.createDataFrame([(1, "https://e.org/l/listing", page, "s"), (2, "https://e.org/l/two", f'<li>{job} <a href="a/1.html">x</a></li>', "s"), (3, "https://e.org/l/x", None, "s"), (4, "https://e.org/l/y", f'<li>{job} <a href="a/1.html">x</a></li>', "t")], "page_id long, url string, html string, source string").repartition(3)
+    got = linkscan.scan(df).collect()
+    assert sorted((r.source, r.url, r.title) for r in got) == [
+        ("s", "https://e.org/b?x=1", job),
+        ("s", "https://e.org/c", "Programador informático, convocatoria"),
+        ("s", "https://e.org/l/a/1.html", "Ver bases"),
+        ("s", "https://e.org/p", job),
+        ("s", "https://e.org/q", job),
+        ("t", "https://e.org/l/a/1.html", "x"),
+    ]
+    by = {(r.source, r.url): r for r in got}
+    assert by["s", "https://e.org/l/a/1.html"].context == f"{job} Ver bases Otra vez" and by["s", "https://e.org/p"].context == "" and by["s", "https://e.org/c"].context == "Oposición Programador informático, convocatoria"
+    assert len({r.external_id for r in got}) == 6 and all(len(r.external_id) == 32 for r in got)
+    links = linkscan.contexts(elements.elements(df, url_col="url")).where("key = 1 AND title = 'dentro'").first()
+    assert links.context == "dentro"  # the nearest item, not the one around it
+    row = lambda *x: spark.createDataFrame([x], "s string, u string, l string").select(linkscan.may_hydrate(F.col("s"), F.col("u"), F.col("l"))).first()[0]
+    assert row("s", "https://E.org/x", "https://e.org/l") and not row("s", "https://o.org/x", "https://e.org/l") and not row("s", "https://e.org/x.DOCX", "https://e.org/l") and not row(linkscan.BLOCKED, "https://e.org/x", "https://e.org/l") and not row("s", None, "https://e.org/l")
+    dated = [(1, page), (2, '<time datetime="bad"></time><time datetime="2026-10-07T10:00"></time><meta name="date" content="2026-10-05">'), (3, "<p>Publicado el día <b>3/10/2026</b></p>"), (4, "<p>nada</p>"), (5, '<meta itemprop="datePublished" content="2026-10-01"><meta property="article:published_time" content="2026-10-02">')]
+    days = linkscan.published(elements.elements(spark.createDataFrame(dated, "page_id long, html string"))).collect()
+    assert {r.key: str(r.published) for r in days} == {1: "2026-10-05", 2: "2026-10-07", 3: "2026-10-03", 4: "None", 5: "2026-10-02"}
