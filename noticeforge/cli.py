@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import date, datetime
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -32,7 +32,13 @@ def parser() -> argparse.ArgumentParser:
     run = commands.add_parser("run")
     run.add_argument("observations", help="Parquet with the engine's observation columns")
     run.add_argument("--reports", help="JSON file: by source, what its reader says of its coverage")
-    run.add_argument("--dry-run", action="store_true")
+    only = run.add_mutually_exclusive_group()
+    only.add_argument("--dry-run", action="store_true", help="collect without publishing, deliver nothing")
+    only.add_argument("--collect-only", action="store_true")
+    only.add_argument("--dispatch-only", action="store_true")
+    run.add_argument("--source", action="append", help="take observations of this source only")
+    run.add_argument("--today", help="the day to judge by")
+    run.add_argument("--limit", type=int, default=20, help="events to send at most")
     run.add_argument("--metrics-file")
     box = commands.add_parser("outbox").add_subparsers(dest="action", required=True)
     box.add_parser("list").add_argument("--status", action="append")
@@ -63,10 +69,18 @@ def main(argv: Sequence[str], spark: SparkSession, make_sink: Callable[[], Calla
         said = json.loads(Path(a.reports).read_text()) if a.reports else {}
         for r in said.values():
             r |= {k: datetime.fromisoformat(r[k]).date() for k in ("covered_through", "failed") if r.get(k)}
-        summary = engine.run(spark.read.parquet(a.observations), now.date(), now, a.dry_run, said)
-        if a.metrics_file:
-            reports.merge_metrics(a.metrics_file, {"collection": reports.collection(summary)})
-        return DONE
+        today = date.fromisoformat(a.today) if a.today else now.date()
+        if not a.dispatch_only:
+            observed = spark.read.parquet(a.observations)
+            if a.source:
+                observed, said = observed.where(observed["source"].isin(a.source)), {s: r for s, r in said.items() if s in a.source}
+            summary = engine.run(observed, today, now, a.dry_run, said)
+            if a.metrics_file:
+                reports.merge_metrics(a.metrics_file, {"collection": reports.collection(summary)})
+        send = None if a.dry_run or a.collect_only else sink(config, make_sink)
+        if send is None:
+            return NO_SINK if a.dispatch_only else DONE
+        return _send(a, engine, engine.claim(a.limit, now), send, config, now)
     if a.command == "db":
         found = {r["check"]: r["n"] for r in engine.check().collect()} if a.action == "check" else engine.stats()
         print(json.dumps(found, indent=2))
@@ -109,6 +123,10 @@ def _outbox(a: argparse.Namespace, engine: Engine, make_sink: Callable, config:
     if (send := sink(config, make_sink)) is None:
         engine.release(ids)
         return NO_SINK
+    return _send(a, engine, ids, send, config, now)
+
+
+def _send(a: argparse.Namespace, engine: Engine, ids: list[str], send: Callable, config: dict, now: datetime) -> int:
     out = {k.lower(): v for k, v in engine.dispatch(ids, send, now, config.get("min_interval_seconds", 1.0)).items()}
     if a.metrics_file:
         reports.merge_metrics(a.metrics_file, {"delivery": out})

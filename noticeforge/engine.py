@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 
 from noticeforge.functions import classify, extract, identity, render, rules, text
 from noticeforge.operators import collect, fold, merge, outbox, resolve, settle, upsert, views
+from noticeforge.sources import official
 from noticeforge.state import TABLES, State
 
 #: Fields of an entity that its events' payloads hold: what messages show, and what dispatch judges again.
 STORED = ("source", "title", "organisation", "locality", "province", "status", "positions", "publication_date", "deadline", "deadline_confirmed", "exam_date", "exam_time", "exam_place", "group", "access", "compatibility", "priority", "qualification", "summary", "special_process")
+#: What a repair may change, and the reference of an official folder (a fixed value).
+REPAIRED = ("organisation", "group", "positions", "access", "compatibility", "publication_date", "deadline", "deadline_confirmed", "status", "snapshot")
+FOLDER_REFERENCE = "MARTOS-CATEGORY-"
 RELATIVE = "struct<days:int,kind:string,starts_after:string>"
 
 #: What an observation has when it comes in.
@@ -210,6 +214,61 @@ class Engine:
     def _payload(*more: Column) -> Column:
         return F.to_json(F.struct(F.col("id").alias("process_id"), *STORED, *more))
 
+    def consolidate(self, source: str, now: datetime) -> int:
+        """Make the entities whose documents share an official folder aliases of one: the folder's owner, else the first seen. Followed aliases pass their follower on."""
+        base = self.state.version()
+        read = lambda t: self.state.read(t, base)
+        urls = read("process_urls").where(F.col("source") == source).withColumn("folder", text.folder_of(F.col("url"))).where("folder IS NOT NULL")
+        docs = urls.join(read("processes").select(F.col("id").alias("process_id"), F.col("first_seen").alias("_seen")), "process_id")
+        docs = docs.select(F.col("process_id").alias("id"), F.col("folder.id").alias("folder_id"), F.col("_seen").alias("first_seen")).distinct()
+        named = F.concat(F.lit(FOLDER_REFERENCE), "folder_id")
+        owners = docs.select("folder_id", "id", named.alias("reference")).join(read("official_references").select("reference", F.col("process_id").alias("id")), ["reference", "id"]).select("folder_id", "id")
+        new = self.state.cut(views.folder_aliases(docs, owners).dropDuplicates(["alias_id"]), "aliases")
+        heads = docs.groupBy("folder_id").agg(F.min_by("id", F.struct("first_seen", "id")).alias("oldest")).join(owners.withColumnRenamed("id", "owner"), "folder_id", "left")
+        stamp = F.lit(now).cast("timestamp")
+        refs = heads.select(named.alias("reference"), F.coalesce("owner", "oldest").alias("process_id"), stamp.alias("first_seen"))
+        passed = read("followed_processes").join(new.withColumnRenamed("process_id", "to"), F.col("process_id") == F.col("alias_id")).select(F.col("to").alias("process_id"), stamp.alias("followed_at")).distinct()
+        aliases = read("process_aliases")
+        out = self.state.commit(
+            {
+                "process_aliases": aliases.join(new, "alias_id", "left_anti").unionByName(new),
+                "official_references": upsert.insert_ignore(read("official_references"), refs, ["reference"], ["process_id"]),
+                "followed_processes": upsert.insert_ignore(read("followed_processes"), passed, ["process_id"], ["followed_at"]),
+            },
+            base,
+        )
+        self.state.forget()
+        return out
+
+    def repair(self, evidence: DataFrame, now: datetime, owner: str = "") -> DataFrame:
+        """Apply fields of captured official pages to the entities that have their addresses, as a new version; the one before stays as it is.
+
+        evidence has url and html. Every page must have the heading of just one entity and
+        an access field, else nothing is done. owner, if given, becomes the organisation.
+        The result is the audit: id, url, before and after (JSON), changed. Repeating a
+        repair changes nothing and publishes no version.
+        """
+        base = self.state.version()
+        processes = self.state.read("processes", base)
+        fields = official.structured(evidence, "url", "html").withColumnsRenamed({"positions": "_positions", "deadline": "_deadline", "state": "milestone_text"})
+        known = self.state.read("process_urls", base).select("url", F.col("process_id").alias("id")).distinct()
+        met = self.state.cut(evidence.select("url").distinct().join(fields, "url", "left").join(known, "url", "left").join(processes, "id", "left"), "evidence")
+        fits = F.coalesce((text.normalize(F.col("heading")) == text.normalize(F.col("title"))) & F.col("access_text").isNotNull(), F.lit(False))
+        wrong = met.groupBy("url").agg(F.count_if(fits).alias("n"), F.count("*").alias("all")).where("n <> 1 OR `all` <> 1")
+        if not wrong.isEmpty():
+            raise ValueError(f"{wrong.count()} pages aren't evidence for one entity, such as {wrong.orderBy('url').first()['url']}")
+        own = met.drop("positions", "deadline").withColumnsRenamed({"_positions": "positions", "_deadline": "deadline"})
+        own = own.withColumns({"organisation": F.lit(owner) if owner else F.col("organisation"), "group": extract.group(F.col("title")), "publication_date": F.lit(None).cast("date"), "deadline_confirmed": F.col("deadline").isNotNull(), "access": classify.access(text.normalize(F.col("access_text"))), "full_text": F.lit(""), "qualification_text": F.coalesce("qualification", F.lit("")), "link_labels": F.lit("")})
+        own = classify.evaluate(own, self.profile)
+        own = own.withColumns({"normalised_organisation": text.normalize(F.col("organisation")), "snapshot": identity.snapshot({k: F.col(k) for k in identity.SNAPSHOT}, F.get_json_object("snapshot", "$.exam_date_provisional").cast("boolean"))})
+        own = own.withColumn("semantic_hash", text.stable_hash(F.col("snapshot")))
+        before = processes.select("id", F.to_json(F.struct(*REPAIRED)).alias("before"))
+        audit = own.withColumn("after", F.to_json(F.struct(*REPAIRED))).join(before, "id").withColumn("changed", F.col("before") != F.col("after"))
+        audit = self.state.cut(audit.withColumn("last_changed", F.when(F.col("changed"), F.lit(now).cast("timestamp")).otherwise(F.col("last_changed"))), "audit")
+        if not audit.where("changed").isEmpty():
+            self.state.commit({"processes": processes.join(audit.select("id"), "id", "left_anti").unionByName(audit.select(*processes.columns))}, base)
+        return audit.select("id", "url", "before", "after", "changed")
+
     # --- delivery ---
 
     def claim(self, n: int, now: datetime) -> list[str]:

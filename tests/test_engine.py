@@ -377,3 +377,35 @@ def test_exam_dates_stop_being_provisional(spark, tmp_path):
     e.run(observed(spark, [{"full_text": "Acceso libre. Requisito: bachiller."}]), TODAY, NOW)
     (p,) = e.state.read("processes").collect()  # a notice without a date keeps both
     assert json.loads(p.snapshot)["exam_date_provisional"] is False and str(p.exam_date) == "2026-12-12"
+
+
+def test_folders_and_repairs(spark, tmp_path):
+    e = Engine(spark, tmp_path.as_uri())
+    folder = "https://www.martos.es/download/12/convocatoria-plaza-informatico"
+    rows = [{"source": "ayuntamiento_martos", "external_id": k, "title": f"Programador informático {w}. Convocatoria", "organisation": o, "url": u} for k, w, o, u in [("a", "alfa", "Ayuntamiento de Martos", "https://e.org/a"), ("b", "beta", "Universidad de Jaén", f"{folder}/b.pdf"), ("c", "gamma", "Diputación de Jaén", f"{folder}/c.pdf")]]
+    e.run(observed(spark, rows), TODAY, NOW)
+    ids = {r.external_id: r.process_id for r in e.state.read("source_items").collect()}
+    field = lambda n, v: f'<div class="field field--name-field-{n}"><div class="field__item">{v}</div></div>'
+    page = lambda h: f"<h1>{h}</h1>" + field("tipo-de-acceso", "Acceso libre y promoción interna") + field("plazas-totales", "12") + field("estado", "Abierto") + '<table><tr><td class="views-field-field-tipo-de-plazo">Presentación de solicitudes de participación</td><td><time datetime="2026-10-01">a</time><time datetime="2026-11-30T00:00">b</time></td></tr></table>'
+    proof = lambda *x: spark.createDataFrame(list(x), "url string, html string")
+    version = e.state.version()
+    for bad in (("https://e.org/a", page("Otra cosa")), ("https://e.org/z", page("x")), ("https://e.org/a", "<h1>Programador informático alfa. Convocatoria</h1>")):
+        with pytest.raises(ValueError):
+            e.repair(proof(bad), NOW)
+    good = proof(("https://e.org/a", page("PROGRAMADOR informático alfa: convocatoria")))
+    (audit,) = e.repair(good, NOW + dt.timedelta(hours=3), "Junta de Andalucía").collect()
+    assert audit.changed and json.loads(audit.before).get("positions") is None and json.loads(audit.after)["positions"] == 12 and e.state.version() == version + 1
+    after = {r.id: r for r in e.state.read("processes").collect()}
+    assert len(after) == 3 and str(after[ids["a"]].deadline) == "2026-11-30" and after[ids["a"]].organisation == "Junta de Andalucía" and after[ids["a"]].access == "MIXTO" and after[ids["a"]].last_changed == NOW + dt.timedelta(hours=3)
+    assert json.loads(after[ids["a"]].snapshot)["positions"] == 12 and e.state.read("processes", version).where("positions = 12").count() == 0
+    (again,) = e.repair(good, NOW + dt.timedelta(hours=9), "Junta de Andalucía").collect()
+    assert not again.changed and e.state.version() == version + 1
+    # Documents of one official folder: the entity seen first stands for all, and takes over who follows.
+    first, second = sorted((ids["b"], ids["c"]))
+    e.follow(second, NOW)
+    e.consolidate("ayuntamiento_martos", NOW)
+    assert [(r.alias_id, r.process_id) for r in e.state.read("process_aliases").collect()] == [(second, first)]
+    assert [(r.reference, r.process_id) for r in e.state.read("official_references").collect()] == [("MARTOS-CATEGORY-12", first)]
+    assert e.is_followed(first) and e.is_followed(second)
+    e.consolidate("ayuntamiento_martos", NOW)
+    assert e.state.read("process_aliases").count() == 1 and all(r.n == 0 for r in e.check().collect())

@@ -231,3 +231,12 @@ def test_link_scan(spark):
     dated = [(1, page), (2, '<time datetime="bad"></time><time datetime="2026-10-07T10:00"></time><meta name="date" content="2026-10-05">'), (3, "<p>Publicado el día <b>3/10/2026</b></p>"), (4, "<p>nada</p>"), (5, '<meta itemprop="datePublished" content="2026-10-01"><meta property="article:published_time" content="2026-10-02">')]
     days = linkscan.published(elements.elements(spark.createDataFrame(dated, "page_id long, html string"))).collect()
     assert {r.key: str(r.published) for r in days} == {1: "2026-10-05", 2: "2026-10-07", 3: "2026-10-03", 4: "None", 5: "2026-10-02"}
+
+
+def test_live_site_or_archive(spark):
+    d = lambda n: dt.date(2026, 10, n)
+    live = spark.createDataFrame([("a", d(10), d(20), None, None), ("b", d(10), d(20), None, d(15)), ("c", d(10), d(20), None, d(10)), *((s, d(10), d(20), "OSError: down", None) for s in "efghi")], "source string, start date, stop date, error string, failed date")
+    archive = spark.createDataFrame([("a", "LAGGING", d(11)), ("e", "CURRENT", d(20)), ("f", "LAGGING", d(18)), ("g", "EMPTY", None), ("h", "PARTIAL", d(14))], "source string, status string, covered_through date")
+    got = {r.source: r for r in official.live_or_archive(live, archive).collect()}
+    assert {s: (r.route, r.covered_through) for s, r in got.items()} == {"a": ("live", d(20)), "b": ("live", d(14)), "c": ("live", None), "e": ("archive", d(20)), "f": ("archive", d(18)), "g": ("archive", None), "h": ("archive", d(14)), "i": ("archive", None)}
+    assert got["a"].warning == got["e"].warning == "" and "2026-10-18; 2026-10-20" in got["f"].warning and "2026-10-10 to 2026-10-20" in got["g"].warning and "2026-10-14" in got["h"].warning and "down" in got["i"].warning and "2026-10-15" in got["b"].warning
