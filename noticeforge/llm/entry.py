@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.sql(), "op11_importance_resampling": resample.sql(), "op12_conversation_repair": repair.sql(), "op13_exact_topk": balltree.sql()}
+    return {"op5_line_dedup": linededup.sql(), "op9_ngram_jaccard_join": jaccard.sql(), "op11_importance_resampling": resample.sql(), "op12_conversation_repair": repair.sql(), "op13_exact_topk": balltree.sql()}
