@@ -79,6 +79,11 @@ def qualification(raw: Column, standalone: Column) -> Column:
     )
 
 
+def evidence_terms(found: Column, most: int = 3) -> Column:
+    """The first terms that were found, as one text."""
+    return F.array_join(F.slice(found, 1, most), ", ")
+
+
 def access(normalized: Column) -> Column:
     is_open = text.contains_any(normalized, rules.OPEN_ACCESS)
     internal = F.contains(normalized, F.lit(rules.INTERNAL_ACCESS)) & ~text.contains_any(normalized, rules.NEGATED_INTERNAL)

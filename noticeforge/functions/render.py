@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 
 #: Characters of a message, changes and links in it. Fixed values.
 MOST_CHARS, MOST_CHANGES, MOST_LINKS = 4096, 6, 5
@@ -50,3 +51,20 @@ def message(kind: str, payload: str) -> str:
             break
         out += ("\n" if out else "") + line
     return out
+
+
+#: Ids that buttons may carry, as a pattern, and the buttons' texts. Fixed values.
+BUTTON_ID = r"[0-9a-f]{32}|[a-f0-9]{8}(?:-[a-f0-9]{4}){3}-[a-f0-9]{12}"
+DETAILS, FOLLOW, OFFICIAL, COPY = "🔎 Ver detalles", "⭐ Seguir", "🔗 Fuente oficial", "📋 Copiar comando"
+
+
+def keyboard(payload: str) -> dict | None:
+    """Buttons of an event's message; None where the payload has no whole id of an entity."""
+    p = json.loads(payload)
+    own = str(p.get("process_id") or "")
+    if not re.fullmatch(BUTTON_ID, own):
+        return None
+    url = next((x["url"] for x in p.get("links") or [] if str(x.get("url", "")).lower().startswith(("http://", "https://"))), "")
+    rows = [{"text": DETAILS, "callback_data": f"d:{own}:a:1"}, {"text": FOLLOW, "callback_data": f"f:{own}:a:1"}]
+    rows += [{"text": OFFICIAL, "url": url}] if url else []
+    return {"inline_keyboard": [[r] for r in (*rows, {"text": COPY, "copy_text": {"text": f"/detalle {own}"}})]}

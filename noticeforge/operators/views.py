@@ -88,6 +88,28 @@ def folder_aliases(docs: DataFrame, owners: DataFrame) -> DataFrame:
     return docs.join(own, "folder_id").where(F.col("id") != F.col("process_id")).select(F.col("id").alias("alias_id"), "process_id")
 
 
+def followed_items(items: DataFrame, followed: DataFrame) -> DataFrame:
+    """source and external_id of items whose own entity is followed, for readers that treat them apart."""
+    return items.join(followed.select("process_id"), "process_id", "left_semi").select("source", "external_id").distinct()
+
+
+def newest_first(df: DataFrame, keys: list[str], day: Column, position: Column) -> DataFrame:
+    """df with place: within keys, newest first; those of a day stay in the order of their positions, those without a day come last."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(day), position)))
+
+
+def records(processes: DataFrame, urls: DataFrame) -> DataFrame:
+    """Entities as the notices they were: with source (of the first address; else "database"), external_id (the entity's), links in the order in which they came, and of what isn't a field the provisional mark alone.
+
+    urls has process_id, source, url, label and first_seen.
+    """
+    links = F.array_sort(F.collect_list(F.struct("first_seen", "source", "url", "label")))
+    own = urls.groupBy(F.col("process_id").alias("id")).agg(links.alias("links"))
+    out = processes.drop("source").join(own, "id", "left").withColumn("links", F.coalesce("links", F.array().cast(own.schema["links"].dataType)))
+    out = out.withColumns({"source": F.coalesce(F.get("links", F.lit(0))["source"], F.lit("database")), "external_id": F.col("id"), "exam_date_provisional": F.get_json_object("snapshot", "$.exam_date_provisional").cast("boolean")})
+    return out.withColumn("links", F.transform("links", lambda x: x.dropFields("first_seen"))).drop("snapshot", "semantic_hash")
+
+
 def outcome(attempted: Column, errors: Column, warnings: Column) -> Column:
     return F.when(attempted == 0, "MISSING").when(errors >= attempted, "NO_SOURCES").when((errors > 0) | (warnings > 0), "PARTIAL").otherwise("OK")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeforge.functions import classify, identity, rules, text
 from noticeforge.operators import merge, outbox, resolve, scratch, settle, views
-from noticeforge.plans.registry import TODAY, TODAY_SQL, n_, query, read
+from noticeforge.plans.registry import TODAY, TODAY_SQL, dealt, n_, query, read
 from noticeforge.sources import bulletin
 
 _DAY = "CAST(o_orderdate AS DATE)"
@@ -168,6 +168,41 @@ def key_resolution(spark, sf_dir):
     return resolve.by_key(new, old, items)
 
 
+# --- records, followed items, orders -------------------------------------------------
+
+
+@query("SELECT DISTINCT 's' || CAST(o_custkey % 3 AS VARCHAR) AS source, CAST(o_orderkey AS VARCHAR) AS external_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def followed_items(spark, sf_dir):
+    o, k = read(spark, sf_dir, "orders"), F.col("o_custkey")
+    items = o.select(F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.col("o_orderkey").cast("string").alias("external_id"), k.alias("process_id"))
+    return views.followed_items(items, read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("process_id")))
+
+
+@query(f"SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 5 > 0 THEN {_DAY} END DESC NULLS LAST, o_orderkey) AS INTEGER) AS place FROM orders")
+def newest_first(spark, sf_dir):
+    return views.newest_first(_orders(spark, sf_dir), ["o_custkey"], F.when(F.col("k") % 5 > 0, F.col("day")), F.col("k")).select("o_orderkey", "place")
+
+
+@query(f"""WITH u AS (SELECT l_orderkey AS id, list(struct_pack(f := {_SEQ}, s := 's' || CAST(l_suppkey % 3 AS VARCHAR), u := 'u' || CAST(l_partkey AS VARCHAR)) ORDER BY {_SEQ}, l_suppkey % 3) AS x FROM lineitem WHERE l_returnflag <> 'N' GROUP BY l_orderkey)
+SELECT o_orderkey AS external_id, coalesce(x[1].s, 'database') AS source, coalesce(array_to_string(list_transform(x, lambda l: l.s || '>' || l.u), ' '), '') AS links, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS exam_date_provisional FROM orders LEFT JOIN u ON id = o_orderkey""")
+def entity_records(spark, sf_dir):
+    """Orders as entities, with lines as their addresses: back to notices with links in order and the provisional mark."""
+    k = F.col("o_orderkey")
+    p = read(spark, sf_dir, "orders").select(k.alias("id"), F.lit("x").alias("source"), F.when(k % 3 == 0, '{"exam_date_provisional":true}').when(k % 3 == 1, '{"exam_date_provisional":false}').otherwise("{}").alias("snapshot"), F.lit("").alias("semantic_hash"))
+    u = read(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("process_id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("source"), F.concat(F.lit("u"), F.col("l_partkey").cast("string")).alias("url"), F.lit("").alias("label"), F.expr(_SEQ).alias("first_seen"))
+    out = views.records(p, u)
+    return out.select("external_id", "source", F.array_join(F.transform("links", lambda x: F.concat(x["source"], F.lit(">"), x["url"])), " ").alias("links"), "exam_date_provisional")
+
+
+_TERMS = ("th", "an", "on", "re", "ch")
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f"{chr(39)}{t}{chr(39)}" for t in _TERMS)}], lambda t: contains({n_('text')}, t))[1:3], ', ') AS terms FROM documents")
+def evidence_terms(spark, sf_dir):
+    n = dealt(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.normalize(F.col("text")).alias("n"))
+    return n.select("doc_id", classify.evidence_terms(text.hits(F.col("n"), _TERMS)).alias("terms"))
+
+
 # --- identity within a run -----------------------------------------------------------
 
 _K = "CAST(l_orderkey AS VARCHAR)"

@@ -131,3 +131,14 @@ def test_render_and_redact(spark):
     url = "https://www.martos.es/download/12/convocatoria-plaza-informatico%20x/y.pdf"
     got = values(spark, [(url, 0), ("https://example.org/download/12/convocatoria-plaza-informatic/y", 0), (None, 0)], text.folder_of)
     assert (got[0].id, got[0].title) == ("12", "Convocatoria plaza informatico x") and got[1] is None and got[2] is None
+
+
+def test_keyboard():
+    import json
+
+    from noticeforge.functions import render
+
+    own = "0123abcd-0000-1111-2222-0123456789ab"
+    rows = render.keyboard(json.dumps({"process_id": own, "links": [{"url": "javascript:x"}, {"url": "https://e.org/a"}]}))["inline_keyboard"]
+    assert [r[0]["text"] for r in rows] == [render.DETAILS, render.FOLLOW, render.OFFICIAL, render.COPY] and rows[2][0]["url"] == "https://e.org/a" and rows[0][0]["callback_data"] == f"d:{own}:a:1"
+    assert len(render.keyboard(json.dumps({"process_id": "a" * 32}))["inline_keyboard"]) == 3 and render.keyboard(json.dumps({"process_id": "zz"})) is None and render.keyboard("{}") is None
