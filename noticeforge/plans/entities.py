@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeforge.functions import classify, identity, rules, text
+from noticeforge.functions import classify, extract, identity, rules, text
 from noticeforge.operators import merge, outbox, resolve, scratch, settle, views
 from noticeforge.plans.registry import TODAY, TODAY_SQL, dealt, n_, query, read
 from noticeforge.sources import bulletin
@@ -263,3 +263,39 @@ def bulletin_edicts(spark, sf_dir):
     whole = F.concat(F.transform("rows", lambda r: r["entry"]), F.filter(F.transform("rows", lambda r: r["body"]), lambda b: b.isNotNull()))
     out = bulletin.read(rows.select("bulletin", F.array_join(whole, "\n").alias("text")), "bulletin", "text")
     return out.withColumn("body", F.when(F.col("body").isNotNull(), F.md5(text.normalize(F.col("body")).cast("binary"))))
+
+
+# --- dates in varied sentences -------------------------------------------------------
+
+_DAYS = ("10", "quince", "veinte", "45")
+_PAPERS = ("Boletín Oficial del Estado", "BOJA", "Boletín Oficial de la Provincia", "tablón")
+
+
+@query(f"""WITH k AS (SELECT o_orderkey, o_orderkey % 5 AS a, (o_orderkey // 5) % 4 AS b, o_custkey % 4 AS c, {_DAY} AS day FROM orders)
+SELECT o_orderkey, CASE WHEN a < 3 THEN day END AS deadline, a < 3 AS confirmed, CASE WHEN a = 3 THEN [10, 15, 20, 45][c + 1] END AS days, CASE WHEN a = 3 THEN CASE WHEN c % 2 = 0 THEN 'habiles' ELSE 'naturales' END END AS kind,
+  CASE WHEN a = 3 THEN ['BOE', 'BOJA', 'BOP', ''][c + 1] END AS starts_after, CASE WHEN b <> 2 THEN day + 30 END AS exam_date, CASE b WHEN 0 THEN '0' || (c + 8 - 2 * (c // 2)) || ':05' WHEN 1 THEN '17:30' END AS exam_time,
+  CASE b WHEN 0 THEN 'Palacio ' || c WHEN 1 THEN 'aula B-' || c ELSE '' END AS exam_place, b = 1 AS provisional FROM k""")
+def varied_dates(spark, sf_dir):
+    """Deadlines, periods and examinations of sentences whose wording, order and dates follow from the keys; some have none."""
+    k, a = F.col("k"), F.col("k") % 5
+    o, b, c = _orders(spark, sf_dir), F.expr("(o_orderkey div 5) % 4"), F.col("o_custkey") % 4
+    day, short, exam = F.date_format("day", "dd/MM/yyyy"), F.date_format("day", "d-M-yyyy"), F.date_format(F.date_add("day", 30), "d/M/yyyy")
+    said = (
+        F.when(a == 0, F.concat(F.lit("Plazo de presentación abierto hasta el "), day, F.lit(". ")))
+        .when(a == 1, F.concat(F.lit("Presentación de solicitudes del 1/2/1990 al "), day, F.lit(". ")))
+        .when(a == 2, F.concat(F.lit("FIN DEL PLAZO: "), short, F.lit("\n")))
+        .when(a == 3, F.concat(F.lit("El plazo será de "), _pick(c, _DAYS), F.when(c % 2 == 0, " días hábiles").otherwise(" DIAS NATURALES"), F.lit(" desde el siguiente al de su publicación en el "), _pick(c, _PAPERS), F.lit(". ")))
+        .otherwise("Bases de la convocatoria. ")
+    )
+    hour = (c + 8 - 2 * F.floor(c / 2)).cast("string")
+    tested = (
+        F.when(b == 0, F.concat(F.lit("Fecha del examen: "), exam, F.lit(", a las "), hour, F.lit(":05. Sede: Palacio "), c.cast("string"), F.lit(".")))
+        .when(b == 1, F.concat(F.lit("El ejercicio se celebrará el "), exam, F.lit(" (fecha prevista), hora 17.30, aula B-"), c.cast("string"), F.lit(".")))
+        .when(b == 3, F.concat(F.lit("La prueba será el "), exam, F.lit(".")))
+        .otherwise("Resolución de 01/01/2020. Otros trámites.")
+    )
+    # In a part of the rows the examination comes first.
+    t = F.when(k % 7 == 0, F.concat(tested, F.lit("\n"), said)).otherwise(F.concat(said, tested))
+    d, r = extract.deadline(t), extract.relative_deadline(t)
+    own = {"deadline": d["date"], "confirmed": d["confirmed"], "days": r["days"], "kind": r["kind"], "starts_after": r["starts_after"], "exam_date": extract.exam_date(t), "exam_time": extract.exam_time(t), "exam_place": F.coalesce(extract.exam_place(t), F.lit("")), "provisional": extract.exam_is_provisional(t)}
+    return o.select("o_orderkey", *(v.alias(n) for n, v in own.items()))
