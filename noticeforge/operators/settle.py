@@ -87,11 +87,6 @@ def blocks(notices: DataFrame, entities: DataFrame, cut: Callable[[DataFrame, st
     return with_block(notices), with_block(entities)
 
 
-@lru_cache(maxsize=1 << 16)
-def _alike(a: str, b: str) -> bool:
-    return identity.token_set_similarity(a, b) / 100 >= resolve.LEAST_SCORE
-
-
 @lru_cache(maxsize=1 << 16)
 def _score(a: str, b: str) -> float:
     return identity.token_set_similarity(a, b) / 100
@@ -141,7 +136,7 @@ class Block:
             return min(hits, key=lambda i: self.entities[i]["born"]), "reference"
         for r in n["cited"]:
             hit = self.by_reference.get(r)
-            if hit and _fits(n, self.entities[hit]) and _alike(n["signature"], self.entities[hit]["signature"]):
+            if hit and _fits(n, self.entities[hit]) and _score(n["signature"], self.entities[hit]["signature"]) >= resolve.LEAST_SCORE:
                 return hit, "citation"
         hit = self.by_key.get(n["canonical_key"])
         if hit and not self._apart(n, self.entities[hit]):
