@@ -12,11 +12,17 @@ ANY_CASE = "(?iu)"
 
 def context(x: Column, pattern: str, before: int, after: int) -> Column:
     """Cleaned window around the first match, without regard to case."""
-    p = F.lit(ANY_CASE + f"(?:{pattern})")
-    at, match = F.regexp_instr(x, p), F.regexp_substr(x, p)
-    start = F.greatest(at - 1 - before, F.lit(0))
-    stop = F.least(F.length(x), at - 1 + F.length(match) + after)
-    return F.when(at > 0, text.clean(F.substring(x, start + 1, stop - start))).otherwise("")
+    return text.once(x, lambda x: text.clean(_window(x, ANY_CASE + f"(?:{pattern})", before, after)))
+
+
+def _window(x: Column, pattern: str, before: int, after: int) -> Column:
+    """The first match with so many characters before and after it; null if there is none."""
+
+    def around(at: Column) -> Column:
+        start = F.greatest(at - 1 - before, F.lit(0))
+        return F.when(at > 0, F.substring(x, start + 1, at - 1 + F.length(F.regexp_extract(x, pattern, 0)) + after - start))
+
+    return text.once(F.regexp_instr(x, F.lit(pattern)), around)
 
 
 def qualification(x: Column) -> Column:
@@ -24,16 +30,18 @@ def qualification(x: Column) -> Column:
 
 
 def group(x: Column) -> Column:
-    n = text.normalize(x)
-    named, corps = F.regexp_extract(n, rules.GROUP, 1), F.regexp_extract(n, rules.CORPS, 1)
-    return F.when(named != "", F.upper(named)).when(F.startswith(corps, F.lit("b")), "B").otherwise(F.upper(corps))
+    corps = lambda c: F.when(F.startswith(c, F.lit("b")), "B").otherwise(F.upper(c))
+    return text.once(text.normalize(x), lambda n: F.coalesce(F.upper(text.some(F.regexp_extract(n, rules.GROUP, 1))), text.once(F.regexp_extract(n, rules.CORPS, 1), corps)))
 
 
 def positions(x: Column) -> Column:
-    n = text.normalize(x)
-    a, b, c = (F.nullif(F.regexp_extract(n, p, 1), F.lit("")) for p in rules.POSITIONS)
     words = F.create_map(*(F.lit(v) for kv in rules.NUMBER_WORDS.items() for v in kv))
-    return F.coalesce(a.cast("int"), b.cast("int"), F.try_element_at(words, c))
+
+    def found(n: Column) -> Column:
+        a, b, c = (text.some(F.regexp_extract(n, p, 1)) for p in rules.POSITIONS)
+        return F.coalesce(a.cast("int"), b.cast("int"), F.try_element_at(words, c))
+
+    return text.once(text.normalize(x), found)
 
 
 def _first_clean(x: Column, pattern: str) -> Column:
@@ -41,22 +49,28 @@ def _first_clean(x: Column, pattern: str) -> Column:
     whole = F.regexp_extract_all(x, F.lit(ANY_CASE + f"({pattern})"), F.lit(1))
     date = r"(\d{1,2}[/-]\d{1,2}[/-]\d{4})$"
     fine = F.filter(whole, lambda m: ~F.regexp_replace(m, date, "").rlike(ANY_CASE + rules.ACT_DATES))
-    return F.nullif(F.regexp_extract(F.get(fine, 0), date, 1), F.lit(""))
+    return text.some(F.regexp_extract(F.get(fine, 0), date, 1))
 
 
 def deadline(x: Column) -> Column:
     """Struct (date, confirmed)."""
-    c = text.clean(x)
-    span = F.nullif(F.regexp_extract(c, ANY_CASE + rules.DEADLINE_RANGE, 2), F.lit(""))
-    found = F.coalesce(span, *(_first_clean(c, p) for p in rules.DEADLINES))
-    return F.struct(text.parse_date(found).alias("date"), found.isNotNull().alias("confirmed"))
+
+    def found(c: Column) -> Column:
+        return F.coalesce(text.some(F.regexp_extract(c, ANY_CASE + rules.DEADLINE_RANGE, 2)), *(_first_clean(c, p) for p in rules.DEADLINES))
+
+    return text.once(text.once(text.clean(x), found), lambda d: F.struct(text.parse_date(d).alias("date"), d.isNotNull().alias("confirmed")))
 
 
 def relative_deadline(x: Column) -> Column:
     """Struct (days, kind, starts_after, text) of a period that runs from a publication, or null."""
-    c = text.clean(x)
-    p = ANY_CASE + rules.RELATIVE_DEADLINE
-    number, kind, tail = (F.regexp_extract(c, p, k) for k in (1, 2, 3))
+    # The pattern finds the same parts in its own match, which is short.
+    match = text.some(F.regexp_extract(text.clean(x), ANY_CASE + rules.RELATIVE_DEADLINE, 0))
+    parts = lambda m: F.when(m.isNotNull(), F.array(m, *(F.regexp_extract(m, ANY_CASE + rules.RELATIVE_DEADLINE, k) for k in (1, 2, 3))))
+    return text.once(text.once(match, parts), _period)
+
+
+def _period(parts: Column) -> Column:
+    match, number, kind, tail = (F.get(parts, k) for k in range(4))
     words = F.create_map(*(F.lit(v) for kv in rules.DAY_WORDS.items() for v in kv))
     days = F.coalesce(F.expr("null").cast("int"), F.try_element_at(words, F.lower(number)), F.nullif(F.regexp_extract(number, r"^(\d+)$", 1), F.lit("")).cast("int"))
     after = (
@@ -69,7 +83,7 @@ def relative_deadline(x: Column) -> Column:
         days.alias("days"),
         F.when(F.startswith(F.lower(kind), F.lit("h")), "habiles").otherwise("naturales").alias("kind"),
         after.alias("starts_after"),
-        F.substring(text.clean(F.regexp_extract(c, p, 0)), 1, 300).alias("text"),
+        F.substring(text.clean(match), 1, 300).alias("text"),
     )
     return F.when((number != "") & tail.rlike(ANY_CASE + "publicaci[oó]n|siguiente") & (days > 0), found)
 
@@ -79,11 +93,7 @@ def exam_date(x: Column) -> Column:
 
 
 def _near_exam(x: Column, before: int, after: int) -> Column:
-    x = text.text(x)
-    p = F.lit(ANY_CASE + f"(?:{rules.EXAM})")
-    at, n = F.regexp_instr(x, p), F.length(F.regexp_substr(x, p))
-    start = F.greatest(at - 1 - before, F.lit(0))
-    return F.when(at > 0, F.substring(x, start + 1, at - 1 + n + after - start))
+    return text.once(text.text(x), lambda x: _window(x, ANY_CASE + f"(?:{rules.EXAM})", before, after))
 
 
 def exam_is_provisional(x: Column) -> Column:
@@ -91,17 +101,23 @@ def exam_is_provisional(x: Column) -> Column:
 
 
 def exam_time(x: Column) -> Column:
-    near = _near_exam(x, 100, 500)
     first, second = rules.EXAM_TIMES
     first = ANY_CASE + first
-    pick = lambda k: F.when(near.rlike(first), F.regexp_extract(near, first, k)).when(near.rlike(second), F.regexp_extract(near, second, k))
-    return F.concat(F.lpad(pick(1), 2, "0"), F.lit(":"), pick(2))
+
+    def said(near: Column) -> Column:
+        told = lambda p: F.concat(F.lpad(F.regexp_extract(near, p, 1), 2, "0"), F.lit(":"), F.regexp_extract(near, p, 2))
+        return F.when(near.rlike(first), told(first)).when(near.rlike(second), told(second))
+
+    return text.once(_near_exam(x, 100, 500), said)
 
 
 def exam_place(x: Column) -> Column:
-    near = text.clean(_near_exam(x, 100, 500))
-    named, room = (text.clean(F.regexp_extract(near, ANY_CASE + p, 1)) for p in rules.EXAM_PLACES)
-    return F.when(near.rlike(ANY_CASE + rules.EXAM_PLACES[0]), named).otherwise(room)
+
+    def said(near: Column) -> Column:
+        named, room = (text.clean(F.regexp_extract(near, ANY_CASE + p, 1)) for p in rules.EXAM_PLACES)
+        return F.when(near.rlike(ANY_CASE + rules.EXAM_PLACES[0]), named).otherwise(room)
+
+    return text.once(text.clean(_near_exam(x, 100, 500)), said)
 
 
 def references(x: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -30,6 +31,16 @@ def text(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, where x is computed once for a row, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def some(x: Column) -> Column:
+    """x, or null where it is empty."""
+    return once(x, lambda x: F.when(x != "", x))
+
+
 def fold(x: Column) -> Column:
     """Without accents, for Latin letters and their compatibility forms; null becomes empty. Texts of one byte a character have none."""
     return F.when(F.octet_length(text(x)) == F.length(text(x)), text(x)).otherwise(F.translate(text(x), *_fold_table()))
@@ -55,12 +66,16 @@ def extract_year(x: Column) -> Column:
 
 def parse_date(x: Column) -> Column:
     """Date in one of the known formats, else the first d/m/yyyy inside the text; invalid ones are null."""
-    c = clean(x)
-    # Day and month may have one digit; the session must not throw on what doesn't parse.
-    known = [F.try_to_date(c, f) for f in ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy")]
+    return once(clean(x), _date_of)
+
+
+def _date_of(c: Column) -> Column:
+    # Day and month may have one digit; the session must not throw on what doesn't parse. A failed attempt is dear, so only texts that may have a format try it.
+    may = {"yyyy-M-d": c.rlike(r"^[+-]?\d{4}"), "d/M/yyyy": F.contains(c, F.lit("/")), "d-M-yyyy": F.contains(c, F.lit("-"))}
+    known = [F.when(fits, F.try_to_date(c, f)) for f, fits in may.items()]
     compact = F.when(c.rlike(r"^\d{8}$"), F.try_to_date(c, "yyyyMMdd"))
     stamp = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(Z|[+-]\d{2}:?\d{2})$"), F.try_to_date(F.substring_index(c, "T", 1), "yyyy-M-d"))
-    inside = F.regexp_extract(c, r"(\d{1,2}[/-]\d{1,2}[/-]\d{4})", 1)
+    inside = some(F.regexp_extract(c, r"(\d{1,2}[/-]\d{1,2}[/-]\d{4})", 1))
     return F.coalesce(*known, compact, stamp, F.try_to_date(F.regexp_replace(inside, "-", "/"), "d/M/yyyy"))
 
 

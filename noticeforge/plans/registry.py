@@ -166,8 +166,9 @@ def extract_dates(spark, sf_dir):
     o = observations(spark, sf_dir)
     day = F.date_format("publication_date", "dd/MM/yyyy")
     t = F.concat(F.lit("Plazo de presentación hasta el "), day, F.lit(". El examen se celebrará el "), day, F.lit(" a las 9:30 en lugar: Aula Magna. Resolución de 01/01/2020."))
-    d = extract.deadline(t)
-    return o.select("seq", d["date"].alias("deadline"), d["confirmed"].alias("confirmed"), extract.exam_date(t).alias("exam_date"), extract.exam_time(t).alias("exam_time"), extract.exam_place(t).alias("exam_place"), extract.exam_is_provisional(t).alias("provisional"))
+    o = o.select("seq", t.alias("t")).withColumn("d", extract.deadline(F.col("t")))
+    t = F.col("t")
+    return o.select("seq", F.col("d.date").alias("deadline"), F.col("d.confirmed").alias("confirmed"), extract.exam_date(t).alias("exam_date"), extract.exam_time(t).alias("exam_time"), extract.exam_place(t).alias("exam_place"), extract.exam_is_provisional(t).alias("provisional"))
 
 
 # --- classification --------------------------------------------------------------

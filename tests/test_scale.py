@@ -33,3 +33,19 @@ def test_a_cut_leaves_no_shuffle_files(spark, package):
     before = shuffles(spark)
     scratch_tables.cut(spark.range(1000).repartition(7, "id"), "dealt")
     assert shuffles(spark) <= before
+
+
+def test_extract_dates_looks_for_a_deadline_once(spark):
+    assert plan(registry.extract_dates(spark, DATA)).count("fin(?:al)?") == 1
+
+
+def test_dates_whose_formats_are_told_by_their_marks(spark):
+    cases = {"2020-1-2": "2020-01-02", "2/1/2020": "2020-01-02", "02-01-2020": "2020-01-02", "20200102": "2020-01-02", "2020-01-02T10:00:00Z": "2020-01-02", "el 2-1-2020 a las 9": "2020-01-02", "31/02/2020": None, "": None, None: None, "/": None, "-": None, "2020-13-01": None, "+2020": None}
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, x string").select("k", text.parse_date(F.col("x")).cast("string").alias("d")).collect()
+    assert [r["d"] for r in sorted(rows)] == list(cases.values())
+
+
+def test_periods_are_read_from_their_own_match(spark):
+    cases = {"El plazo será de veinte días hábiles desde el siguiente al de su publicación en el BOJA. Otro plazo de 10 días naturales": (20, "habiles", "BOJA"), "plazo: 5 días naturales" + " publicación" * 40: (5, "naturales", ""), "plazo de 10 días hábiles.": None, "": None, None: None}
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, x string").select("k", extract.relative_deadline(F.col("x")).alias("r")).collect()
+    assert [r["r"] and (r["r"]["days"], r["r"]["kind"], r["r"]["starts_after"]) for r in sorted(rows)] == list(cases.values())
