@@ -127,11 +127,7 @@ def references(x: Column) -> Column:
 
 
 def signal_excerpt(x: Column, before: int = 120, after: int = 260) -> Column:
-    n = text.normalize(x)
-    p = F.lit(rules.IT_SIGNAL)
-    at = F.regexp_instr(n, p)
-    start = F.greatest(at - 1 - before, F.lit(0))
-    return F.when(at > 0, F.trim(F.substring(n, start + 1, at - 1 + F.length(F.regexp_substr(n, p)) + after - start))).otherwise("")
+    return text.once(text.normalize(x), lambda n: F.coalesce(F.trim(_window(n, rules.IT_SIGNAL, before, after)), F.lit("")))
 
 
 def label_field(x: Column, label: str, labels) -> Column:
