@@ -278,7 +278,7 @@ SELECT o_orderkey, CASE WHEN a < 3 THEN day END AS deadline, a < 3 AS confirmed,
 def varied_dates(spark, sf_dir):
     """Deadlines, periods and examinations of sentences whose wording, order and dates follow from the keys; some have none."""
     k, a = F.col("k"), F.col("k") % 5
-    o, b, c = _orders(spark, sf_dir), F.expr("(o_orderkey div 5) % 4"), F.col("o_custkey") % 4
+    o, b, c = dealt(_orders(spark, sf_dir)), F.expr("(o_orderkey div 5) % 4"), F.col("o_custkey") % 4
     day, short, exam = F.date_format("day", "dd/MM/yyyy"), F.date_format("day", "d-M-yyyy"), F.date_format(F.date_add("day", 30), "d/M/yyyy")
     said = (
         F.when(a == 0, F.concat(F.lit("Plazo de presentación abierto hasta el "), day, F.lit(". ")))
@@ -296,6 +296,9 @@ def varied_dates(spark, sf_dir):
     )
     # In a part of the rows the examination comes first.
     t = F.when(k % 7 == 0, F.concat(tested, F.lit("\n"), said)).otherwise(F.concat(said, tested))
-    d, r = extract.deadline(t), extract.relative_deadline(t)
+    o = o.select("o_orderkey", t.alias("t"))
+    t = F.col("t")
+    o = o.withColumns({"d": extract.deadline(t), "r": extract.relative_deadline(t)})
+    d, r = F.col("d"), F.col("r")
     own = {"deadline": d["date"], "confirmed": d["confirmed"], "days": r["days"], "kind": r["kind"], "starts_after": r["starts_after"], "exam_date": extract.exam_date(t), "exam_time": extract.exam_time(t), "exam_place": F.coalesce(extract.exam_place(t), F.lit("")), "provisional": extract.exam_is_provisional(t)}
     return o.select("o_orderkey", *(v.alias(n) for n, v in own.items()))
