@@ -60,7 +60,11 @@ def relevance(role: Column, position: Column, whole: Column, region_it: Column)
 def qualification(raw: Column, standalone: Column) -> Column:
     """COMPATIBLE, REVISAR or NO_COMPATIBLE, by the sentences that state requirements."""
     sentences = F.transform(F.split(text.text(raw), r"[.;\n]", -1), text.normalize)
-    required = F.filter(sentences, lambda s: text.contains_any(s, rules.MANDATORY_MARKERS))
+    required = lambda s: F.filter(s, lambda s: text.contains_any(s, rules.MANDATORY_MARKERS))
+    return text.once(sentences, lambda s: text.once(required(s), lambda r: _judged(s, r, standalone)))
+
+
+def _judged(sentences: Column, required: Column, standalone: Column) -> Column:
     accepted = lambda s: text.contains_any(s, rules.ACCEPTED_QUALIFICATIONS)
     university = lambda s: text.contains_any(s, rules.UNIVERSITY_TERMS)
     either = lambda s: text.contains_any(s, rules.ALTERNATIVE_MARKERS)
@@ -69,12 +73,12 @@ def qualification(raw: Column, standalone: Column) -> Column:
     some_university = F.exists(required, lambda s: university(s) & ~accepted(s))
     evidence = F.array_join(F.filter(sentences, lambda s: ~text.contains_any(s, rules.MERIT_MARKERS)), " ")
     return (
-        F.when(text.normalize(raw) == "", rules.REVIEW)
+        F.when(~F.exists(sentences, lambda s: s != ""), rules.REVIEW)
         .when(some_accepted & some_university, rules.REVIEW)
         .when(some_accepted, rules.COMPATIBLE)
         .when(some_mixed, rules.REVIEW)
         .when(some_university, rules.NOT_COMPATIBLE)
-        .when(standalone & accepted(evidence), rules.COMPATIBLE)
+        .when(standalone & text.once(evidence, accepted), rules.COMPATIBLE)
         .otherwise(rules.REVIEW)
     )
 
@@ -99,7 +103,7 @@ def status(normalized: Column) -> Column:
 
 def in_area(special: Column, whole: Column, province: Column, locality: Column, profile: Profile) -> Column:
     places = [*profile.priority_places, *profile.nearby_places]
-    own = text.normalize(F.concat_ws(" ", province, locality, whole))
+    own = F.trim(F.concat_ws(" ", text.normalize(F.concat_ws(" ", province, locality)), whole))
     return F.coalesce(special.isin("TAI_ESTADO", "JUNTA_INFORMATICA"), F.lit(False)) | text.contains_any(whole, places) | F.contains(own, F.lit(profile.province))
 
 
@@ -117,31 +121,38 @@ def priority(special: Column, whole: Column, profile: Profile) -> Column:
 OBSERVED = ("source", "title", "organisation", "summary", "full_text", "locality", "province", "group", "qualification_text", "access", "special_process", "milestone_text", "link_labels")
 
 
+#: Those of them that are normalised.
+TEXTS = ("title", "organisation", "summary", "full_text", "locality", "province", "group", "qualification_text")
+
+
 def evaluate(df: DataFrame, profile: Profile) -> DataFrame:
     """df with special_process, access, compatibility, status, priority and decision (include, relevant, in_area, reviewable, reason).
 
     Reviewable is what would be included if the gates that later documents can still meet were off: those of the
-    qualification, and that of the group where the group isn't known. The text columns are normalised once, in columns
-    of their own, and dropped again.
+    qualification, and that of the group where the group isn't known. Each text column is normalised once, in a column
+    of its own; what joins several is made of these. All are dropped again.
     """
+    df = df.withColumns({f"_n_{c}": text.normalize(F.col(c)) for c in TEXTS})
+    joined = lambda *names: F.concat_ws(" ", *(F.nullif(f"_n_{c}", F.lit("")) for c in names))
     df = df.withColumns(
         {
-            "_whole_raw": text.searchable("title", "organisation", "summary", "full_text", "locality", "province", "qualification_text"),
-            "_role": text.normalize(F.col("title")),
-            "_org": text.normalize(F.col("organisation")),
-            "_pos": text.normalize(text.searchable("title", "summary", "group", "qualification_text")),
+            "_role": F.col("_n_title"),
+            "_org": F.col("_n_organisation"),
+            "_pos": joined("title", "summary", "group", "qualification_text"),
+            "_whole": joined("title", "organisation", "summary", "full_text", "locality", "province", "qualification_text"),
         }
-    )
-    df = df.withColumns({"_whole": text.normalize(F.col("_whole_raw")), "_region": is_region_it(F.col("source"), F.col("_org"), F.col("_pos"))})
+    ).drop(*(f"_n_{c}" for c in TEXTS))
+    own = F.col("milestone_text")
+    said = F.when(own != "", text.normalize(own)).otherwise(F.trim(F.concat_ws(" ", "_whole", text.normalize(F.col("link_labels")))))
+    df = df.withColumns({"_region": is_region_it(F.col("source"), F.col("_org"), F.col("_pos")), "_said": said})
     special = F.when(F.lit(profile.special_state) & is_state_it(F.col("_pos")), "TAI_ESTADO").when(F.lit(profile.special_region) & F.col("_region"), "JUNTA_INFORMATICA").otherwise(F.col("special_process"))
     judged = F.concat_ws("\n", F.nullif("qualification_text", F.lit("")), F.nullif("full_text", F.lit("")))
-    milestone = F.coalesce(F.nullif("milestone_text", F.lit("")), F.concat_ws(" ", "_whole_raw", "link_labels"))
     df = df.withColumns(
         {
             "special_process": special,
             "access": F.when(F.coalesce("access", F.lit(rules.UNKNOWN_ACCESS)) == rules.UNKNOWN_ACCESS, access(F.col("_whole"))).otherwise(F.col("access")),
             "_evidence": qualification(judged, text.text(F.col("qualification_text")) != ""),
-            "status": status(text.normalize(milestone)),
+            "status": status(F.col("_said")),
             "_relevant": relevance(F.col("_role"), F.col("_pos"), F.col("_whole"), F.col("_region")),
         }
     )
@@ -171,7 +182,7 @@ def evaluate(df: DataFrame, profile: Profile) -> DataFrame:
     include, review = core & gates, core & ~wrong[1][0] & ((text.text(F.col("group")) == "") | ~wrong[2][0])
     reason = F.concat_ws("; ", *(F.when(c, r) for c, r in (*wrong, *noted)))
     decision = F.struct(include.alias("include"), F.col("_relevant").alias("relevant"), F.col("_area").alias("in_area"), review.alias("reviewable"), F.when(reason == "", "compatible o requiere revision").otherwise(reason).alias("reason"))
-    return df.withColumn("decision", decision).drop("_whole_raw", "_role", "_org", "_pos", "_whole", "_region", "_evidence", "_relevant", "_area")
+    return df.withColumn("decision", decision).drop("_role", "_org", "_pos", "_whole", "_region", "_said", "_evidence", "_relevant", "_area")
 
 
 def can_apply(status_: Column, access_: Column, confirmed: Column, deadline: Column, published: Column, today: Column) -> Column:
