@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticeforge.functions import classify, extract, identity, rules, text
-from noticeforge.operators import collect, merge, outbox, resolve, upsert, views
+from noticeforge.operators import collect, merge, outbox, resolve, scratch, upsert, views
 from noticeforge.plans.observations import SELECT, observations
 from noticeforge.sources import html, splitter
 
@@ -275,7 +275,8 @@ def canonical_group(spark, sf_dir):
 def conflict_anti(spark, sf_dir):
     o = observations(spark, sf_dir)
     key = identity.canonical_key(F.col("organisation"), F.col("title"), F.col("publication_date"), F.lit(rules.UNKNOWN_ACCESS), F.col("group"))
-    keyed = o.select("seq", "source", key.alias("canonical_key"))
+    # Rows meet the spans of the same rows: their keys are made once.
+    keyed = scratch.cut(o.select("seq", "source", key.alias("canonical_key")), "keyed")
     rows = keyed.select("seq", "source", F.col("seq").alias("external_id"), F.col("canonical_key").alias("process_id"))
     return resolve.without_conflict(rows, rows.select("source", "external_id", "process_id")).select("seq")
 
