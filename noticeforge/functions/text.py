@@ -128,7 +128,7 @@ def contains_any(x: Column, needles) -> Column:
 
 def hits(x: Column, needles) -> Column:
     """The needles that occur, in their order."""
-    return F.filter(F.array(*map(F.lit, needles)), lambda n: F.contains(x, n))
+    return once(x, lambda x: F.filter(F.array(*map(F.lit, needles)), lambda n: F.contains(x, n)))
 
 
 def milestone_date(title: Column) -> Column:

@@ -59,6 +59,10 @@ def test_conflict_anti_makes_keys_once(spark):
     assert "sha2(" not in plan(registry.conflict_anti(spark, DATA))
 
 
+def test_hits_compute_their_text_once(spark):
+    assert "Contains(trim(" not in plan(entities.evidence_terms(spark, DATA))
+
+
 def test_dates_whose_formats_are_told_by_their_marks(spark):
     cases = {"2020-1-2": "2020-01-02", "2/1/2020": "2020-01-02", "02-01-2020": "2020-01-02", "20200102": "2020-01-02", "2020-01-02T10:00:00Z": "2020-01-02", "el 2-1-2020 a las 9": "2020-01-02", "31/02/2020": None, "": None, None: None, "/": None, "-": None, "2020-13-01": None, "+2020": None}
     rows = spark.createDataFrame(list(enumerate(cases)), "k int, x string").select("k", text.parse_date(F.col("x")).cast("string").alias("d")).collect()
