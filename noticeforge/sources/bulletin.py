@@ -11,10 +11,13 @@ as well, and other bulletins go on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeforge.functions import classify, text
+from noticeforge.operators import scratch
 
 # --- Fixed values: headings, wordings and patterns (on folded lines where it says so) ---
 
@@ -57,12 +60,14 @@ def line_kind(line: Column, folded: Column) -> Column:
 
 def lines(bulletins: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, pos, line (spaces made single), kind, number (of a body that begins here, else null) and first (where the first body begins)."""
-    rows = bulletins.select(F.col(id_col).alias("key"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), LINE_ENDS, -1)).alias("pos", "raw"))
+    whole = bulletins.select(F.col(id_col).alias("key"), F.split(F.coalesce(text_col, F.lit("")), LINE_ENDS, -1).alias("raws"))
+    # A bulletin's lines tell where the first body begins before they are rows, so nothing needs to gather them for that.
+    at = F.array_position(F.transform("raws", lambda x: x.rlike(BODY)), True).cast("int")
+    rows = whole.select("key", F.when(at > 0, at - 1).alias("first"), "raws").select("key", "first", F.posexplode("raws").alias("pos", "raw"))
     begins = F.when(F.col("raw").rlike(BODY), F.concat_ws("/", F.regexp_extract("raw", BODY, 1), F.regexp_extract("raw", BODY, 2)))
-    rows = rows.select("key", "pos", text.clean(F.col("raw")).alias("line"), begins.alias("number"))
-    rows = rows.withColumn("kind", line_kind(F.col("line"), text.normalize(F.col("line"))))
-    first = F.min(F.when(F.col("number").isNotNull(), F.col("pos"))).over(Window.partitionBy("key"))
-    return rows.withColumn("first", first)
+    rows = rows.select("key", "pos", text.clean(F.col("raw")).alias("line"), begins.alias("number"), "first")
+    rows = rows.withColumn("folded", text.normalize(F.col("line")))
+    return rows.select("key", "pos", "line", line_kind(F.col("line"), F.col("folded")).alias("kind"), "number", "first")
 
 
 def _joined() -> Column:
@@ -111,17 +116,18 @@ def bodies(rows: DataFrame, begun: DataFrame) -> DataFrame:
     return marked.withColumn("part", carried).where("part IS NOT NULL AND kind <> 'empty'").groupBy("key", "part").agg(_joined().alias("body"))
 
 
-def read(bulletins: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def read(bulletins: DataFrame, id_col: str, text_col: str, cut: Callable[[DataFrame, str], DataFrame] = scratch.cut) -> DataFrame:
     """A row for each edict (part, reference, title, organisation, body), or one with the error of a bulletin that can't be split.
 
     Cases: null and empty texts have no edict, an error; ids must be unique and not
-    null; an empty table gives an empty result.
+    null; an empty table gives an empty result. Several steps read the lines, the entries
+    and the edicts, so each of these is made once, and cut writes it.
     """
-    rows = lines(bulletins, id_col, text_col)
-    entries = contents(rows)
-    whole = entries.join(starts(rows, entries), ["key", "part"])
+    rows = cut(lines(bulletins, id_col, text_col), "lines")
+    entries = cut(contents(rows), "entries")
+    whole = cut(entries.join(starts(rows, entries), ["key", "part"]), "begun")
     whole = whole.join(bodies(rows, whole.select("key", "part", "start")), ["key", "part"], "left")
-    whole = whole.withColumn("body", F.coalesce("body", F.lit("")))
+    whole = cut(whole.withColumn("body", F.coalesce("body", F.lit(""))), "edicts")
     # Of the things that are wrong with a bulletin, the first by stage and place.
     said = lambda stage, message: F.struct(F.lit(stage).alias("stage"), F.col("pos"), message.alias("message"))
     bad = F.when(F.col("repeated"), said(1, F.concat("reference", F.lit(" is repeated"))))

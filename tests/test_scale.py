@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from noticeforge.functions import classify, extract, text
 from noticeforge.operators import scratch
 from noticeforge.plans import entities, registry
+from noticeforge.sources import bulletin
 
 DATA = "/root/testdata/sf0.001"
 NORMALISED = "[^a-z0-9]+"
@@ -73,3 +74,17 @@ def test_periods_are_read_from_their_own_match(spark):
     cases = {"El plazo será de veinte días hábiles desde el siguiente al de su publicación en el BOJA. Otro plazo de 10 días naturales": (20, "habiles", "BOJA"), "plazo: 5 días naturales" + " publicación" * 40: (5, "naturales", ""), "plazo de 10 días hábiles.": None, "": None, None: None}
     rows = spark.createDataFrame(list(enumerate(cases)), "k int, x string").select("k", extract.relative_deadline(F.col("x")).alias("r")).collect()
     assert [r["r"] and (r["r"]["days"], r["r"]["kind"], r["r"]["starts_after"]) for r in sorted(rows)] == list(cases.values())
+
+
+def test_bulletins_make_lines_once(spark):
+    made = []
+
+    def cut(df, name):
+        made.append((name, plan(df).count("Generate posexplode")))
+        return scratch.cut(df, name)
+
+    text_ = "ADMINISTRACIÓN LOCAL\nAYUNTAMIENTO DE LA VILLA\nBases\nBOP-2026-1\n2026/1\nTexto de las bases\n2026/9 citado"
+    out = bulletin.read(spark.createDataFrame([(1, text_), (2, "2026/1"), (3, None)], "id long, text string"), "id", "text", cut)
+    assert sum(n for _, n in made) == 1 and "posexplode" not in plan(out)
+    got = {r["id"]: (r["reference"], r["body"], r["error"]) for r in out.collect()}
+    assert got == {1: ("BOP-2026-1", "2026/1 Texto de las bases 2026/9 citado", None), 2: (None, None, "no references in the contents"), 3: (None, None, "no edict begins")}
