@@ -136,7 +136,7 @@ class Engine:
         notices = judged.select("seq", "source", "external_id", "references", "cited", "canonical_key", "organisation", "signature", group, "access", "positions", published.alias("published"), titled.alias("titled"), "keep_new", "keep_tracked")
         old = processes.select("id", "canonical_key", F.col("normalised_organisation").alias("organisation"), F.col("title_signature").alias("signature"), group, "access", "positions", published.alias("published"), titled.alias("titled"), "first_seen", "last_seen")
         entities = self.state.cut(settle.known(notices, old, items, references, aliases), "known")
-        return settle.settle(notices, entities, self.state.cut, str(base + 1))
+        return settle.settle(notices, entities, self.state.cut, str(base + 1)).drop("made")
 
     def _folded(self, kept: DataFrame, processes: DataFrame, items: DataFrame, box: DataFrame, now: datetime) -> DataFrame:
         """A row for each kept observation: its entity as merged up to it, what that changed, and the action on the entity's events."""

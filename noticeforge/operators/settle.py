@@ -32,7 +32,7 @@ from noticeforge.operators.components import components
 NOTICE = "seq long, source string, external_id string, references array<string>, cited array<string>, canonical_key string, organisation string, signature string, `group` string, access string, positions int, published string, titled string, keep_new boolean, keep_tracked boolean"
 #: What is known of an entity; published and titled are the years of its publication and title.
 SHARED = ("canonical_key", "organisation", "signature", "group", "access", "positions", "published", "titled")
-SETTLED = "seq long, entity string, stage string"
+SETTLED = "seq long, entity string, stage string, made long"
 
 
 def known(notices: DataFrame, processes: DataFrame, items: DataFrame, references: DataFrame, aliases: DataFrame, newest: int = resolve.NEWEST) -> DataFrame:
@@ -64,7 +64,8 @@ def known(notices: DataFrame, processes: DataFrame, items: DataFrame, references
 
 
 def _label() -> F.Column:
-    return F.when(F.col("organisation") == "", F.concat(F.lit("key:"), "canonical_key")).otherwise(F.concat(F.lit("org:"), "organisation"))
+    """What a notice or an entity is found by, as a hash: if two share one by chance, their blocks are settled as one, with the same result."""
+    return F.xxhash64(F.when(F.col("organisation") == "", F.concat(F.lit("key:"), "canonical_key")).otherwise(F.concat(F.lit("org:"), "organisation")))
 
 
 def blocks(notices: DataFrame, entities: DataFrame, cut: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -77,8 +78,8 @@ def blocks(notices: DataFrame, entities: DataFrame, cut: Callable[[DataFrame, st
     key = F.array(F.concat(F.lit("k:"), "canonical_key"))
     mine = notices.select(_label().alias("label"), F.explode(F.concat(F.array(item({c: F.col(c) for c in ("source", "external_id")})), named("r:", refs), key)).alias("value"))
     theirs = entities.select(_label().alias("label"), F.explode(F.concat(F.transform(F.coalesce("hits", F.array().cast("array<struct<source:string,external_id:string>>")), item), named("r:", F.col("references")), key, F.array(F.concat(F.lit("a:"), F.coalesce("canonical", "id"))))).alias("value"))
-    met = mine.unionByName(theirs).distinct()
-    lead = met.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("value", "a")
+    met = mine.unionByName(theirs).select("label", F.xxhash64("value").alias("value"))
+    lead = cut(met.groupBy("value").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("value", "a"), "lead")
     found = components(met.join(lead, "value").select("a", F.col("label").alias("b")).distinct(), cut)
 
     def with_block(df):
@@ -152,12 +153,12 @@ class Block:
                     best = (score, i)
         return (best[1], "title") if best[1] else (None, None)
 
-    def take(self, n: dict) -> tuple[int, str | None, str | None]:
-        """seq, entity and stage of a notice; no entity if it isn't kept."""
+    def take(self, n: dict) -> tuple[int, str | None, str | None, int | None]:
+        """seq, entity and stage of a notice, and the seq of the one that made the entity, if that was in this run; no entity if it isn't kept."""
         n["references"], n["cited"] = n["references"] or [], n["cited"] or []
         i, stage = self.find(n)
         if not (n["keep_tracked"] if i else n["keep_new"]):
-            return n["seq"], None, stage
+            return n["seq"], None, stage, None
         if i is None:
             i, stage = hashlib.sha256(f"{self.tag}:{n['seq']}".encode()).hexdigest()[:32], "new"
             self.entities[i] = {c: n[c] for c in SHARED} | {"canonical": i, "born": (1, n["seq"], i), "spans": {}}
@@ -176,11 +177,11 @@ class Block:
             e["spans"][n["source"]] = (min(low, n["external_id"]), max(high, n["external_id"]))
         for r in n["references"]:
             self.by_reference.setdefault(r, i)
-        return n["seq"], i, stage
+        return n["seq"], i, stage, e["born"][1] if e["born"][0] else None
 
 
 def settle(notices: DataFrame, entities: DataFrame, cut: Callable[[DataFrame, str], DataFrame], tag: str) -> DataFrame:
-    """seq, entity (null: not kept) and stage of every notice; entities are those of known(). tag makes new ids the run's own.
+    """seq, entity (null: not kept) and stage of every notice, and made, the seq of the notice that made the entity (null: the state has it); entities are those of known(). tag makes new ids the run's own.
 
     Cases: texts that are null count as blank; seq must be unique. Rows with equal
     values each count. Entities that the run has touched are newer than all others,
@@ -203,6 +204,6 @@ def settle(notices: DataFrame, entities: DataFrame, cut: Callable[[DataFrame, st
                 else:
                     own.know(row)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))], names=["seq", "entity", "stage"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["seq", "entity", "stage", "made"])
 
     return both.repartition("block").sortWithinPartitions(*order).mapInArrow(run, SETTLED)

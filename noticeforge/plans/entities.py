@@ -232,12 +232,13 @@ def batch_identity(spark, sf_dir):
     listed = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
     org = F.col("org").cast("string")
     notices = rows.select("seq", "source", "external_id", listed("reference").alias("references"), listed("citation").alias("cited"), F.concat_ws("|", org, "signature", "access").alias("canonical_key"), org.alias("organisation"), "signature", F.lit("").alias("group"), "access", "positions", *(F.lit("").alias(c) for c in ("published", "titled")), *(F.lit(True).alias(c) for c in ("keep_new", "keep_tracked")))
-    empty = lambda schema: spark.createDataFrame([], schema)
+    notices = scratch.cut(notices, "notices")
+    # limit(0) lets the optimizer leave out what joins with them.
+    empty = lambda schema: spark.createDataFrame([], schema).limit(0)
     processes = empty("id string, first_seen timestamp, last_seen timestamp, canonical_key string, organisation string, signature string, `group` string, access string, positions int, published string, titled string")
     known = settle.known(notices, processes, empty("source string, external_id string, process_id string"), empty("reference string, process_id string"), empty("alias_id string, process_id string"))
-    settled = scratch.cut(settle.settle(notices, known, scratch.cut, "run"), "settled")
-    first = settled.groupBy("entity").agg(F.min("seq").alias("first_seq"))
-    return settled.join(first, "entity").select("seq", "first_seq", "stage")
+    # Notices come in order, so the one that makes an entity is its first.
+    return settle.settle(notices, known, scratch.cut, "run").select("seq", F.col("made").alias("first_seq"), "stage")
 
 
 # --- bulletins ---------------------------------------------------------------------

@@ -88,3 +88,8 @@ def test_bulletins_make_lines_once(spark):
     assert sum(n for _, n in made) == 1 and "posexplode" not in plan(out)
     got = {r["id"]: (r["reference"], r["body"], r["error"]) for r in out.collect()}
     assert got == {1: ("BOP-2026-1", "2026/1 Texto de las bases 2026/9 citado", None), 2: (None, None, "no references in the contents"), 3: (None, None, "no edict begins")}
+
+
+def test_batch_identity_tells_the_first_notice_without_gathering_entities(spark):
+    out = plan(entities.batch_identity(spark, DATA))
+    assert "Aggregate" not in out and "Window" not in out and out.count("Join") == 1
