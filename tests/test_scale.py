@@ -93,3 +93,10 @@ def test_bulletins_make_lines_once(spark):
 def test_batch_identity_tells_the_first_notice_without_gathering_entities(spark):
     out = plan(entities.batch_identity(spark, DATA))
     assert "Aggregate" not in out and "Window" not in out and out.count("Join") == 1
+
+
+def test_texts_that_share_nothing_are_their_own_classes(spark):
+    from noticeforge.llm import jaccard
+
+    rows = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (3, None)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.classes(rows).collect())) == [(1, 2, 1), (2, 2, 2), (3, 0, 3)]
