@@ -33,6 +33,7 @@ NOTICE = "seq long, source string, external_id string, references array<string>,
 #: What is known of an entity; published and titled are the years of its publication and title.
 SHARED = ("canonical_key", "organisation", "signature", "group", "access", "positions", "published", "titled")
 SETTLED = "seq long, entity string, stage string, made long"
+_NAMES = [x.split()[0].strip("`") for x in NOTICE.split(", ")]
 
 
 def known(notices: DataFrame, processes: DataFrame, items: DataFrame, references: DataFrame, aliases: DataFrame, newest: int = resolve.NEWEST) -> DataFrame:
@@ -180,6 +181,23 @@ class Block:
         return n["seq"], i, stage, e["born"][1] if e["born"][0] else None
 
 
+def _listed(column: pa.Array) -> list:
+    """A column's values, a null list as an empty one. Each distinct text is made once, and numbers all at once, as values one by one cost more than settling them."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        column = column.dictionary_encode()
+        values = [*column.dictionary.to_pylist(), None]
+        return [values[i] for i in column.indices.fill_null(len(values) - 1).to_numpy().tolist()]
+    if pa.types.is_list(kind):
+        column = column.fill_null([]) if column.null_count else column
+        values, ends = _listed(column.values), column.offsets.to_numpy().tolist()
+        return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
+    if not pa.types.is_integer(kind) and not pa.types.is_boolean(kind):
+        return column.to_pylist()
+    values = column.fill_null(False if pa.types.is_boolean(kind) else 0).to_numpy(zero_copy_only=False).tolist()
+    return [x if there else None for x, there in zip(values, column.is_valid().to_numpy(zero_copy_only=False).tolist())] if column.null_count else values
+
+
 def settle(notices: DataFrame, entities: DataFrame, cut: Callable[[DataFrame, str], DataFrame], tag: str) -> DataFrame:
     """seq, entity (null: not kept) and stage of every notice, and made, the seq of the notice that made the entity (null: the state has it); entities are those of known(). tag makes new ids the run's own.
 
@@ -189,20 +207,23 @@ def settle(notices: DataFrame, entities: DataFrame, cut: Callable[[DataFrame, st
     """
     blank = lambda df: df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source", "external_id", "canonical_key", "organisation", "signature", "group", "published", "titled") if c in df.columns})
     mine, theirs = blocks(blank(notices), blank(entities), cut)
-    both = mine.withColumn("kind", F.lit(1)).unionByName(theirs.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    order = ["block", "kind", "last_seen", F.desc("id"), "seq"]
+    # What is known of an entity is one value, which notices don't have.
+    theirs = theirs.select("block", F.struct(*(c for c in theirs.columns if c != "block")).alias("known"))
+    both = mine.select("block", *_NAMES).unionByName(theirs, allowMissingColumns=True)
+    order = ["block", F.col("known").isNull(), "known.last_seen", F.desc("known.id"), "seq"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, None
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["block"] != now:
-                    now, own = row["block"], Block(tag)
-                if row["kind"]:
-                    out.append(own.take(row))
+            out, told = [], batch.column("known")
+            entities = iter(told.filter(told.is_valid()).to_pylist())
+            for block, known, *row in zip(_listed(batch.column("block")), _listed(told.is_valid()), *(_listed(batch.column(c)) for c in _NAMES)):
+                if block != now:
+                    now, own = block, Block(tag)
+                if known:
+                    own.know(next(entities))
                 else:
-                    own.know(row)
+                    out.append(own.take(dict(zip(_NAMES, row))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["seq", "entity", "stage", "made"])
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeforge.functions import classify, extract, text
-from noticeforge.operators import scratch
+from noticeforge.operators import scratch, settle
 from noticeforge.plans import entities, registry
 from noticeforge.sources import bulletin
 
@@ -100,3 +100,17 @@ def test_texts_that_share_nothing_are_their_own_classes(spark):
 
     rows = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (3, None)], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.classes(rows).collect())) == [(1, 2, 1), (2, 2, 2), (3, 0, 3)]
+
+
+def test_settle_lists_columns_as_they_are():
+    import pyarrow as pa
+
+    for values, kind in (([1, None, 3, 2**62], pa.int64()), ([0, 7], pa.int32()), ([True, None, False], pa.bool_()), (["a", None, "", "a"], pa.string()), ([None, None], pa.string()), ([], pa.string()), ([["a", None], [], ["a", "b"]], pa.list_(pa.string()))):
+        column = pa.array(values, kind)
+        assert settle._listed(column) == values and settle._listed(column[1:]) == values[1:]
+    assert settle._listed(pa.array([["x"], None, ["y"]])) == [["x"], [], ["y"]]
+    assert settle._listed(pa.array([], pa.list_(pa.string()))) == []
+
+
+def test_batch_identity_sends_no_columns_of_entities(spark):
+    assert "spans#" not in plan(entities.batch_identity(spark, DATA))
